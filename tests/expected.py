@@ -1,0 +1,346 @@
+"""Expected results on the sample rows, from FIXTURES.md sections 2 to 4."""
+
+from datetime import date
+
+# Columns checked per report, then the rows. Rows are compared in any order.
+D = date
+
+CHECKS = {
+    "q01a_duplicate_orders": (["order_id"], []),
+    "q01b_null_pkg": (
+        ["order_id", "market", "meals_count", "order_date", "is_damaged"],
+        [(9004, "NL", 4, D(2026, 1, 15), 0)],
+    ),
+    "q01c_discontinued_in_use": (
+        ["order_id", "market", "pkg_id", "pkg_name", "status", "meals_count", "order_date"],
+        [(9003, "UK", "P-XL", "Extra Large", "Discontinued", 6, D(2026, 1, 12))],
+    ),
+    "q01d_meals_without_standard": (
+        ["order_id", "market", "pkg_id", "meals_count", "order_date", "recommended_pkg_id"],
+        [(9005, "UK", "P-S", 12, D(2026, 1, 22), None)],
+    ),
+    "q01e_audit_summary": (
+        ["issue_type", "affected_records"],
+        [
+            ("Duplicate order IDs", 0),
+            ("Null pkg_id orders", 1),
+            ("Discontinued box in active use", 1),
+            ("Meal count not in standards table", 1),
+        ],
+    ),
+    "q02_total_cost_per_market": (
+        [
+            "market", "order_count", "total_surface_m2", "avg_rate_eur_per_m2", "total_cost_eur",
+            "avg_order_cost_eur", "damaged_orders", "damage_rate_pct",
+        ],
+        [("DE", 3, 2.7, 1.75, 4.725, 1.575, 1, 33.3), ("UK", 2, 2.4, 1.287, 3.0888, 1.5444, 0, 0.0)],
+    ),
+    "q03a_overboxing_detail": (
+        [
+            "order_id", "actual_area_m2", "recommended_area_m2", "waste_m2", "fit_ratio",
+            "overbox_levels", "fit_category", "cost_per_m2_eur", "actual_cost_eur",
+            "ideal_cost_eur", "cost_inefficiency_eur",
+        ],
+        [
+            (9002, 1.3, 0.55, 0.75, 2.363636, 2, "Severe Over-box", 1.75, 2.275, 0.9625, 1.3125),
+            (9003, 1.85, 1.3, 0.55, 1.423077, 1, "Moderate Over-box", 1.287, 2.38095, 1.6731, 0.70785),
+            (8001, 0.55, 0.55, 0.0, 1.0, 0, "Perfect Fit", 1.15, 0.6325, 0.6325, 0.0),
+            (8002, 0.85, 0.85, 0.0, 1.0, 0, "Perfect Fit", 1.287, 1.09395, 1.09395, 0.0),
+            (9001, 0.55, 0.55, 0.0, 1.0, 0, "Perfect Fit", 1.75, 0.9625, 0.9625, 0.0),
+            (9006, 0.85, 0.85, 0.0, 1.0, 0, "Perfect Fit", 1.75, 1.4875, 1.4875, 0.0),
+        ],
+    ),
+    "q03b_overboxing_by_market": (
+        [
+            "market", "total_orders", "overboxed_orders", "total_paper_waste_m2",
+            "total_cost_inefficiency_eur", "avg_fit_ratio", "pct_spend_wasted",
+        ],
+        [("DE", 4, 1, 0.75, 1.3125, 1.340909, 24.5), ("UK", 2, 1, 0.55, 0.70785, 1.211538, 20.4)],
+    ),
+    "q04a_cost_decomposition": (
+        [
+            "order_id", "actual_cost_eur", "ideal_cost_eur", "counterfactual_cost_eur",
+            "price_hike_impact_eur", "overboxing_impact_eur", "total_overspend_vs_ideal_eur",
+        ],
+        [
+            (9001, 0.9625, 0.9625, 0.6325, 0.33, 0.0, 0.33),
+            (9002, 2.275, 0.9625, 1.495, 0.78, 1.3125, 1.6425),
+            (9006, 1.4875, 1.4875, 0.9775, 0.51, 0.0, 0.51),
+        ],
+    ),
+    "q04b_attribution_totals": (
+        [
+            "total_actual_eur", "total_ideal_eur", "total_counterfactual_eur",
+            "total_price_hike_impact_eur", "total_overboxing_impact_eur", "pct_price_hike",
+            "pct_overboxing",
+        ],
+        [(4.725, 3.4125, 3.105, 1.62, 1.3125, 55.242967, 44.757033)],
+    ),
+    "q05a_cost_per_meal": (
+        [
+            "order_id", "recommended_pkg_id", "actual_cost_eur", "ideal_cost_eur",
+            "actual_cpm_eur", "ideal_cpm_eur", "cpm_premium_eur", "efficiency_pct",
+        ],
+        [
+            (9002, "P-S", 2.275, 0.9625, 1.1375, 0.48125, 0.65625, 42.307692),
+            (9001, "P-S", 0.9625, 0.9625, 0.48125, 0.48125, 0.0, 100.0),
+            (9003, "P-L", 2.38095, 1.6731, 0.396825, 0.27885, 0.117975, 70.270270),
+            (9006, "P-M", 1.4875, 1.4875, 0.371875, 0.371875, 0.0, 100.0),
+            (8001, "P-S", 0.6325, 0.6325, 0.31625, 0.31625, 0.0, 100.0),
+            (8002, "P-M", 1.09395, 1.09395, 0.2734875, 0.2734875, 0.0, 100.0),
+            (9005, None, 0.70785, None, 0.0589875, None, 0.0, None),
+        ],
+    ),
+    "q05b_overall_cpm": (
+        ["overall_actual_cpm_eur", "overall_ideal_cpm_eur"],
+        [(0.44162, 0.3406025)],
+    ),
+    "q05c_cpm_by_market": (
+        [
+            "market", "orders", "total_meals", "total_actual_cost_eur", "actual_cpm_eur",
+            "ideal_cpm_eur", "avg_efficiency_pct",
+        ],
+        [
+            ("DE", 4, 10, 5.3575, 0.53575, 0.4045, 85.576923),
+            ("UK", 3, 22, 4.18275, 0.190125, 0.1257750, 85.135135),
+        ],
+    ),
+    "q05d_cpm_waste_scenario": (
+        [
+            "scenario_orders_per_month", "actual_monthly_cost_eur", "ideal_monthly_cost_eur",
+            "monthly_waste_eur",
+        ],
+        [(n, n * 2.275, n * 0.9625, n * 1.3125) for n in (100, 500, 1000, 5000, 10000)],
+    ),
+    "q06a_material_summary": (
+        [
+            "material_type", "total_orders", "total_actual_cost_eur", "avg_order_cost_eur",
+            "total_paper_waste_m2", "avg_waste_per_order_m2", "damaged_orders",
+            "damage_rate_pct", "avg_efficiency_pct", "total_cost_inefficiency_eur",
+        ],
+        [
+            ("Corrugated", 3, 4.85645, 1.618817, 0.75, 0.25, 1, 33.333333, 80.769231, 4.85645),
+            ("Cardboard", 1, 2.38095, 2.38095, 0.55, 0.55, 0, 0.0, 70.270270, 2.38095),
+            ("Recycled Paper", 3, 2.30285, 0.767617, 0.0, 0.0, 0, 0.0, 100.0, 2.30285),
+        ],
+    ),
+    "q06b_material_by_market": (
+        [
+            "material_type", "market", "orders", "total_cost_eur", "total_waste_m2", "damaged",
+            "avg_efficiency_pct",
+        ],
+        [
+            ("Cardboard", "UK", 1, 2.38095, 0.55, 0, 70.270270),
+            ("Corrugated", "DE", 2, 3.7625, 0.75, 1, 71.153846),
+            ("Corrugated", "UK", 1, 1.09395, 0.0, 0, 100.0),
+            ("Recycled Paper", "DE", 2, 1.595, 0.0, 0, 100.0),
+            ("Recycled Paper", "UK", 1, 0.70785, 0.0, 0, None),
+        ],
+    ),
+    "q06c_same_box_price": (
+        [
+            "year", "market", "pkg_id", "material_type", "rate_local", "currency",
+            "rate_eur_per_m2", "cost_per_order_eur",
+        ],
+        [
+            (D(2025, 11, 10), "DE", "P-S", "Recycled Paper", 1.15, "EUR", 1.15, 0.6325),
+            (D(2026, 1, 10), "DE", "P-S", "Recycled Paper", 1.75, "EUR", 1.75, 0.9625),
+        ],
+    ),
+    "q07a_market_scorecard": (
+        [
+            "market", "total_orders", "total_meals", "total_actual_cost_eur",
+            "total_ideal_cost_eur", "cost_efficiency_pct", "total_paper_waste_m2",
+            "avg_waste_per_order_m2", "overboxed_orders", "overboxing_rate_pct",
+            "damaged_orders", "damage_rate_pct", "overall_health_index_pct",
+        ],
+        [
+            ("UK", 3, 22, 4.18275, 3.4749, 83.076923, 0.55, 0.183333, 1, 33.333333, 0, 0.0, 83.247863),
+            ("DE", 4, 10, 5.3575, 4.045, 75.501633, 0.75, 0.1875, 1, 25.0, 1, 25.0, 75.167211),
+        ],
+    ),
+    "q07b_box_by_market": (
+        ["market", "pkg_id", "orders", "total_cost_eur", "efficiency_pct"],
+        [
+            ("DE", "P-L", 1, 2.275, 42.307692),
+            ("DE", "P-M", 1, 1.4875, 100.0),
+            ("DE", "P-S", 2, 1.595, 100.0),
+            ("UK", "P-XL", 1, 2.38095, 70.270270),
+            ("UK", "P-M", 1, 1.09395, 100.0),
+            ("UK", "P-S", 1, 0.70785, 100.0),
+        ],
+    ),
+    "q08a_damage_rate": (
+        ["dimension", "total_orders", "damaged_orders", "damage_rate_pct"],
+        [
+            ("Overall", 7, 1, 14.285714),
+            ("Market: DE", 4, 1, 25.0),
+            ("Market: UK", 3, 0, 0.0),
+            ("Box: P-L (Large Box)", 1, 0, 0.0),
+            ("Box: P-M (Medium Box)", 2, 1, 50.0),
+            ("Box: P-S (Small Box)", 3, 0, 0.0),
+            ("Box: P-XL (Extra Large)", 1, 0, 0.0),
+            ("Fit: Over-boxed", 2, 0, 0.0),
+            ("Fit: Perfect Fit", 2, 0, 0.0),
+            ("Fit: Under-boxed", 2, 1, 50.0),
+            ("Fit: Unknown (no standard)", 1, 0, 0.0),
+        ],
+    ),
+    "q08e_damage_detail": (
+        [
+            "order_id", "market", "pkg_id", "pkg_name", "material_type", "meals_count",
+            "order_date", "fit_category", "actual_area_m2", "recommended_area_m2", "is_damaged",
+        ],
+        [
+            (
+                9006, "DE", "P-M", "Medium Box", "Corrugated", 4, D(2026, 2, 1), "Under-boxed",
+                0.85, 0.85, 1,
+            )
+        ],
+    ),
+    "q09a_yoy_cost": (
+        [
+            "market", "yr", "orders", "avg_rate_eur_per_m2", "avg_order_cost_eur",
+            "total_cost_eur",
+        ],
+        [
+            ("DE", 2025, 1, 1.15, 0.6325, 0.6325),
+            ("DE", 2026, 3, 1.75, 1.575, 4.725),
+            ("UK", 2025, 1, 1.287, 1.09395, 1.09395),
+            ("UK", 2026, 2, 1.287, 1.5444, 3.0888),
+        ],
+    ),
+    "q09b_same_box_yoy": (
+        [
+            "yr", "market", "pkg_id", "material_type", "rate_eur_per_m2",
+            "surface_area_m2_normalised", "order_cost_eur", "cost_per_meal_eur",
+        ],
+        [
+            (2025, "DE", "P-S", "Recycled Paper", 1.15, 0.55, 0.6325, 0.31625),
+            (2026, "DE", "P-S", "Recycled Paper", 1.75, 0.55, 0.9625, 0.48125),
+        ],
+    ),
+    "q09c_rate_change": (
+        ["market", "rate_2025_eur", "rate_2026_eur", "yoy_rate_change_pct"],
+        [("DE", 1.15, 1.75, 52.173913), ("UK", 1.287, 1.287, 0.0)],
+    ),
+    "q10a_rate_benchmark": (
+        ["market", "material_type", "rate_eur_per_m2", "valid_from", "valid_to"],
+        [
+            ("DE", "Recycled Paper", 1.75, D(2026, 1, 1), D(9999, 12, 31)),
+            ("DE", "Recycled Paper", 1.15, D(2025, 1, 1), D(2025, 12, 31)),
+            ("NL", "Corrugated", 1.25, D(2025, 1, 1), D(9999, 12, 31)),
+            ("UK", "Corrugated", 1.287, D(2025, 1, 1), D(9999, 12, 31)),
+        ],
+    ),
+    "q10b_market_premium": (
+        ["comparison", "rate_difference_eur", "de_premium_pct"],
+        [("DE vs NL", 0.50, 40.0), ("DE vs UK (GBP converted)", 0.463, 35.975136)],
+    ),
+    "q10c_rate_negotiation": (
+        [
+            "target_rate_eur_per_m2", "saving_per_m2", "saving_on_q1_volume_eur",
+            "annualised_saving_eur",
+        ],
+        [
+            (1.25, 0.50, 1.35, 5.40),
+            (1.35, 0.40, 1.08, 4.32),
+            (1.45, 0.30, 0.81, 3.24),
+            (1.55, 0.20, 0.54, 2.16),
+            (1.65, 0.10, 0.27, 1.08),
+        ],
+    ),
+    "q10d_box_migration": (
+        [
+            "monthly_pl_boxes", "migration_pct", "boxes_migrated", "saving_per_box_eur",
+            "monthly_saving_eur", "annual_saving_eur", "monthly_paper_saved_m2",
+        ],
+        [
+            (n, p, n * p / 100, 0.7875, n * p * 0.007875, n * p * 0.0945, n * p * 0.0045)
+            for n in (500, 1000, 5000, 10000)
+            for p in (10, 20, 30)
+        ],
+    ),
+    "q11_box_type_economics": (
+        [
+            "pkg_id", "pkg_name", "material_type", "pkg_status", "total_orders",
+            "total_cost_eur", "avg_cost_per_order_eur", "total_paper_waste_m2",
+            "avg_waste_per_order_m2", "damaged_orders", "damage_rate_pct", "avg_efficiency_pct",
+            "cost_efficiency_pct",
+        ],
+        [
+            ("P-S", "Small Box", "Recycled Paper", "Active", 3, 2.30285, 0.767617, 0.0, 0.0, 0, 0.0, 100.0, 100.0),
+            ("P-M", "Medium Box", "Corrugated", "Active", 2, 2.58145, 1.290725, 0.0, 0.0, 1, 50.0, 100.0, 100.0),
+            ("P-XL", "Extra Large", "Cardboard", "Discontinued", 1, 2.38095, 2.38095, 0.55, 0.55, 0, 0.0, 70.270270, 70.270270),
+            ("P-L", "Large Box", "Corrugated", "Active", 1, 2.275, 2.275, 0.75, 0.75, 0, 0.0, 42.307692, 42.307692),
+        ],
+    ),
+    "q12b_box_scenarios": (
+        [
+            "scenario", "box_config", "surface_area_m2", "cost_eur", "cost_per_meal_eur",
+            "food_risk",
+        ],
+        [
+            ("Actual #9005", "1× P-S", 0.55, 0.7079, 0.0590, "Critical — severe under-boxing"),
+            ("1× P-L (6 meals max)", "1× P-L", 1.30, 1.6731, 0.1394, " Moderate — still insufficient"),
+            ("Correct: 2× P-L", "2× P-L", 2.60, 3.3462, 0.2789, " Acceptable — two 6-meal boxes"),
+            ("Alt: P-XL + P-M", "1× P-XL + 1× P-M", 2.70, 3.4749, 0.2896, " Uses discontinued P-XL stock"),
+        ],
+    ),
+    "q12c_standards_gap": (
+        ["meals_count", "recommended_pkg_id", "standards_status", "affected_orders"],
+        [
+            (2, "P-S", "Standard defined", 3),
+            (4, "P-M", "Standard defined", 3),
+            (6, "P-L", "Standard defined", 1),
+            (12, None, "NO STANDARD — box assignment undefined", 1),
+        ],
+    ),
+    "q13_master_metrics": (
+        [
+            "total_clean_orders", "total_meals", "total_actual_cost_eur", "total_ideal_cost_eur",
+            "total_cost_inefficiency_eur", "pct_spend_wasted", "overall_cost_efficiency_pct",
+            "overall_actual_cpm_eur", "overall_ideal_cpm_eur", "total_paper_waste_m2",
+            "avg_waste_per_order_m2", "overboxed_orders", "overboxing_rate_pct",
+            "damaged_orders", "overall_damage_rate_pct", "null_pkg_id_orders",
+            "duplicate_order_rows",
+        ],
+        [
+            (
+                7, 32, 9.54025, 7.5199, 2.02035, 21.177118, 78.822882, 0.298133, 0.234997, 1.3,
+                0.185714, 2, 28.571429, 1, 14.285714, 1, 0,
+            )
+        ],
+    ),
+    "qf1_financial_variance": (
+        ["market", "order_count", "total_surface_m2", "total_cost_eur"],
+        [("DE", 3, 2.7, 4.725), ("UK", 2, 2.4, 3.0888)],
+    ),
+    "qf2_overboxing_gap": (
+        ["market", "overboxed_orders", "total_paper_waste_m2", "total_cost_inefficiency_eur"],
+        [("DE", 1, 0.75, 1.3125), ("UK", 1, 0.55, 0.70785)],
+    ),
+}
+
+# First column in the order the report returns it, where the order is fully determined.
+ORDERS = {
+    "q02_total_cost_per_market": ["DE", "UK"],
+    "q03a_overboxing_detail": [9002, 9003, 8001, 8002, 9001, 9006],
+    "q04a_cost_decomposition": [9001, 9002, 9006],
+    "q05a_cost_per_meal": [9002, 9001, 9003, 9006, 8001, 8002, 9005],
+    "q05c_cpm_by_market": ["DE", "UK"],
+    "q06a_material_summary": ["Corrugated", "Cardboard", "Recycled Paper"],
+    "q07a_market_scorecard": ["UK", "DE"],
+    "q07b_box_by_market": ["DE", "DE", "DE", "UK", "UK", "UK"],
+    "q08a_damage_rate": [
+        "Box: P-L (Large Box)", "Box: P-M (Medium Box)", "Box: P-S (Small Box)",
+        "Box: P-XL (Extra Large)", "Fit: Over-boxed", "Fit: Perfect Fit", "Fit: Under-boxed",
+        "Fit: Unknown (no standard)", "Market: DE", "Market: UK", "Overall",
+    ],
+    "q10a_rate_benchmark": ["DE", "DE", "NL", "UK"],
+    "q10c_rate_negotiation": [1.25, 1.35, 1.45, 1.55, 1.65],
+    "q12b_box_scenarios": [
+        "Actual #9005", "1× P-L (6 meals max)", "Correct: 2× P-L", "Alt: P-XL + P-M",
+    ],
+    "q12c_standards_gap": [2, 4, 6, 12],
+}

@@ -1,0 +1,45 @@
+"""Every report on the sample rows."""
+
+from __future__ import annotations
+
+import pytest
+
+from boxmetrics.plans import standards_gap
+from boxmetrics.plans.registry import REPORTS
+from tests.expected import CHECKS, ORDERS
+from tests.helpers import assert_rows
+
+
+@pytest.mark.parametrize("name", sorted(CHECKS))
+def test_result(seed_tables, name):
+    columns, rows = CHECKS[name]
+    assert_rows(REPORTS[name](seed_tables), columns, rows)
+
+
+@pytest.mark.parametrize("name", sorted(ORDERS))
+def test_order(seed_tables, name):
+    assert [row[0] for row in REPORTS[name](seed_tables).collect()] == ORDERS[name]
+
+
+def test_every_report_is_checked():
+    assert set(REPORTS) - set(CHECKS) == {"q12a_order_anomaly"}
+
+
+def test_order_anomaly_of_one_order(seed_tables):
+    [row] = standards_gap.order_anomaly(seed_tables).collect()
+    assert row["order_id"] == 9005
+    assert (row["actual_area_m2"], row["cost_per_m2_eur"]) == (0.55, 1.287)
+    assert row["actual_cost_eur"] == pytest.approx(0.70785)
+    assert row["apparent_cpm_eur"] == 1.0
+    assert row["standards_gap"] == "No standard defined for 12 meals"
+
+
+def test_order_anomaly_by_meals(seed_tables):
+    rows = REPORTS["q12a_order_anomaly"](seed_tables).collect()
+    assert [row["order_id"] for row in rows] == [9005]
+
+
+def test_no_decimal_reaches_a_result(seed_tables):
+    for report in REPORTS.values():
+        types = dict(report(seed_tables).dtypes)
+        assert not [name for name, kind in types.items() if kind.startswith("decimal")]
