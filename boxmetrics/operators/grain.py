@@ -21,13 +21,17 @@ from boxmetrics.tables import Tables
 WEIGHTS = ("usage_rows", "order_count", "damaged_orders")
 
 
-def weighted(usage: DataFrame, copies: str | None = None) -> DataFrame:
-    """Add the weights of a single row, or of `copies` equal rows."""
+def weighted(usage: DataFrame, tables: Tables, copies: str | None = None) -> DataFrame:
+    """Add the weights of a single row, or of `copies` equal rows.
+
+    Order ids take most of the space of usage. They are read only if some are missing.
+    """
     times = F.lit(1).cast("bigint") if copies is None else F.col(copies)
+    counted = F.when(F.col("order_id").isNotNull(), times).otherwise(F.lit(0))
     return usage.withColumns(
         {
             "usage_rows": times,
-            "order_count": F.when(F.col("order_id").isNotNull(), times).otherwise(F.lit(0)),
+            "order_count": times if tables.order_ids_complete else counted,
             "damaged_orders": F.col("is_damaged") * times,
         }
     )
@@ -38,8 +42,8 @@ def folded(frame: DataFrame, *keys: str) -> DataFrame:
     return frame.groupBy(*keys).agg(*[F.sum(name).alias(name) for name in WEIGHTS])
 
 
-def usage_counts(usage: DataFrame, *keys: str) -> DataFrame:
-    return folded(weighted(usage), *keys)
+def usage_counts(usage: DataFrame, tables: Tables, *keys: str) -> DataFrame:
+    return folded(weighted(usage, tables), *keys)
 
 
 def rated_counts(weighted_usage: DataFrame, tables: Tables, *keys: str) -> DataFrame:

@@ -78,7 +78,7 @@ def audit_summary(tables: Tables) -> DataFrame:
         F.count_if(F.col("recommended_pkg_id").isNull()).alias("empty_matches")
     )
     counts = (
-        usage_counts(tables.usage, "pkg_id", "meals_count")
+        usage_counts(tables.usage, tables, "pkg_id", "meals_count")
         .join(discontinued, "pkg_id", "left")
         .join(empty_standards, "meals_count", "left")
     )

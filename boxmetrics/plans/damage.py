@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from boxmetrics.functions import aggregates as agg
@@ -20,31 +20,60 @@ def _with_fit(frame: DataFrame, tables: Tables, normalised: bool) -> DataFrame:
     return sized.withColumn("fit_category", plain_fit(normalised=normalised))
 
 
+# Groupings of the report, with the texts around their one or two keys.
+_GROUPINGS = (
+    ("Overall", "", "", (None, None)),
+    ("Market: ", "", "", ("market", None)),
+    ("Box: ", " (", ")", ("pkg_id", "pkg_name")),
+    ("Fit: ", "", "", ("fit_category", None)),
+)
+
+
 def damage_rate(tables: Tables, *, normalised: bool = False) -> DataFrame:
     """Damage overall, by market, by box and by fit.
 
-    All four read the same counts, so usage is scanned once and its shuffle reused.
+    Each counted combination is sent to its four groups in one aggregation. A row of
+    zeros keeps the overall line for an empty input.
     """
-    counts = usage_counts(boxed(tables.usage), "market", "pkg_id", "meals_count")
-    fitted = _with_fit(counts, tables, normalised)
-
-    def rate(label: Column, *keys: str) -> DataFrame:
-        grouped = fitted.groupBy(*keys).agg(
+    counts = usage_counts(boxed(tables.usage), tables, "market", "pkg_id", "meals_count")
+    groups = F.array(
+        *[
+            F.struct(
+                F.lit(number).alias("grouping"),
+                *[
+                    (F.col(key) if key else F.lit(None).cast("string")).alias(f"key_{place}")
+                    for place, key in enumerate(keys)
+                ],
+            )
+            for number, (_, _, _, keys) in enumerate(_GROUPINGS)
+        ]
+    )
+    grouped = _with_fit(counts, tables, normalised).select(
+        F.inline(groups), "order_count", "damaged_orders"
+    )
+    nothing = tables.usage.sparkSession.range(1).select(
+        F.lit(0).alias("grouping"),
+        F.lit(None).cast("string").alias("key_0"),
+        F.lit(None).cast("string").alias("key_1"),
+        F.lit(0).cast("bigint").alias("order_count"),
+        F.lit(None).cast("bigint").alias("damaged_orders"),
+    )
+    label = F.lit(None).cast("string")
+    for number, (before, between, after, _) in enumerate(_GROUPINGS):
+        # Joining text this way leaves nulls out instead of making the whole label null.
+        text = F.concat_ws(
+            "", F.lit(before), F.col("key_0"), F.lit(between), F.col("key_1"), F.lit(after)
+        )
+        label = F.when(F.col("grouping") == number, text).otherwise(label)
+    return (
+        grouped.unionByName(nothing)
+        .groupBy("grouping", "key_0", "key_1")
+        .agg(
             agg.orders().alias("total_orders"),
             agg.damaged().alias("damaged_orders"),
             agg.damage_pct().alias("damage_rate_pct"),
         )
-        return grouped.select(
-            label.alias("dimension"), "total_orders", "damaged_orders", "damage_rate_pct"
-        )
-
-    # Joining text this way leaves nulls out instead of making the whole label null.
-    box = F.concat_ws("", F.lit("Box: "), "pkg_id", F.lit(" ("), "pkg_name", F.lit(")"))
-    return (
-        rate(F.lit("Overall"))
-        .unionByName(rate(F.concat_ws("", F.lit("Market: "), "market"), "market"))
-        .unionByName(rate(box, "pkg_id", "pkg_name"))
-        .unionByName(rate(F.concat_ws("", F.lit("Fit: "), "fit_category"), "fit_category"))
+        .select(label.alias("dimension"), "total_orders", "damaged_orders", "damage_rate_pct")
         .orderBy(up("dimension"))
     )
 

@@ -36,8 +36,8 @@ def _paired_on_order(tables: Tables, levels: Mapping[str, int]) -> DataFrame:
     A row is paired with every boxed row of its order, itself included, of which only the
     box level is wanted. So the second side is counted per order and level before it is
     shuffled; `copies` says how many pairs a row of the result stands for. Each order has
-    at most one row per level on that side, and both sides come straight from a shuffle,
-    which is what lets adaptive execution split an order id that many rows share.
+    at most one row per level on that side. Both sides grow with usage, so they are always
+    shuffled and merged, and adaptive execution splits an order id that many rows share.
     """
     usage = boxed(tables.usage)
     per_level = (
@@ -45,7 +45,7 @@ def _paired_on_order(tables: Tables, levels: Mapping[str, int]) -> DataFrame:
         .groupBy("order_id", "paired_level")
         .agg(F.count("*").alias("copies"))
     )
-    return usage.join(per_level, "order_id")
+    return usage.join(per_level.hint("merge"), "order_id")
 
 
 def overboxing_detail(tables: Tables, levels: Mapping[str, int] = BOX_LEVELS) -> DataFrame:
@@ -87,7 +87,7 @@ def overboxing_detail(tables: Tables, levels: Mapping[str, int] = BOX_LEVELS) ->
 
 def overboxing_by_market(tables: Tables) -> DataFrame:
     """The same pairs summed up per market, without making the copies."""
-    pairs = weighted(_paired_on_order(tables, BOX_LEVELS), copies="copies")
+    pairs = weighted(_paired_on_order(tables, BOX_LEVELS), tables, copies="copies")
     counts = rated_counts(pairs, tables, "market", "pkg_id", "meals_count")
     wasted, paid = agg.total(waste_cost()), agg.total(actual_cost())
     return (
@@ -140,7 +140,7 @@ def attribution_totals(
 ) -> DataFrame:
     """Totals of the effects, and the share each has in their sum."""
     counts = usage_counts(
-        selected(tables.usage, market=market, window=window), "pkg_id", "meals_count"
+        selected(tables.usage, market=market, window=window), tables, "pkg_id", "meals_count"
     )
     parts = overspend_parts(new_rate, old_rate)
     price, size = F.col("total_price_hike_impact_eur"), F.col("total_overboxing_impact_eur")

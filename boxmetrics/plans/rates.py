@@ -120,7 +120,9 @@ def rate_negotiation(
     target_rates: Sequence[Decimal] = TARGET_RATES,
 ) -> DataFrame:
     """Savings on the volume of a quarter, and on four of them, at lower rates."""
-    counts = usage_counts(selected(tables.usage, market=market, window=window), "pkg_id")
+    counts = usage_counts(
+        selected(tables.usage, market=market, window=window), tables, "pkg_id"
+    )
     volume = with_box(counts, tables).agg(
         agg.total(F.col("actual_area_m2")).alias("total_area_m2")
     )

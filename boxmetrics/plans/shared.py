@@ -20,7 +20,7 @@ def priced_rows(usage: DataFrame, tables: Tables) -> DataFrame:
 
 def counted(usage: DataFrame, tables: Tables, *more_keys: str) -> DataFrame:
     """Usage counted per market, box, meals and rate, with the facts about the box."""
-    counts = rated_counts(weighted(usage), tables, *_COMBINATION, *more_keys)
+    counts = rated_counts(weighted(usage, tables), tables, *_COMBINATION, *more_keys)
     return with_box(counts, tables)
 
 

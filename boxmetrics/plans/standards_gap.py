@@ -132,7 +132,7 @@ def box_scenarios(
 
 def standards_gap(tables: Tables) -> DataFrame:
     """Orders per number of meals, with or without a box, and whether a standard exists."""
-    counts = with_standard(usage_counts(tables.usage, "meals_count"), tables)
+    counts = with_standard(usage_counts(tables.usage, tables, "meals_count"), tables)
     status = F.when(F.col("recommended_pkg_id").isNull(), NO_STANDARD).otherwise(HAS_STANDARD)
     return (
         counts.groupBy("meals_count", "recommended_pkg_id")

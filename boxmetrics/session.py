@@ -21,6 +21,8 @@ def build_session(master: str, cores: int, input_bytes: int = 0, **settings: str
         .appName("boxmetrics")
         .config("spark.ui.enabled", "false")
         .config("spark.sql.session.timeZone", "UTC")
+        # Recording the caller of every expression doubles the time to build a plan.
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions(input_bytes, cores)))

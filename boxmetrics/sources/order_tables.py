@@ -9,8 +9,8 @@ Spark computes all four tables from the Parquet files, so each grows with them:
 - standards: one raw row per part, naming the box of its size class.
 - rates: one per market and quarter, from the mean order value, delivered twice.
 
-No table gets a broadcast hint here. Spark broadcasts by file size, and adaptive execution
-splits hot keys of the shuffle joins.
+A table is broadcast only if its measured size allows it. Otherwise the join sorts and
+merges, in which adaptive execution splits the partitions of hot keys.
 """
 
 from __future__ import annotations
@@ -22,6 +22,7 @@ from decimal import Decimal
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from boxmetrics.operators.sizing import fits
 from boxmetrics.schemas import INPUT_NUMBER, STAGING_SCHEMAS, TRANSFORM_SCHEMAS
 from boxmetrics.sources.layers import TRANSFORM, load_files, save_files, shared_folder
 from boxmetrics.tables import Staging, Tables
@@ -72,34 +73,66 @@ def _repeated(copies: Column) -> Column:
 
 
 class OrderTables:
-    """The Parquet files of one folder."""
+    """The Parquet files of one folder. Files are opened, and sizes measured, once."""
 
     def __init__(self, spark: SparkSession, folder: str) -> None:
         self._spark = spark
         self._folder = folder.rstrip("/")
-
-    def _read(self, name: str) -> DataFrame:
-        return self._spark.read.parquet(f"{self._folder}/{name}.parquet")
-
-    def _orders_with_market(self) -> DataFrame:
-        regions = self._read("nation").join(
-            self._read("region"), F.col("n_regionkey") == F.col("r_regionkey")
+        self._opened: dict[str, DataFrame] = {}
+        self._small: dict[str, bool] = {}
+
+    def _read(self, name: str, *columns: str) -> DataFrame:
+        if name not in self._opened:
+            self._opened[name] = self._spark.read.parquet(f"{self._folder}/{name}.parquet")
+        return self._opened[name].select(*columns)
+
+    def _looked_up(
+        self, frame: DataFrame, lookup: DataFrame, on: Column, table: str, *columns: str
+    ) -> DataFrame:
+        """Join a lookup that has the given columns of a table, or as much, under unique keys.
+
+        It is broadcast if these columns are small. If not, both sides are shuffled by key.
+        """
+        if table not in self._small:
+            self._small[table] = fits(self._read(table, *columns))
+        return frame.join(F.broadcast(lookup) if self._small[table] else lookup.hint("merge"), on)
+
+    def _orders_with_market(self, *columns: str) -> DataFrame:
+        regions = self._read("region", "r_regionkey", "r_name")
+        nations = self._read("nation", "n_nationkey", "n_regionkey")
+        customers = self._read("customer", "c_custkey", "c_nationkey")
+        orders = self._read("orders", "o_orderkey", "o_custkey", *columns)
+        in_region = F.col("n_regionkey") == F.col("r_regionkey")
+        in_nation = F.col("c_nationkey") == F.col("n_nationkey")
+        by_customer = F.col("o_custkey") == F.col("c_custkey")
+        nations = self._looked_up(nations, regions, in_region, "region", *regions.columns)
+        customers = self._looked_up(
+            customers, nations, in_nation, "nation", "n_nationkey", "n_regionkey"
+        ).select(
+            "c_custkey", _chosen(F.col("r_name"), MARKETS, MARKET_WITHOUT_RATE).alias("market")
         )
-        customers = self._read("customer").join(
-            regions, F.col("c_nationkey") == F.col("n_nationkey")
-        )
-        return (
-            self._read("orders")
-            .join(customers, F.col("o_custkey") == F.col("c_custkey"))
-            .withColumn("market", _chosen(F.col("r_name"), MARKETS, MARKET_WITHOUT_RATE))
+        return self._looked_up(
+            orders, customers, by_customer, "customer", "c_custkey", "c_nationkey"
         )
 
     def usage(self) -> DataFrame:
-        lines = self._read("lineitem").join(
-            self._orders_with_market(), F.col("l_orderkey") == F.col("o_orderkey")
+        lines = self._read(
+            "lineitem",
+            "l_orderkey",
+            "l_partkey",
+            "l_linenumber",
+            "l_quantity",
+            "l_returnflag",
+            "l_shipdate",
         )
+        parts = self._read("part", "p_partkey", "p_type", "p_size")
+        markets = self._orders_with_market().select("o_orderkey", "market")
+        of_part = F.col("l_partkey") == F.col("p_partkey")
+        of_order = F.col("l_orderkey") == F.col("o_orderkey")
+        lines = self._looked_up(lines, parts, of_part, "part", *parts.columns)
+        lines = self._looked_up(lines, markets, of_order, "orders", "o_orderkey", "o_custkey")
         named_box = _variant(_by_size(0), "/")
-        rows = lines.join(self._read("part"), F.col("l_partkey") == F.col("p_partkey")).select(
+        rows = lines.select(
             (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("order_id"),
             "market",
             F.when(F.col("l_partkey") % 37 != 0, named_box).alias("pkg_id"),
@@ -115,8 +148,8 @@ class OrderTables:
         )
 
     def packaging(self) -> DataFrame:
-        parts = self._read("part").select(
-            _by_size(0).alias("size_class"), _by_size(1).alias("class_name"), "p_type", "p_size"
+        parts = self._read("part", "p_type", "p_size").withColumns(
+            {"size_class": _by_size(0), "class_name": _by_size(1)}
         )
         # The largest promotional boxes are missing from the master, as unknown boxes are.
         known = ~((F.col("size_class") == LARGEST_CLASS[0]) & (F.col("p_type") == "PROMO"))
@@ -141,7 +174,7 @@ class OrderTables:
         )
 
     def standards(self) -> DataFrame:
-        sized = self._read("part").select(_by_size(0).alias("recommended_pkg_id"))
+        sized = self._read("part", "p_size").withColumn("recommended_pkg_id", _by_size(0))
         return sized.select(
             _chosen(F.col("recommended_pkg_id"), MEALS_OF_CLASS).cast("int").alias("meals_count"),
             "recommended_pkg_id",
@@ -150,7 +183,7 @@ class OrderTables:
     def rates(self) -> DataFrame:
         cents = F.round(F.col("o_totalprice") * 100).cast("bigint")
         quarters = (
-            self._orders_with_market()
+            self._orders_with_market("o_orderdate", "o_totalprice")
             .filter(F.col("market") != MARKET_WITHOUT_RATE)
             .groupBy(
                 "market",
@@ -184,15 +217,26 @@ class OrderTables:
         )
 
 
+_sources: dict[tuple[str, str], OrderTables] = {}
 _built: dict[tuple[str, str], Tables] = {}
 
 
+def _key(spark: SparkSession, folder: str) -> tuple[str, str]:
+    return spark.sparkContext.applicationId, folder.rstrip("/")
+
+
+def order_tables(spark: SparkSession, folder: str) -> OrderTables:
+    """The files of a folder, opened once per application."""
+    return _sources.setdefault(_key(spark, folder), OrderTables(spark, folder))
+
+
 def transform_tables(spark: SparkSession, folder: str) -> Tables:
     """Cleaned tables for a folder, built once per application and then read from files."""
-    key = (spark.sparkContext.applicationId, folder.rstrip("/"))
+    key = _key(spark, folder)
     if key not in _built:
-        digest = hashlib.sha256(key[1].encode()).hexdigest()[:16]
-        layer = f"{shared_folder(spark)}/boxmetrics/{key[0]}/{digest}/{TRANSFORM}"
-        save_files(build_transform(OrderTables(spark, folder).staging()).frames(), layer)
+        application, path = key
+        digest = hashlib.sha256(path.encode()).hexdigest()[:16]
+        layer = f"{shared_folder(spark)}/boxmetrics/{application}/{digest}/{TRANSFORM}"
+        save_files(build_transform(order_tables(spark, folder).staging()).frames(), layer)
         _built[key] = Tables.from_frames(load_files(spark, TRANSFORM_SCHEMAS, layer))
     return _built[key]

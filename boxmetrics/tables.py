@@ -118,3 +118,11 @@ class Tables:
     @cached_property
     def rates_fit(self) -> bool:
         return fits(self.rates, self.broadcast_limit)
+
+    @cached_property
+    def order_ids_complete(self) -> bool:
+        """Whether every usage row has an order id.
+
+        On Parquet this reads statistics only: no row group without nulls is opened.
+        """
+        return self.usage.filter(F.col("order_id").isNull()).isEmpty()
