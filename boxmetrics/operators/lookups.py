@@ -49,7 +49,7 @@ def with_rate(frame: DataFrame, tables: Tables) -> DataFrame:
         joined = (
             frame.withColumn("order_month", month)
             .join(
-                _rates_by_month(frame, tables.rate_lookup),
+                _rates_by_month(tables),
                 same_market & (F.col("order_month") == F.col("rate_month")) & valid,
             )
             .drop("order_month", "rate_month")
@@ -57,14 +57,16 @@ def with_rate(frame: DataFrame, tables: Tables) -> DataFrame:
     return joined.drop("rate_market", "valid_from", "valid_to")
 
 
-def _rates_by_month(frame: DataFrame, rates: DataFrame) -> DataFrame:
-    """One row per rate and month, for the months in which there are orders at all.
+def _rates_by_month(tables: Tables) -> DataFrame:
+    """One row per rate and month, for the months in which there is usage at all.
 
     An open-ended rate runs to the year 9999, so every range is cut to the dates seen.
     """
-    seen = frame.agg(F.struct(F.min("order_date").alias("lo"), F.max("order_date").alias("hi")))
+    seen = tables.usage.agg(
+        F.struct(F.min("order_date").alias("lo"), F.max("order_date").alias("hi"))
+    )
     return (
-        rates.withColumn("seen", seen.scalar())
+        tables.rate_lookup.withColumn("seen", seen.scalar())
         .withColumn("first_day", F.greatest("valid_from", "seen.lo"))
         .withColumn("last_day", F.least("valid_to", "seen.hi"))
         .filter(F.col("seen.lo").isNotNull() & (F.col("first_day") <= F.col("last_day")))

@@ -1,4 +1,4 @@
-"""Expansion of a result over a grid of assumptions."""
+"""Expansion of rows: over a grid of assumptions, and into a number of copies."""
 
 from __future__ import annotations
 
@@ -14,3 +14,21 @@ def over_grid(frame: DataFrame, grid: Sequence[Mapping[str, object]]) -> DataFra
         F.struct(*[F.lit(value).alias(name) for name, value in point.items()]) for point in grid
     ]
     return frame.select("*", F.inline(F.array(*points)))
+
+
+_BLOCK = 4096
+
+
+def in_copies(frame: DataFrame, copies: str) -> DataFrame:
+    """Repeat every row as often as its column `copies` says, and drop that column.
+
+    Copies are made in blocks, so that no row needs an array as long as its number.
+    """
+    copy = F.col(copies)
+    blocks = F.sequence(F.lit(0).cast("bigint"), F.floor((copy - 1) / _BLOCK))
+    in_block = F.least(F.lit(_BLOCK).cast("bigint"), copy - F.col("block") * _BLOCK)
+    return (
+        frame.withColumn("block", F.explode(blocks))
+        .withColumn("copy", F.explode(F.sequence(F.lit(1).cast("bigint"), in_block)))
+        .drop("block", "copy", copies)
+    )

@@ -168,7 +168,8 @@ def _damage_by(label: str, grouping: str = "") -> str:
     )
 
 
-def _queries() -> dict[str, str]:
+def reports() -> dict[str, str]:
+    """Queries over the relations `box`, `std`, `rate` and `usage`, without a WITH clause."""
     overspend = _parts_of_overspend()
     sums = {name: f"sum({value})" for name, value in overspend.items()}
     price, size = _double(sums["price_hike_impact_eur"]), _double(sums["overboxing_impact_eur"])
@@ -436,4 +437,4 @@ def _queries() -> dict[str, str]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: f"WITH {_SOURCE} {query}" for name, query in _queries().items()}
+    return {name: f"WITH {_SOURCE} {query}" for name, query in reports().items()}

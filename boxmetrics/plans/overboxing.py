@@ -23,6 +23,7 @@ from boxmetrics.operators.filters import Q1_2026, Window, boxed, selected
 from boxmetrics.operators.grain import rated_counts, usage_counts, weighted
 from boxmetrics.operators.lookups import with_box, with_rate, with_recommendation
 from boxmetrics.operators.ordering import down, sorted_rows, up
+from boxmetrics.operators.scenarios import in_copies
 from boxmetrics.tables import Tables
 
 # The two contract rates the decomposition compares.
@@ -80,9 +81,9 @@ def overboxing_detail(tables: Tables, levels: Mapping[str, int] = BOX_LEVELS) ->
         ideal_cost().alias("ideal_cost_eur"),
         "cost_inefficiency_eur",
         "is_damaged",
-        F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("copies"))).alias("copy"),
+        "copies",
     )
-    return decimals_as_doubles(result.drop("copy"))
+    return decimals_as_doubles(in_copies(result, "copies"))
 
 
 def overboxing_by_market(tables: Tables) -> DataFrame:

@@ -4,15 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import SparkSession
 
-PARTITION_BYTES = 128 * 1024 * 1024
+MEGABYTE = 1024 * 1024
+INPUT_PER_PARTITION = 1024 * MEGABYTE
 
 
 def shuffle_partitions(input_bytes: int, cores: int) -> int:
-    """Enough partitions to keep each near 128 MB, and every core busy.
+    """Upper number of shuffle partitions; adaptive execution merges what is small.
 
-    Adaptive execution merges what turns out small, so this is an upper number.
+    Reports read about a quarter of the bytes of the files, so a gigabyte of input gives
+    some 256 MB to shuffle, which a task sorts in memory.
     """
-    return max(cores, -(-input_bytes // PARTITION_BYTES))
+    return max(cores, -(-input_bytes // INPUT_PER_PARTITION))
 
 
 def build_session(master: str, cores: int, input_bytes: int = 0, **settings: str) -> SparkSession:
@@ -26,7 +28,9 @@ def build_session(master: str, cores: int, input_bytes: int = 0, **settings: str
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions(input_bytes, cores)))
-        .config("spark.sql.files.maxPartitionBytes", str(PARTITION_BYTES))
+        .config("spark.sql.files.maxPartitionBytes", str(256 * MEGABYTE))
+        # Also decides how large the files of a layer become.
+        .config("spark.sql.adaptive.advisoryPartitionSizeInBytes", str(256 * MEGABYTE))
     )
     for name, value in settings.items():
         builder = builder.config(name, value)

@@ -22,7 +22,7 @@ from decimal import Decimal
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from boxmetrics.operators.sizing import fits
+from boxmetrics.operators.sizing import BROADCAST_LIMIT_BYTES, fits
 from boxmetrics.schemas import INPUT_NUMBER, STAGING_SCHEMAS, TRANSFORM_SCHEMAS
 from boxmetrics.sources.layers import TRANSFORM, load_files, save_files, shared_folder
 from boxmetrics.tables import Staging, Tables
@@ -75,9 +75,12 @@ def _repeated(copies: Column) -> Column:
 class OrderTables:
     """The Parquet files of one folder. Files are opened, and sizes measured, once."""
 
-    def __init__(self, spark: SparkSession, folder: str) -> None:
+    def __init__(
+        self, spark: SparkSession, folder: str, broadcast_limit: int = BROADCAST_LIMIT_BYTES
+    ) -> None:
         self._spark = spark
         self._folder = folder.rstrip("/")
+        self._broadcast_limit = broadcast_limit
         self._opened: dict[str, DataFrame] = {}
         self._small: dict[str, bool] = {}
 
@@ -94,7 +97,7 @@ class OrderTables:
         It is broadcast if these columns are small. If not, both sides are shuffled by key.
         """
         if table not in self._small:
-            self._small[table] = fits(self._read(table, *columns))
+            self._small[table] = fits(self._read(table, *columns), self._broadcast_limit)
         return frame.join(F.broadcast(lookup) if self._small[table] else lookup.hint("merge"), on)
 
     def _orders_with_market(self, *columns: str) -> DataFrame:

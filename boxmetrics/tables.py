@@ -41,7 +41,8 @@ class Tables:
     """Cleaned tables, with the lookups derived from the three dimensions.
 
     A lookup is broadcast only if its measured size is within `broadcast_limit`. Each
-    lookup is measured once per `Tables`, by one aggregate over the lookup itself.
+    lookup is measured once per `Tables`, by one aggregate over the lookup itself. The
+    frames should read stored tables, since reports read usage more than once.
     """
 
     packaging: DataFrame
@@ -101,23 +102,23 @@ class Tables:
         """`meals_count` to the recommended box; standards without a known box drop out."""
         return self._lookup(self._recommended("inner"))
 
+    @cached_property
+    def rates_fit(self) -> bool:
+        """Whether the rates are within the broadcast limit; `with_rate` has two ways."""
+        return fits(self.rates, self.broadcast_limit)
+
     @cached_property
     def rate_lookup(self) -> DataFrame:
         """Rates with their validity. The contract's material is no part of the lookup."""
-        return self._lookup(
-            self.rates.select(
-                F.col("market").alias("rate_market"),
-                "valid_from",
-                "valid_to",
-                "cost_per_m2",
-                "currency",
-                "cost_per_m2_eur",
-            )
+        rates = self.rates.select(
+            F.col("market").alias("rate_market"),
+            "valid_from",
+            "valid_to",
+            "cost_per_m2",
+            "currency",
+            "cost_per_m2_eur",
         )
-
-    @cached_property
-    def rates_fit(self) -> bool:
-        return fits(self.rates, self.broadcast_limit)
+        return F.broadcast(rates) if self.rates_fit else rates
 
     @cached_property
     def order_ids_complete(self) -> bool:

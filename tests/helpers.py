@@ -37,3 +37,9 @@ def staging_of(spark, packaging=(), standards=(), rates=(), usage=()) -> Staging
         rates=frame(rates, schemas.STAGING_RATES),
         usage=frame(usage, schemas.STAGING_USAGE),
     )
+
+
+def plan_of(frame) -> str:
+    """The physical plan as `explain("formatted")` prints it."""
+    modes = frame.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode
+    return frame._jdf.queryExecution().explainString(modes.fromString("formatted"))

@@ -1,0 +1,167 @@
+"""What the physical plans look like, and what they do with hot keys."""
+
+from __future__ import annotations
+
+from datetime import date, timedelta
+
+import pytest
+
+from boxmetrics.operators.scenarios import in_copies
+from boxmetrics.operators.sizing import fits, measured_bytes
+from boxmetrics.plans import damage, markets, overboxing
+from boxmetrics.plans.registry import REPORTS
+from boxmetrics.schemas import TRANSFORM_SCHEMAS
+from boxmetrics.sources.layers import load_files, save_files
+from boxmetrics.tables import Tables
+from boxmetrics.transforms import build_transform
+from tests import edge_cases
+from tests.helpers import plan_of, staging_of
+
+
+def usage_scans(plan: str) -> list[str]:
+    """The parts of a formatted plan that describe a scan of usage."""
+    parts = [part for part in plan.split("\n\n") if "Scan parquet" in part]
+    return [part for part in parts if "fact_box_usage" in part]
+
+
+def read_columns(scan: str) -> set[str]:
+    [schema] = [line for line in scan.splitlines() if line.startswith("ReadSchema")]
+    return {field.split(":")[0] for field in schema.split("<")[1].rstrip(">").split(",")}
+
+
+@pytest.mark.parametrize("name", sorted(REPORTS))
+def test_no_cross_joins(seed_tables, name):
+    plan = plan_of(REPORTS[name](seed_tables))
+    assert "CartesianProduct" not in plan
+    assert "BroadcastNestedLoopJoin" not in plan
+
+
+def test_window_and_columns_reach_the_scan(seed_tables):
+    [scan] = usage_scans(plan_of(markets.total_cost_per_market(seed_tables)))
+    assert "GreaterThanOrEqual(order_date,2026-01-01)" in scan
+    assert "LessThanOrEqual(order_date,2026-03-31)" in scan
+    assert "IsNotNull(pkg_id)" in scan
+    assert read_columns(scan) == {"market", "pkg_id", "meals_count", "order_date", "is_damaged"}
+
+
+def test_totals_leave_unused_columns_in_the_file(seed_tables):
+    [scan] = usage_scans(plan_of(damage.damage_rate(seed_tables)))
+    assert read_columns(scan) == {"market", "pkg_id", "meals_count", "is_damaged"}
+
+
+@pytest.mark.parametrize(
+    "name",
+    [
+        "q02_total_cost_per_market",
+        "q05c_cpm_by_market",
+        "q06a_material_summary",
+        "q07a_market_scorecard",
+        "q08a_damage_rate",
+        "q09a_yoy_cost",
+        "q11_box_type_economics",
+        "qf2_overboxing_gap",
+    ],
+)
+def test_reports_scan_usage_once_and_never_shuffle_its_rows(seed_tables, name):
+    plan = plan_of(REPORTS[name](seed_tables))
+    assert len(usage_scans(plan)) == 1
+    assert "SortMergeJoin" not in plan
+    # What the lowest shuffle moves are counts.
+    tree = plan.split("\n\n")[0].splitlines()
+    shuffles = [at for at, line in enumerate(tree) if line.lstrip(" :+-").startswith("Exchange")]
+    assert "HashAggregate" in tree[shuffles[-1] + 1]
+
+
+def test_lookups_beyond_the_limit_are_not_broadcast(spark, seed_tables):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        tables = Tables.from_frames(seed_tables.frames(), broadcast_limit=0)
+        plan = plan_of(markets.total_cost_per_market(tables))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "BroadcastHashJoin" not in plan
+    assert "SortMergeJoin" in plan
+    assert "rate_month" in plan
+
+
+def test_measured_size_grows_with_rows_and_text(spark):
+    short = spark.createDataFrame([("a", 1)], "name string, n int")
+    long = spark.createDataFrame([("a" * 1000, 1)], "name string, n int")
+    assert measured_bytes(long) - measured_bytes(short) == 999
+    assert measured_bytes(short.union(short)) == 2 * measured_bytes(short)
+    assert measured_bytes(short.limit(0)) == 0
+    assert fits(short) and not fits(long, 1000)
+
+
+def test_copies_beyond_one_block(spark):
+    rows = spark.createDataFrame([("a", 1), ("b", 4096), ("c", 10000)], "k string, n bigint")
+    counts = {row["k"]: row["count"] for row in in_copies(rows, "n").groupBy("k").count().collect()}
+    assert counts == {"a": 1, "b": 4096, "c": 10000}
+
+
+def hot_usage(rows: int) -> list[tuple]:
+    """A third of the rows share an order id, as different rows."""
+    first = date(2025, 1, 1)
+    boxes = ["P-S", "P-M", "P-L", "P-XL"]
+    result = []
+    for number in range(rows):
+        order_id = 1 if number % 3 == 0 else 10 + number
+        day = first + timedelta(number % 700)
+        meals = (2, 4, 6)[number // 700 % 3]
+        market = ("DE", "UK")[number // 2100 % 2]
+        damaged = number // 4200 % 2
+        result.append((order_id, market, boxes[number // 8400 % 4], meals, day, damaged))
+    return result
+
+
+def test_hot_order_id_is_split(spark, tmp_path):
+    """The partition of a hot order id is read by several tasks, and all pairs are counted."""
+    rows = hot_usage(30000)
+    staging = staging_of(spark, edge_cases.PACKAGING, edge_cases.STANDARDS, edge_cases.RATES, rows)
+    built = build_transform(staging).frames()
+    # A partition is split between the tasks that wrote it, so there must be several files.
+    built["fact_box_usage"] = built["fact_box_usage"].repartition(8)
+    save_files(built, str(tmp_path))
+    tables = Tables.from_frames(load_files(spark, TRANSFORM_SCHEMAS, str(tmp_path)))
+    hot = [row for row in set(rows) if row[0] == 1]
+    assert len(hot) > 9000
+    settings = {
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "32k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "16k",
+        "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false",
+        "spark.sql.shuffle.partitions": "16",
+        "spark.sql.files.maxPartitionBytes": "40k",
+        "spark.sql.files.openCostInBytes": "0",
+    }
+    before = {name: spark.conf.get(name, None) for name in settings}
+    for name, value in settings.items():
+        spark.conf.set(name, value)
+    try:
+        frame = overboxing.overboxing_by_market(tables)
+        result = {row["market"]: row["total_orders"] for row in frame.collect()}
+        assert "SortMergeJoin(skew=true)" in frame._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
+    singles = [row for row in set(rows) if row[0] != 1]
+    for market in ("DE", "UK"):
+        in_hot = sum(row[1] == market for row in hot)
+        assert result[market] == in_hot * len(hot) + sum(row[1] == market for row in singles)
+
+
+def test_sort_key_shared_by_many_rows_is_spread(spark, seed_tables):
+    """Sorted results are cut into ranges of whole rows, not of the few dates."""
+    day = date(2026, 1, 5)
+    usage = [(number, "DE", None, 2, day, 0) for number in range(20000)]
+    staging = staging_of(spark, edge_cases.PACKAGING, edge_cases.STANDARDS, edge_cases.RATES, usage)
+    settings = {"spark.sql.adaptive.enabled": "false", "spark.sql.shuffle.partitions": "8"}
+    before = {name: spark.conf.get(name) for name in settings}
+    for name, value in settings.items():
+        spark.conf.set(name, value)
+    try:
+        rows = REPORTS["q01b_null_pkg"](build_transform(staging)).rdd.glom().map(len).collect()
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+    assert len(rows) == 8 and max(rows) < 5000
