@@ -49,10 +49,10 @@ def usage_counts(usage: DataFrame, tables: Tables, *keys: str) -> DataFrame:
 def rated_counts(weighted_usage: DataFrame, tables: Tables, *keys: str) -> DataFrame:
     """Weights per combination of `keys` and rate in force.
 
-    The rate is looked up before counting, so that dates need not be kept apart. With a
-    rate card too large to broadcast it is the other way round: counting per date first
-    makes the table small, and the join shuffles only the counts.
+    The rate is looked up before counting, so that dates need not be kept apart. With
+    rates too many to broadcast it is the other way round: counting per date first makes
+    the table small, and the join shuffles only the counts.
     """
-    if not tables.rates_fit:
+    if not tables.calendar_fits:
         weighted_usage = folded(weighted_usage, *keys, "order_date")
     return folded(with_rate(weighted_usage, tables), *keys, "cost_per_m2_eur")

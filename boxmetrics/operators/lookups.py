@@ -2,13 +2,13 @@
 
 Usage is never shuffled on a dimension key while the lookup is within the broadcast
 limit: markets, boxes and meal counts have few values, so such a shuffle would put most
-rows into a handful of tasks. A lookup beyond the limit is joined without a hint, as a
-shuffle join whose hot partitions adaptive execution splits.
+rows into a handful of tasks. A lookup beyond the limit is joined by sorting and merging,
+and adaptive execution splits the hot partitions.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from boxmetrics.tables import Tables
@@ -38,47 +38,30 @@ def with_standard(frame: DataFrame, tables: Tables) -> DataFrame:
 def with_rate(frame: DataFrame, tables: Tables) -> DataFrame:
     """Add the rate in force in the market on the order date.
 
-    Rows without such a rate drop out; two rates in force at once give two rows.
+    Rows without such a rate drop out; two rates in force at once give two rows. Rates are
+    looked up by day. If a row per rate and day is too much to broadcast, they are matched
+    by month in a shuffle join, and their first and last day is compared.
     """
-    valid = F.col("order_date").between(F.col("valid_from"), F.col("valid_to"))
-    same_market = F.col("market") == F.col("rate_market")
-    if tables.rates_fit:
-        joined = frame.join(tables.rate_lookup, same_market & valid)
+    if tables.calendar_fits:
+        calendar = F.broadcast(tables.rate_calendar)
+        same_day = F.col("order_date") == F.col("rate_date")
+        joined = frame.join(calendar, _same_market() & same_day).drop("rate_date")
     else:
-        month = F.trunc("order_date", "month")
+        by_month = tables.rates_in_use.withColumn("rate_month", F.explode(_months())).hint("merge")
+        same_month = F.col("order_month") == F.col("rate_month")
+        valid = F.col("order_date").between(F.col("first_day"), F.col("last_day"))
         joined = (
-            frame.withColumn("order_month", month)
-            .join(
-                _rates_by_month(tables),
-                same_market & (F.col("order_month") == F.col("rate_month")) & valid,
-            )
-            .drop("order_month", "rate_month")
+            frame.withColumn("order_month", F.trunc("order_date", "month"))
+            .join(by_month, _same_market() & same_month & valid)
+            .drop("order_month", "rate_month", "first_day", "last_day")
         )
-    return joined.drop("rate_market", "valid_from", "valid_to")
+    return joined.drop("rate_market")
 
 
-def _rates_by_month(tables: Tables) -> DataFrame:
-    """One row per rate and month, for the months in which there is usage at all.
+def _same_market() -> Column:
+    return F.col("market") == F.col("rate_market")
 
-    An open-ended rate runs to the year 9999, so every range is cut to the dates seen.
-    """
-    seen = tables.usage.agg(
-        F.struct(F.min("order_date").alias("lo"), F.max("order_date").alias("hi"))
-    )
-    return (
-        tables.rate_lookup.withColumn("seen", seen.scalar())
-        .withColumn("first_day", F.greatest("valid_from", "seen.lo"))
-        .withColumn("last_day", F.least("valid_to", "seen.hi"))
-        .filter(F.col("seen.lo").isNotNull() & (F.col("first_day") <= F.col("last_day")))
-        .withColumn(
-            "rate_month",
-            F.explode(
-                F.sequence(
-                    F.trunc("first_day", "month"),
-                    F.trunc("last_day", "month"),
-                    F.expr("interval 1 month"),
-                )
-            ),
-        )
-        .drop("seen", "first_day", "last_day")
-    )
+
+def _months() -> Column:
+    first, last = F.trunc("first_day", "month"), F.trunc("last_day", "month")
+    return F.sequence(first, last, F.expr("interval 1 month"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 from dataclasses import dataclass
+from datetime import date
 from functools import cached_property
 
 from pyspark.sql import DataFrame
@@ -42,7 +43,8 @@ class Tables:
 
     A lookup is broadcast only if its measured size is within `broadcast_limit`. Each
     lookup is measured once per `Tables`, by one aggregate over the lookup itself. The
-    frames should read stored tables, since reports read usage more than once.
+    frames should read stored tables, since usage is read by every report and twice more
+    for facts about it.
     """
 
     packaging: DataFrame
@@ -59,7 +61,7 @@ class Tables:
         return {name: getattr(self, field) for name, field in _FIELDS.items()}
 
     def _lookup(self, frame: DataFrame) -> DataFrame:
-        return F.broadcast(frame) if fits(frame, self.broadcast_limit) else frame
+        return F.broadcast(frame) if fits(frame, self.broadcast_limit) else frame.hint("merge")
 
     @cached_property
     def box_lookup(self) -> DataFrame:
@@ -103,22 +105,45 @@ class Tables:
         return self._lookup(self._recommended("inner"))
 
     @cached_property
-    def rates_fit(self) -> bool:
-        """Whether the rates are within the broadcast limit; `with_rate` has two ways."""
-        return fits(self.rates, self.broadcast_limit)
+    def dates_seen(self) -> tuple[date | None, date | None]:
+        """First and last order date in usage, null if it has none."""
+        first, last = F.min("order_date"), F.max("order_date")
+        return tuple(self.usage.agg(first.alias("first"), last.alias("last")).first())
 
     @cached_property
-    def rate_lookup(self) -> DataFrame:
-        """Rates with their validity. The contract's material is no part of the lookup."""
-        rates = self.rates.select(
+    def rates_in_use(self) -> DataFrame:
+        """Rates with the part of their validity in which there is usage.
+
+        An open-ended rate runs to the year 9999; the part in use is as short as usage.
+        The contract's material is no part of the lookup.
+        """
+        first, last = (F.lit(day).cast("date") for day in self.dates_seen)
+        return self.rates.select(
             F.col("market").alias("rate_market"),
-            "valid_from",
-            "valid_to",
+            F.greatest("valid_from", first).alias("first_day"),
+            F.least("valid_to", last).alias("last_day"),
             "cost_per_m2",
             "currency",
             "cost_per_m2_eur",
+        ).filter(
+            F.col("valid_from").isNotNull()
+            & F.col("valid_to").isNotNull()
+            & first.isNotNull()
+            & (F.col("first_day") <= F.col("last_day"))
         )
-        return F.broadcast(rates) if self.rates_fit else rates
+
+    @cached_property
+    def rate_calendar(self) -> DataFrame:
+        """One row per rate and day, which makes the lookup a plain equality."""
+        days = F.sequence("first_day", "last_day")
+        calendar = self.rates_in_use.withColumn("rate_date", F.explode(days))
+        return calendar.drop("first_day", "last_day")
+
+    @cached_property
+    def calendar_fits(self) -> bool:
+        """Whether the calendar can be broadcast; `with_rate` has another way if not."""
+        limit = self.broadcast_limit
+        return fits(self.rates_in_use, limit) and fits(self.rate_calendar, limit)
 
     @cached_property
     def order_ids_complete(self) -> bool:
