@@ -139,7 +139,8 @@ _PLAIN_FIT = (
 
 
 def _level(pkg_id: str) -> str:
-    return f"list_position(['P-S', 'P-M', 'P-L', 'P-XL'], {pkg_id})"
+    """Place of a box, or of the box it is a variant of, in the size order."""
+    return f"list_position(['P-S', 'P-M', 'P-L', 'P-XL'], split_part({pkg_id}, '/', 1))"
 
 
 def _parts_of_overspend() -> dict[str, str]:

@@ -22,6 +22,7 @@ from decimal import Decimal
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from boxmetrics.functions.fit import BOX_LEVELS
 from boxmetrics.operators.sizing import BROADCAST_LIMIT_BYTES, fits
 from boxmetrics.schemas import INPUT_NUMBER, STAGING_SCHEMAS, TRANSFORM_SCHEMAS
 from boxmetrics.sources.layers import TRANSFORM, load_files, save_files, shared_folder
@@ -35,6 +36,7 @@ DAYS = 730
 LAST_QUARTER = date(2026, 10, 1)
 OPEN_END = date(9999, 12, 31)
 STANDARD_TYPE = "STANDARD"
+PART_TYPES = ("ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD")
 MARKETS = {"AFRICA": "DE", "EUROPE": "DE", "AMERICA": "UK", "ASIA": "NL"}
 MARKET_WITHOUT_RATE = "FR"
 SIZE_CLASSES = ((12, "P-S", "Small Box"), (25, "P-M", "Medium Box"), (40, "P-L", "Large Box"))
@@ -43,6 +45,12 @@ MEALS_OF_CLASS = {"P-S": 2, "P-M": 4, "P-L": 6}
 MEALS_OF_QUANTITY = {0: 2, 1: 4, 2: 6, 3: 12, 4: 2}
 
 
+def box_levels() -> dict[str, int]:
+    """Levels of all boxes: a variant is as large as the box of its size class."""
+    variants = ["" if kind == STANDARD_TYPE else f"/{kind}" for kind in PART_TYPES]
+    return {f"{box}{variant}": level for box, level in BOX_LEVELS.items() for variant in variants}
+
+
 def _chosen(column: Column, values: dict, otherwise: object = None) -> Column:
     result = F.lit(otherwise)
     for key, value in values.items():
