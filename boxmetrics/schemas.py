@@ -16,9 +16,10 @@ RATE_EUR = T.DecimalType(14, 6)
 
 # Types of the intermediate values that are summed. A cost is held to ten places: exact
 # for four-place areas and six-place rates. Ratios are quotients, so they are rounded.
-COST = T.DecimalType(20, 10)
+# A cost or ratio times a number of rows just fits the 38 digits a decimal can have.
+COST = T.DecimalType(19, 10)
 RATIO = T.DecimalType(18, 8)
-ROWS = T.DecimalType(15, 0)
+ROWS = T.DecimalType(18, 0)
 
 
 def _table(*columns: tuple[str, T.DataType]) -> T.StructType:

@@ -42,7 +42,9 @@ def save_tables(
     database = layer_name(layer, default)
     spark.sql(f"CREATE DATABASE IF NOT EXISTS `{database}`")
     for name, frame in frames.items():
-        _laid_out(name, frame).write.mode("overwrite").saveAsTable(f"`{database}`.`{name}`")
+        # Raw tables are read once, as a whole: their order does not matter.
+        rows = frame if database == STAGING else _laid_out(name, frame)
+        rows.write.mode("overwrite").saveAsTable(f"`{database}`.`{name}`")
 
 
 def load_tables(

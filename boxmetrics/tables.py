@@ -44,7 +44,8 @@ class Tables:
     A lookup is broadcast only if its measured size is within `broadcast_limit`. Each
     lookup is measured once per `Tables`, by one aggregate over the lookup itself. The
     frames should read stored tables, since usage is read by every report and twice more
-    for facts about it.
+    for facts about it. These facts hold for the tables as they are: after a rebuild of a
+    layer, make a new `Tables`.
     """
 
     packaging: DataFrame

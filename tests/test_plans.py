@@ -72,6 +72,12 @@ def test_reports_scan_usage_once_and_never_shuffle_its_rows(seed_tables, name):
     assert "HashAggregate" in tree[shuffles[-1] + 1]
 
 
+def test_copies_of_a_row_are_merged_before_the_shuffle(seed_staging):
+    tree = plan_of(build_transform(seed_staging).usage).split("\n\n")[0].splitlines()
+    [shuffle] = [at for at, line in enumerate(tree) if "Exchange" in line]
+    assert "HashAggregate" in tree[shuffle + 1]
+
+
 def test_lookups_beyond_the_limit_are_not_broadcast(spark, seed_tables):
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:

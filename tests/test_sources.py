@@ -9,12 +9,13 @@ from pathlib import Path
 import pytest
 
 from boxmetrics import schemas
+from boxmetrics.build import build_layers, open_layers
+from boxmetrics.plans.registry import REPORTS
 from boxmetrics.sources import layers
 from boxmetrics.sources.csv_files import read_csv
 from boxmetrics.sources.order_tables import OrderTables
-from boxmetrics.tables import Tables
-from boxmetrics.transforms import build_transform
-from tests.helpers import plan_of
+from tests.expected import CHECKS
+from tests.helpers import assert_rows, plan_of
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -75,17 +76,22 @@ def test_layer_name():
     assert layers.layer_name(None, "public") == "public"
 
 
-def test_layers_as_tables(spark, seed_staging):
-    layers.save_tables(spark, seed_staging.frames(), layers.STAGING)
-    staged = layers.load_tables(spark, schemas.STAGING_SCHEMAS, layers.STAGING)
-    assert staged["fact_box_usage"].count() == 9
-    cleaned = build_transform(type(seed_staging).from_frames(staged))
-    for _ in range(2):  # a second run replaces the first
-        layers.save_tables(spark, cleaned.frames(), layers.TRANSFORM)
-    tables = Tables.from_frames(layers.load_tables(spark, schemas.TRANSFORM_SCHEMAS, layers.TRANSFORM))
-    assert tables.usage.count() == 8
-    layers.save_tables(spark, {"fact_box_usage": cleaned.usage}, None, default="plain")
-    assert spark.table("plain.fact_box_usage").count() == 8
+def test_build_of_both_layers(spark, seed_folder):
+    for _ in range(2):  # a second build replaces the first
+        tables = build_layers(spark, seed_folder)
+    assert spark.table("staging.fact_box_usage").count() == 9
+    assert spark.table("transform.fact_box_usage").count() == 8
+    columns, rows = CHECKS["q02_total_cost_per_market"]
+    for opened in (tables, open_layers(spark)):
+        assert_rows(REPORTS["q02_total_cost_per_market"](opened), columns, rows)
+
+
+def test_default_layer(spark, seed_tables):
+    layers.save_tables(spark, {"fact_box_usage": seed_tables.usage}, None, default="plain")
+    frames = layers.load_tables(
+        spark, {"fact_box_usage": schemas.STAGING_USAGE}, None, default="plain"
+    )
+    assert frames["fact_box_usage"].count() == 8
 
 
 def test_files_hold_dates_in_order(spark, tmp_path):
