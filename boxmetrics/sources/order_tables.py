@@ -16,6 +16,7 @@ merges, in which adaptive execution splits the partitions of hot keys.
 from __future__ import annotations
 
 import hashlib
+import threading
 from datetime import date
 from decimal import Decimal
 
@@ -230,6 +231,7 @@ class OrderTables:
 
 _sources: dict[tuple[str, str], OrderTables] = {}
 _built: dict[tuple[str, str], Tables] = {}
+_building = threading.Lock()
 
 
 def _key(spark: SparkSession, folder: str) -> tuple[str, str]:
@@ -244,10 +246,11 @@ def order_tables(spark: SparkSession, folder: str) -> OrderTables:
 def transform_tables(spark: SparkSession, folder: str) -> Tables:
     """Cleaned tables for a folder, built once per application and then read from files."""
     key = _key(spark, folder)
-    if key not in _built:
-        application, path = key
-        digest = hashlib.sha256(path.encode()).hexdigest()[:16]
-        layer = f"{shared_folder(spark)}/boxmetrics/{application}/{digest}/{TRANSFORM}"
-        save_files(build_transform(order_tables(spark, folder).staging()).frames(), layer)
-        _built[key] = Tables.from_frames(load_files(spark, TRANSFORM_SCHEMAS, layer))
-    return _built[key]
+    with _building:
+        if key not in _built:
+            application, path = key
+            digest = hashlib.sha256(path.encode()).hexdigest()[:16]
+            layer = f"{shared_folder(spark)}/boxmetrics/{application}/{digest}/{TRANSFORM}"
+            save_files(build_transform(order_tables(spark, folder).staging()).frames(), layer)
+            _built[key] = Tables.from_frames(load_files(spark, TRANSFORM_SCHEMAS, layer))
+        return _built[key]

@@ -49,8 +49,14 @@ def test_every_digit_survives_conversion(spark):
 def test_other_units_and_currencies_pass_through(spark):
     staging = staging_of(
         spark,
-        packaging=[("A", "A", "M", Decimal("3"), "sqft", "Active"), ("B", "B", "M", Decimal("4"), None, "Active")],
-        rates=[("US", "M", Decimal("2"), "USD", DAY, DAY), ("XX", "M", Decimal("5"), None, DAY, DAY)],
+        packaging=[
+            ("A", "A", "M", Decimal("3"), "sqft", "Active"),
+            ("B", "B", "M", Decimal("4"), None, "Active"),
+        ],
+        rates=[
+            ("US", "M", Decimal("2"), "USD", DAY, DAY),
+            ("XX", "M", Decimal("5"), None, DAY, DAY),
+        ],
     )
     boxes = transforms.packaging_master(staging.packaging).collect()
     rates = transforms.procurement_cost(staging.rates).collect()
