@@ -6,14 +6,31 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from boxmetrics.llm.packing import packed
 from boxmetrics.llm.sharding import sharded
 from boxmetrics.llm.simhash import near_duplicates
+from boxmetrics.llm.substrings import deduplicated
 
 
 def _documents(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.parquet(f"{folder.rstrip('/')}/documents.parquet")
 
 
+def _tokenizer(name: str) -> str:
+    """Place of a vocabulary file, which every machine has at the same path."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
+
+
+def op1_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return packed(_documents(spark, folder), _tokenizer("byte_bpe_50k.json"))
+
+
+def op3_substrings(spark: SparkSession, folder: str) -> DataFrame:
+    return deduplicated(_documents(spark, folder))
+
+
 def op9_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates(_documents(spark, folder)).select("doc_id", "fingerprint", "component_id")
 
@@ -23,7 +40,12 @@ def op10_sharding(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op9_simhash": op9_simhash, "op10_sharding": op10_sharding}
+    return {
+        "op1_packing": op1_packing,
+        "op3_substrings": op3_substrings,
+        "op9_simhash": op9_simhash,
+        "op10_sharding": op10_sharding,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
