@@ -8,7 +8,6 @@ a count. Patterns are then joined back to the pieces by their rank among pieces
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -20,62 +19,153 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from boxmetrics.llm.common import keyed, numbered, stored
+from boxmetrics.llm.words import CHUNK_BYTES, Words, words_of
 
 CAPACITY = 1024
 END_ID = 0
 #: A tail of this length or more is cut there: halves fill sequences exactly.
 TAIL_CUT = 512
 #: Words whose ids a task remembers.
-REMEMBERED_WORDS = 300_000
+REMEMBERED_WORDS = 1_500_000
 
 PIECE = "array<struct<start: bigint, length: bigint, ids_crc32: bigint>>"
 
-# No token of the byte-level vocabulary goes across one space between two other characters.
-_GAP = re.compile(r" (?<=\S )(?=\S)")
+# Beginnings of the UTF-8 forms of white space beyond ASCII, and the rare ASCII ones. A text
+# with any of them is encoded in one go.
+_WIDE_SPACES = [
+    b"\x1c", b"\x1d", b"\x1e", b"\x1f", b"\xc2\x85", b"\xc2\xa0",
+    b"\xe1\x9a\x80", b"\xe2\x80", b"\xe2\x81\x9f", b"\xe3\x80\x80",
+]
+_GAPS = (0x20, 0x0A)
+
+
+@dataclass(frozen=True)
+class Vocabulary:
+    """A byte-level vocabulary: its file of ranks, and the pattern that parts a text."""
+
+    path: str
+    pattern: str
 
 
 @lru_cache(maxsize=2)
-def _tokenizer(path: str):
-    from tokenizers import Tokenizer
+def _encoding(vocabulary: Vocabulary):
+    import base64
 
-    tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
-    return tokenizer
+    import tiktoken
+
+    with open(vocabulary.path, "rb") as lines:
+        ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
+    return tiktoken.Encoding("ranks", pat_str=vocabulary.pattern, mergeable_ranks=ranks, special_tokens={})
 
 
 class TokenIds:
-    """Token ids of texts as little-endian 32-bit bytes, word by word with a bounded memory."""
-
-    def __init__(self, path: str) -> None:
-        self._path = path
-        self._known: dict[str, bytes] = {}
-
-    def _learn(self, words: list[str]) -> None:
-        encoded = _tokenizer(self._path).encode_batch_fast(words, add_special_tokens=False)
-        for word, encoding in zip(words, encoded):
-            self._known[word] = np.array(encoding.ids, dtype="<u4").tobytes()
-
-    def of(self, texts: list[str]) -> Iterator[bytes]:
-        for at in range(0, len(texts), 64):
-            block = [self._parts(text) for text in texts[at : at + 64]]
-            if len(self._known) > REMEMBERED_WORDS:
-                self._known.clear()
-            known = self._known
-            missing = list({word for words in block for word in words if word not in known})
-            if missing:
-                self._learn(missing)
-            for words in block:
-                yield b"".join([known[word] for word in words])
-
-    @staticmethod
-    def _parts(text: str) -> list[str]:
-        first, *rest = _GAP.split(text)
-        return [first, *[" " + word for word in rest]] if first else []
+    """Token ids of whole chunks of texts, each distinct word encoded once.
+
+    No token goes across a single space or line feed between other characters, so a word
+    with the character before it can be encoded alone. Texts with other gaps are encoded
+    whole. Ids of up to REMEMBERED_WORDS words are kept in one flat array; a word is found
+    there by its 64-bit hash.
+    """
+
+    def __init__(self, vocabulary: Vocabulary) -> None:
+        self._encoding = _encoding(vocabulary)
+        (self._line_feed,) = self._encoding.encode_ordinary("\n")
+        self._forget()
+
+    def _forget(self) -> None:
+        self._known = np.zeros(0, dtype=np.uint64)
+        self._begin = np.zeros(0, dtype=np.int64)
+        self._size = np.zeros(0, dtype=np.int64)
+        self._pool = np.zeros(0, dtype=np.uint32)
+
+    def _learn(self, keys: np.ndarray, words: list[bytes]) -> None:
+        spaced = np.array([word[:1] == b" " for word in words])
+        ids, begin, size = [], np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
+        at = len(self._pool)
+        for place in np.flatnonzero(~spaced).tolist():
+            part = np.array(self._encoding.encode_ordinary(words[place].decode()), dtype=np.uint32)
+            begin[place], size[place] = at, len(part)
+            at += len(part)
+            ids.append(part)
+        if spaced.any():
+            # A line feed before a space is a token of its own: it shows where a word ends.
+            text = b"\n".join([*[word for word in words if word[:1] == b" "], b""]).decode()
+            joined = np.array(self._encoding.encode_ordinary(text), dtype=np.uint32)
+            ends = np.flatnonzero(joined == self._line_feed)
+            first = np.r_[0, ends[:-1] + 1]
+            begin[spaced], size[spaced] = first + at, ends - first
+            ids.append(joined)
+        self._pool = np.concatenate([self._pool, *ids])
+        order = np.argsort(all_keys := np.r_[self._known, keys], kind="stable")
+        self._known = all_keys[order]
+        self._begin = np.r_[self._begin, begin][order]
+        self._size = np.r_[self._size, size][order]
+
+    def _found(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of the keys among the known ones, and which of them are known."""
+        if not len(self._known):
+            return np.zeros(len(keys), dtype=np.int64), np.zeros(len(keys), dtype=bool)
+        at = np.minimum(np.searchsorted(self._known, keys), len(self._known) - 1)
+        return at, self._known[at] == keys
+
+    def of(self, texts: pa.Array) -> Iterator[np.ndarray]:
+        """Ids of each text, in order."""
+        texts = texts.fill_null("").cast(pa.large_string())
+        for words in words_of(texts, limit=2 * CHUNK_BYTES):
+            yield from self._chunk(texts, words)
+
+    def _chunk(self, texts: pa.Array, words: Words) -> Iterator[np.ndarray]:
+        n_rows, data = len(words.first) - 1, words.data
+        row = words.rows()
+        opens = np.zeros(len(words.ids), dtype=bool)
+        opens[words.first[:-1][np.diff(words.first) > 0]] = True
+        before = np.r_[0, words.ends[:-1]]
+        before[opens] = words.offsets[row[opens]]
+        gap = words.starts - before
+        lead = data[np.maximum(words.starts - 1, 0)]
+        plain = np.where(opens, gap == 0, (gap == 1) & np.isin(lead, _GAPS))
+        whole = np.zeros(n_rows, dtype=bool)
+        whole[row[~plain]] = True
+        filled = np.diff(words.first) > 0
+        trailing = words.offsets[1:][filled] != words.ends[words.first[1:][filled] - 1]
+        whole[np.flatnonzero(filled)[trailing]] = True
+        whole |= ~filled
+        content = data.tobytes()
+        if any(space in content for space in _WIDE_SPACES):
+            for at in range(n_rows):
+                piece = content[words.offsets[at] : words.offsets[at + 1]]
+                whole[at] |= any(space in piece for space in _WIDE_SPACES)
+
+        simple = ~whole[row]
+        starts = (words.starts - ~opens)[simple]
+        ends = words.ends[simple]
+        keys = words.ids[simple] + np.where(opens, 0, lead)[simple].astype(np.uint64)
+        distinct, where, each = np.unique(keys, return_index=True, return_inverse=True)
+        if len(self._known) + len(distinct) > REMEMBERED_WORDS:
+            self._forget()
+        at, known = self._found(distinct)
+        if not known.all():
+            new = where[~known]
+            self._learn(distinct[~known], [content[a:b] for a, b in zip(starts[new].tolist(), ends[new].tolist())])
+            at, _ = self._found(distinct)
+        at = at[each]
+        sizes = self._size[at]
+        ends_at = np.cumsum(sizes)
+        step = np.arange(ends_at[-1] if len(ends_at) else 0) - np.repeat(ends_at - sizes, sizes)
+        ids = self._pool[np.repeat(self._begin[at], sizes) + step]
+        per_row = np.bincount(row[simple], weights=sizes, minlength=n_rows).astype(np.int64)
+        bounds = np.r_[0, np.cumsum(per_row)]
+        for at_row in range(n_rows):
+            if whole[at_row]:
+                text = texts[words.row + at_row].as_py()
+                yield np.array(self._encoding.encode_ordinary(text), dtype=np.uint32)
+            else:
+                yield ids[bounds[at_row] : bounds[at_row + 1]]
 
 
 @lru_cache(maxsize=2)
-def _ids(path: str) -> TokenIds:
-    return TokenIds(path)
+def _ids(vocabulary: Vocabulary) -> TokenIds:
+    return TokenIds(vocabulary)
 
 
 def cuts(tokens: int, capacity: int = CAPACITY, tail_cut: int = TAIL_CUT) -> list[tuple[int, int]]:
@@ -91,14 +181,14 @@ def cuts(tokens: int, capacity: int = CAPACITY, tail_cut: int = TAIL_CUT) -> lis
     return pieces
 
 
-def with_pieces(documents: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFrame:
+def with_pieces(documents: DataFrame, vocabulary: Vocabulary, capacity: int = CAPACITY) -> DataFrame:
     """One row per piece: key, `doc_tokens`, `start`, `length`, `ids_crc32`."""
 
     @F.arrow_udf(PIECE)
     def pieces(texts: pa.Array) -> pa.Array:
         made = []
-        for ids in _ids(tokenizer).of(texts.to_pylist()):
-            ids += END_ID.to_bytes(4, "little")
+        for numbers in _ids(vocabulary).of(texts):
+            ids = np.r_[numbers, END_ID].astype("<u4").tobytes()
             made.append(
                 [
                     {"start": start, "length": length, "ids_crc32": zlib.crc32(ids[4 * start : 4 * (start + length)])}
@@ -175,14 +265,14 @@ def placements(patterns: list[Pattern]) -> list[tuple[int, int, int, int, int, i
     return rows
 
 
-def packed(documents: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFrame:
+def packed(documents: DataFrame, vocabulary: Vocabulary, capacity: int = CAPACITY) -> DataFrame:
     """Pieces of all documents with their place in a sequence.
 
     Null and empty texts consist of the end id alone. Every row of the input is packed, and
     repeated rows too. Sequences are numbered from 0, offsets in them are gapless. Other
     columns are ignored.
     """
-    pieces = stored(with_pieces(keyed(documents), tokenizer, capacity), "pieces")
+    pieces = stored(with_pieces(keyed(documents), vocabulary, capacity), "pieces")
     histogram = {row["length"]: row["n"] for row in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
     # The capacity bounds this table: two patterns per length, 44 different lengths in each.
     places = documents.sparkSession.createDataFrame(

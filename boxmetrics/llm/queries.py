@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from boxmetrics.llm.packing import packed
+from boxmetrics.llm.packing import Vocabulary, packed
 from boxmetrics.llm.sharding import sharded
 from boxmetrics.llm.simhash import near_duplicates
 from boxmetrics.llm.substrings import deduplicated
@@ -16,15 +16,15 @@ def _documents(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.parquet(f"{folder.rstrip('/')}/documents.parquet")
 
 
-def _tokenizer(name: str) -> str:
-    """Place of a vocabulary file, which every machine has at the same path."""
+def _vocabulary() -> Vocabulary:
+    """The byte-level vocabulary of `byte_bpe_50k.json`, as ranks; all machines have the file."""
     import public_tokenizers
 
-    return str(public_tokenizers.path(name))
+    return Vocabulary(str(public_tokenizers.path("byte_bpe_50k.tiktoken")), public_tokenizers.PATTERN)
 
 
 def op1_packing(spark: SparkSession, folder: str) -> DataFrame:
-    return packed(_documents(spark, folder), _tokenizer("byte_bpe_50k.json"))
+    return packed(_documents(spark, folder), _vocabulary())
 
 
 def op3_substrings(spark: SparkSession, folder: str) -> DataFrame:

@@ -54,6 +54,8 @@ class Words:
     """Words of some consecutive rows. Row r has the words first[r] to first[r + 1]."""
 
     row: int
+    data: np.ndarray
+    offsets: np.ndarray
     starts: np.ndarray
     ends: np.ndarray
     first: np.ndarray
@@ -82,9 +84,9 @@ def chunks(texts: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, np.
         row = after
 
 
-def words_of(texts: pa.Array, lower: bool = False) -> Iterator[Words]:
+def words_of(texts: pa.Array, lower: bool = False, limit: int = CHUNK_BYTES) -> Iterator[Words]:
     """Words `[^\\x20\\x09-\\x0D]+` of all rows, A-Z in lower case if asked for."""
-    for row, data, offsets in chunks(texts):
+    for row, data, offsets in chunks(texts, limit):
         if lower:
             data = _LOWER[data]
         inside = np.zeros(len(data) + 2, dtype=bool)
@@ -100,7 +102,7 @@ def words_of(texts: pa.Array, lower: bool = False) -> Iterator[Words]:
         sums = np.zeros(len(data) + 1, dtype=np.uint64)
         np.cumsum(_BYTE_VALUES[data] * powers[: len(data)], out=sums[1:])
         ids = mixed((sums[ends] - sums[starts]) * inverse[starts])
-        yield Words(row, starts, ends, np.searchsorted(starts, offsets), ids)
+        yield Words(row, data, offsets, starts, ends, np.searchsorted(starts, offsets), ids)
 
 
 class Spans:
