@@ -144,10 +144,12 @@ def repeated_spans(documents: DataFrame, window: int = WINDOW, anchor: int = ANC
 
     path = ["anchor", "h", "check"]
     sources = candidates.groupBy(*path).agg(F.min("doc_id").alias("source_id"))
-    branching = (
+    # Stored, so that its join has two plain shuffles and a hot anchor can be split.
+    branching = stored(
         sources.groupBy("anchor")
         .agg((F.min("source_id") < F.max("source_id")).alias("branches"))
-        .filter("branches")
+        .filter("branches"),
+        "branching",
     )
     settled = candidates.join(sources.hint("merge"), path)
     whole = settled.filter("source_id < doc_id").select(
