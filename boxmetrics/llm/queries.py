@@ -6,7 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from boxmetrics.llm import sql
+from boxmetrics.llm.decontamination import contamination
+from boxmetrics.llm.line_rules import quality
 from boxmetrics.llm.packing import Vocabulary, packed
+from boxmetrics.llm.secrets import secrets
 from boxmetrics.llm.sharding import sharded
 from boxmetrics.llm.simhash import near_duplicates
 from boxmetrics.llm.substrings import deduplicated
@@ -27,10 +31,23 @@ def op1_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packed(_documents(spark, folder), _vocabulary())
 
 
+def op2_secrets(spark: SparkSession, folder: str) -> DataFrame:
+    return secrets(_documents(spark, folder))
+
+
 def op3_substrings(spark: SparkSession, folder: str) -> DataFrame:
     return deduplicated(_documents(spark, folder))
 
 
+def op4_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    items = spark.read.parquet(f"{folder.rstrip('/')}/benchmark.parquet")
+    return contamination(_documents(spark, folder), items).drop("text_hash")
+
+
+def op7_line_rules(spark: SparkSession, folder: str) -> DataFrame:
+    return quality(_documents(spark, folder)).drop("clean_text")
+
+
 def op9_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates(_documents(spark, folder)).select("doc_id", "fingerprint", "component_id")
 
@@ -42,11 +59,14 @@ def op10_sharding(spark: SparkSession, folder: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_packing": op1_packing,
+        "op2_secrets": op2_secrets,
         "op3_substrings": op3_substrings,
+        "op4_decontamination": op4_decontamination,
+        "op7_line_rules": op7_line_rules,
         "op9_simhash": op9_simhash,
         "op10_sharding": op10_sharding,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return sql.oracle_sql()
