@@ -45,34 +45,15 @@ def symbols(text: Column) -> Column:
     return F.length(F.regexp_replace(text, _SYMBOLS, "")).cast("long")
 
 
-def repeated_words(parts: Column, window: int = WINDOW) -> Column:
-    """Words within windows that occur twice or more in the text, the first included.
-
-    Windows are compared by two 64-bit hashes of different form.
-    """
-    places = F.sequence(F.lit(1), F.size(parts) - window + 1)
-    hashes = F.transform(parts, lambda word: F.xxhash64(word))
-    windows = F.transform(places, lambda at: F.xxhash64(F.slice(hashes, at, window)))
-    checked = F.transform(
-        places,
-        lambda at: F.struct(
-            F.xxhash64(F.slice(hashes, at, window)).alias("h"),
-            F.hash(F.slice(parts, at, window)).alias("check"),
-            at.alias("at"),
-        ),
-    )
-    ordered = F.array_sort(checked)
-    size = F.size(ordered)
+def _let(value: Column, body) -> Column:
+    """`body` of a value that is computed once. Inside a lambda, an expression from outside
+    would be computed again for every element."""
+    return F.element_at(F.transform(F.array(value), body), 1)
 
-    def equal(left: Column, right: Column) -> Column:
-        return (left["h"] == right["h"]) & (left["check"] == right["check"])
 
-    # Neighbours in the order of the hashes show which places are repeated.
-    before = F.zip_with(
-        F.slice(ordered, 2, size), F.slice(ordered, 1, size - 1), lambda a, b: F.when(equal(a, b), F.array(a["at"], b["at"]))
-    )
-    starts = F.array_sort(F.array_distinct(F.flatten(F.filter(before, lambda pair: pair.isNotNull()))))
-    covered = F.aggregate(
+def _covered(starts: Column, window: int) -> Column:
+    """Words in windows that begin at the ascending starts."""
+    return F.aggregate(
         starts,
         F.struct(F.lit(0).alias("end"), F.lit(0).alias("sum")),
         lambda state, at: F.struct(
@@ -81,28 +62,64 @@ def repeated_words(parts: Column, window: int = WINDOW) -> Column:
         ),
         lambda state: state["sum"],
     )
-    none = F.lit(0).cast("long")
+
+
+def repeated_words(parts: Column, window: int = WINDOW) -> Column:
+    """Words within windows that occur twice or more in the text, the first included.
+
+    `parts` must be a column, not an expression. Windows are equal if the 64-bit hashes over
+    the hashes of their words are.
+    """
+
+    def hashed(hashes: Column) -> Column:
+        places = F.sequence(F.lit(1), F.size(hashes) - window + 1)
+        return F.transform(places, lambda at: F.xxhash64(F.slice(hashes, at, window)))
+
+    def repeated(windows: Column) -> Column:
+        placed = F.array_sort(F.transform(windows, lambda h, at: F.struct(h.alias("h"), (at + 1).alias("at"))))
+        return _let(placed, neighbours)
+
+    def neighbours(ordered: Column) -> Column:
+        # In the order of the hashes, equal windows stand next to each other.
+        met = F.zip_with(
+            F.slice(ordered, 2, F.size(ordered)),
+            F.slice(ordered, 1, F.size(ordered) - 1),
+            lambda a, b: F.when(a["h"] == b["h"], F.array(a["at"], b["at"])),
+        )
+        starts = F.array_sort(F.array_distinct(F.flatten(F.filter(met, lambda pair: pair.isNotNull()))))
+        return _covered(starts, window)
+
     # Most texts have no repeated window: comparing numbers of distinct hashes tells.
-    alike = F.size(F.array_distinct(windows)) < F.size(windows)
-    return F.when(F.size(parts) <= window, none).when(alike, covered.cast("long")).otherwise(none)
+    counted = _let(
+        F.transform(parts, lambda word: F.xxhash64(word)),
+        lambda hashes: _let(
+            hashed(hashes),
+            lambda windows: F.when(F.size(F.array_distinct(windows)) < F.size(windows), repeated(windows)).otherwise(0),
+        ),
+    )
+    return F.when(F.size(parts) <= window, F.lit(0)).otherwise(counted).cast("long")
 
 
 def line_verdicts(lines: Column) -> Column:
     """For each line: its number of words and whether a rule removes it."""
 
-    def judged(line: Column) -> Column:
-        n_words = F.size(words(line))
-        bars = F.length(line) - F.length(F.regexp_replace(line, SEPARATED, ""))
-        navigation = (bars >= LEAST_BARS) & (bars * WORDS_PER_BAR >= n_words)
-        boilerplate = (n_words <= BOILERPLATE_WORDS) & line.rlike(BOILERPLATE)
-        marks = F.length(F.regexp_replace(line, NOT_MARKS, ""))
-        size = F.length(F.regexp_replace(line, _SPACES, ""))
-        bare = marks * 100 > size * MOST_MARKS_PERCENT
+    def measured(line: Column) -> Column:
         return F.struct(
-            n_words.alias("words"), ((n_words > 0) & (navigation | boilerplate | bare)).alias("removed")
+            line.alias("line"),
+            F.size(words(line)).alias("words"),
+            (F.length(line) - F.length(F.regexp_replace(line, SEPARATED, ""))).alias("bars"),
+            F.length(F.regexp_replace(line, NOT_MARKS, "")).alias("marks"),
+            F.length(F.regexp_replace(line, _SPACES, "")).alias("size"),
         )
 
-    return F.transform(lines, judged)
+    def judged(line: Column) -> Column:
+        navigation = (line["bars"] >= LEAST_BARS) & (line["bars"] * WORDS_PER_BAR >= line["words"])
+        boilerplate = (line["words"] <= BOILERPLATE_WORDS) & line["line"].rlike(BOILERPLATE)
+        bare = line["marks"] * 100 > line["size"] * MOST_MARKS_PERCENT
+        removed = (line["words"] > 0) & (navigation | boilerplate | bare)
+        return F.struct(line["words"].alias("words"), removed.alias("removed"))
+
+    return F.transform(F.transform(lines, measured), judged)
 
 
 def duplicate_lines(lines: Column) -> Column:

@@ -8,8 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 from boxmetrics.llm import sql
 from boxmetrics.llm.decontamination import contamination
-from boxmetrics.llm.line_rules import quality
+from boxmetrics.llm.language_model import scored as language_scores
+from boxmetrics.llm.line_rules import quality as line_quality
 from boxmetrics.llm.packing import Vocabulary, packed
+from boxmetrics.llm.privacy import personal_data
+from boxmetrics.llm.quality import scored
 from boxmetrics.llm.secrets import secrets
 from boxmetrics.llm.sharding import sharded
 from boxmetrics.llm.simhash import near_duplicates
@@ -20,7 +23,7 @@ def _documents(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.parquet(f"{folder.rstrip('/')}/documents.parquet")
 
 
-def _vocabulary() -> Vocabulary:
+def vocabulary() -> Vocabulary:
     """The byte-level vocabulary of `byte_bpe_50k.json`, as ranks; all machines have the file."""
     import public_tokenizers
 
@@ -28,7 +31,7 @@ def _vocabulary() -> Vocabulary:
 
 
 def op1_packing(spark: SparkSession, folder: str) -> DataFrame:
-    return packed(_documents(spark, folder), _vocabulary())
+    return packed(_documents(spark, folder), vocabulary())
 
 
 def op2_secrets(spark: SparkSession, folder: str) -> DataFrame:
@@ -44,8 +47,21 @@ def op4_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return contamination(_documents(spark, folder), items).drop("text_hash")
 
 
+def op5_quality(spark: SparkSession, folder: str) -> DataFrame:
+    labels = spark.read.parquet(f"{folder.rstrip('/')}/labels.parquet")
+    return scored(_documents(spark, folder), labels)
+
+
+def op6_language_model(spark: SparkSession, folder: str) -> DataFrame:
+    return language_scores(_documents(spark, folder))
+
+
 def op7_line_rules(spark: SparkSession, folder: str) -> DataFrame:
-    return quality(_documents(spark, folder)).drop("clean_text")
+    return line_quality(_documents(spark, folder)).drop("clean_text")
+
+
+def op8_privacy(spark: SparkSession, folder: str) -> DataFrame:
+    return personal_data(_documents(spark, folder))
 
 
 def op9_simhash(spark: SparkSession, folder: str) -> DataFrame:
@@ -62,7 +78,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_secrets": op2_secrets,
         "op3_substrings": op3_substrings,
         "op4_decontamination": op4_decontamination,
+        "op5_quality": op5_quality,
+        "op6_language_model": op6_language_model,
         "op7_line_rules": op7_line_rules,
+        "op8_privacy": op8_privacy,
         "op9_simhash": op9_simhash,
         "op10_sharding": op10_sharding,
     }
