@@ -82,8 +82,12 @@ def plain_fit(*, normalised: bool = False) -> Column:
 
 
 def box_level(pkg_id: Column, levels: Mapping[str, int] = BOX_LEVELS) -> Column:
-    """Position of a box in the size order, null for a box outside of it."""
+    """Position of a box in the size order, null for a box outside of it.
+
+    A variant, named after its box and a slash, is as large as the box.
+    """
+    box = F.split_part(pkg_id, F.lit("/"), F.lit(1))
     level = F.lit(None).cast("int")
     for name, position in levels.items():
-        level = F.when(pkg_id == name, F.lit(position)).otherwise(level)
+        level = F.when(box == name, F.lit(position)).otherwise(level)
     return level

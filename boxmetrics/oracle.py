@@ -24,7 +24,6 @@ market_orders AS (
 mean_boxes AS (
     SELECT size_class, class_name, p_type, sum(p_size) * 500 // count(p_size) AS cm2
     FROM parts
-    WHERE NOT (size_class = 'P-XL' AND p_type = 'PROMO')
     GROUP BY size_class, class_name, p_type),
 box AS (
     SELECT size_class || CASE p_type WHEN 'STANDARD' THEN '' ELSE '/' || p_type END AS pkg_id,
@@ -37,16 +36,17 @@ box AS (
            CASE size_class WHEN 'P-XL' THEN 'Discontinued' ELSE 'Active' END AS status
     FROM mean_boxes),
 std AS (
-    SELECT DISTINCT CASE size_class WHEN 'P-S' THEN 2 WHEN 'P-M' THEN 4 ELSE 6 END AS meals_count,
+    SELECT DISTINCT CASE size_class WHEN 'P-S' THEN 2 WHEN 'P-M' THEN 4
+                    WHEN 'P-L' THEN 6 ELSE 8 END AS meals_count,
            size_class AS recommended_pkg_id
-    FROM parts WHERE size_class <> 'P-XL'),
+    FROM parts),
 quarters AS (
     SELECT market,
            CAST(date_trunc('quarter', DATE '2025-01-01'
                 + CAST(date_diff('day', DATE '1995-01-01', CAST(o_orderdate AS DATE)) % 730 AS INTEGER))
                 AS DATE) AS first_day,
            sum(CAST(round(o_totalprice * 100) AS BIGINT)) // (count(*) * 200000) AS hundredths
-    FROM market_orders WHERE market <> 'FR'
+    FROM market_orders
     GROUP BY ALL),
 rate AS (
     SELECT market,
@@ -64,7 +64,7 @@ usage AS (
            CASE WHEN l_partkey % 37 <> 0
                 THEN size_class || CASE p_type WHEN 'STANDARD' THEN '' ELSE '/' || p_type END
            END AS pkg_id,
-           CASE CAST(l_quantity AS INTEGER) % 5 WHEN 1 THEN 4 WHEN 2 THEN 6 WHEN 3 THEN 12 ELSE 2
+           CASE CAST(l_quantity AS INTEGER) % 5 WHEN 1 THEN 4 WHEN 2 THEN 6 WHEN 3 THEN 12 WHEN 4 THEN 8 ELSE 2
            END AS meals_count,
            DATE '2025-01-01'
                + CAST(date_diff('day', DATE '1995-01-01', CAST(l_shipdate AS DATE)) % 730 AS INTEGER)

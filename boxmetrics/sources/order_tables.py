@@ -23,7 +23,6 @@ from decimal import Decimal
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from boxmetrics.functions.fit import BOX_LEVELS
 from boxmetrics.operators.sizing import BROADCAST_LIMIT_BYTES, fits
 from boxmetrics.schemas import INPUT_NUMBER, STAGING_SCHEMAS, TRANSFORM_SCHEMAS
 from boxmetrics.sources.layers import TRANSFORM, load_files, save_files, shared_folder
@@ -37,19 +36,13 @@ DAYS = 730
 LAST_QUARTER = date(2026, 10, 1)
 OPEN_END = date(9999, 12, 31)
 STANDARD_TYPE = "STANDARD"
-PART_TYPES = ("ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD")
 MARKETS = {"AFRICA": "DE", "EUROPE": "DE", "AMERICA": "UK", "ASIA": "NL"}
-MARKET_WITHOUT_RATE = "FR"
+OTHER_MARKET = "FR"
 SIZE_CLASSES = ((12, "P-S", "Small Box"), (25, "P-M", "Medium Box"), (40, "P-L", "Large Box"))
 LARGEST_CLASS = ("P-XL", "Extra Large")
-MEALS_OF_CLASS = {"P-S": 2, "P-M": 4, "P-L": 6}
-MEALS_OF_QUANTITY = {0: 2, 1: 4, 2: 6, 3: 12, 4: 2}
-
-
-def box_levels() -> dict[str, int]:
-    """Levels of all boxes: a variant is as large as the box of its size class."""
-    variants = ["" if kind == STANDARD_TYPE else f"/{kind}" for kind in PART_TYPES]
-    return {f"{box}{variant}": level for box, level in BOX_LEVELS.items() for variant in variants}
+# Meals of each size class. No standard has 12, which some quantities give.
+MEALS_OF_CLASS = {"P-S": 2, "P-M": 4, "P-L": 6, "P-XL": 8}
+MEALS_OF_QUANTITY = {0: 2, 1: 4, 2: 6, 3: 12, 4: 8}
 
 
 def _chosen(column: Column, values: dict, otherwise: object = None) -> Column:
@@ -121,7 +114,7 @@ class OrderTables:
         customers = self._looked_up(
             customers, nations, in_nation, "nation", "n_nationkey", "n_regionkey"
         ).select(
-            "c_custkey", _chosen(F.col("r_name"), MARKETS, MARKET_WITHOUT_RATE).alias("market")
+            "c_custkey", _chosen(F.col("r_name"), MARKETS, OTHER_MARKET).alias("market")
         )
         return self._looked_up(
             orders, customers, by_customer, "customer", "c_custkey", "c_nationkey"
@@ -163,13 +156,10 @@ class OrderTables:
         parts = self._read("part", "p_type", "p_size").withColumns(
             {"size_class": _by_size(0), "class_name": _by_size(1)}
         )
-        # The largest promotional boxes are missing from the master, as unknown boxes are.
-        known = ~((F.col("size_class") == LARGEST_CLASS[0]) & (F.col("p_type") == "PROMO"))
         in_cm2 = F.col("size_class") == "P-M"
         cm2 = F.col("area_cm2").cast(INPUT_NUMBER)
         return (
-            parts.filter(known)
-            .groupBy("size_class", "class_name", "p_type")
+            parts.groupBy("size_class", "class_name", "p_type")
             .agg(F.expr("sum(p_size) * 500 div count(p_size)").alias("area_cm2"))
             .select(
                 _variant(F.col("size_class"), "/").alias("pkg_id"),
@@ -190,13 +180,12 @@ class OrderTables:
         return sized.select(
             _chosen(F.col("recommended_pkg_id"), MEALS_OF_CLASS).cast("int").alias("meals_count"),
             "recommended_pkg_id",
-        ).filter(F.col("meals_count").isNotNull())
+        )
 
     def rates(self) -> DataFrame:
         cents = F.round(F.col("o_totalprice") * 100).cast("bigint")
         quarters = (
             self._orders_with_market("o_orderdate", "o_totalprice")
-            .filter(F.col("market") != MARKET_WITHOUT_RATE)
             .groupBy(
                 "market",
                 F.trunc(_shifted_date("o_orderdate"), "quarter").alias("valid_from"),
