@@ -19,14 +19,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from boxmetrics.llm.common import keyed, numbered, stored
-from boxmetrics.llm.words import CHUNK_BYTES, Words, words_of
+from boxmetrics.llm.words import Words, words_of
 
 CAPACITY = 1024
 END_ID = 0
 #: A tail of this length or more is cut there: halves fill sequences exactly.
 TAIL_CUT = 512
 #: Words whose ids a task remembers.
-REMEMBERED_WORDS = 1_500_000
+REMEMBERED_WORDS = 500_000
 
 PIECE = "array<struct<start: bigint, length: bigint, ids_crc32: bigint>>"
 
@@ -111,7 +111,7 @@ class TokenIds:
     def of(self, texts: pa.Array) -> Iterator[np.ndarray]:
         """Ids of each text, in order."""
         texts = texts.fill_null("").cast(pa.large_string())
-        for words in words_of(texts, limit=2 * CHUNK_BYTES):
+        for words in words_of(texts):
             yield from self._chunk(texts, words)
 
     def _chunk(self, texts: pa.Array, words: Words) -> Iterator[np.ndarray]:
