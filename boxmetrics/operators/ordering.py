@@ -18,6 +18,9 @@ def down(column: str) -> Column:
     return F.col(column).desc_nulls_first()
 
 
-def sorted_rows(frame: DataFrame, *keys: Column) -> DataFrame:
-    """Sort row-level results; `frame` still has all columns of a usage row."""
-    return frame.orderBy(*keys, *[up(name) for name in ROW_IDENTITY])
+def sorted_rows(frame: DataFrame, *keys: Column, last: tuple[str, ...] = ()) -> DataFrame:
+    """Sort row-level results; `frame` still has all columns of a usage row.
+
+    `last` names what tells apart several rows made of one usage row.
+    """
+    return frame.orderBy(*keys, *[up(name) for name in (*ROW_IDENTITY, *last)])

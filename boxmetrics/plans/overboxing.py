@@ -20,10 +20,10 @@ from boxmetrics.functions.fit import (
     waste_m2,
 )
 from boxmetrics.operators.filters import Q1_2026, Window, boxed, selected
-from boxmetrics.operators.grain import rated_counts, usage_counts, weighted
+from boxmetrics.operators.grain import folded, usage_counts, weighted
 from boxmetrics.operators.lookups import with_box, with_rate, with_recommendation
 from boxmetrics.operators.ordering import down, sorted_rows, up
-from boxmetrics.operators.scenarios import in_copies
+from boxmetrics.operators.scenarios import in_blocks, out_of_blocks
 from boxmetrics.tables import Tables
 
 # The two contract rates the decomposition compares.
@@ -31,38 +31,47 @@ NEW_RATE = Decimal("1.75")
 OLD_RATE = Decimal("1.15")
 
 
-def _paired_on_order(tables: Tables, levels: Mapping[str, int]) -> DataFrame:
-    """Boxed usage paired with the boxes of all boxed rows of the same order.
+def _rated_rows(tables: Tables) -> DataFrame:
+    """Boxed usage with a known box, a known recommendation and a rate."""
+    return with_rate(_standard_rows(boxed(tables.usage), tables), tables)
+
+
+def _paired_on_order(rows: DataFrame, tables: Tables, levels: Mapping[str, int]) -> DataFrame:
+    """Rows paired with the boxes of all boxed rows of the same order.
 
     A row is paired with every boxed row of its order, itself included, of which only the
     box level is wanted. So the second side is counted per order and level before it is
     shuffled; `copies` says how many pairs a row of the result stands for. Each order has
     at most one row per level on that side. Both sides grow with usage, so they are always
     shuffled and merged, and adaptive execution splits an order id that many rows share.
+    For that both sides must come straight from a shuffle on the order id: counting by it
+    alone would save the second side one, but a hot order id would then stay in one task.
     """
-    usage = boxed(tables.usage)
     per_level = (
-        usage.select("order_id", box_level(F.col("pkg_id"), levels).alias("paired_level"))
+        boxed(tables.usage)
+        .select("order_id", box_level(F.col("pkg_id"), levels).alias("paired_level"))
         .groupBy("order_id", "paired_level")
         .agg(F.count("*").alias("copies"))
     )
-    return usage.join(per_level.hint("merge"), "order_id")
+    return rows.join(per_level.hint("merge"), "order_id")
 
 
 def overboxing_detail(tables: Tables, levels: Mapping[str, int] = BOX_LEVELS) -> DataFrame:
     """Fit, waste and cost of every order with a standard.
 
     An order id on several rows gives every pair of its rows, with the areas of one and
-    the box level of the other. The copies are made after the sort, which so moves each
-    distinct row once.
+    the box level of the other. Rows without a box, standard or rate drop out before the
+    pairing. The copies are cut into small blocks before the sort, so that its ranges have
+    about as many pairs each, and are made after it.
     """
-    rows = with_recommendation(
-        with_box(_paired_on_order(tables, levels), tables), tables, keep_unmatched=False
-    )
     # Doubles sort much faster than decimals of this width.
-    rows = with_rate(rows, tables).withColumn("cost_inefficiency_eur", as_double(waste_cost()))
+    rows = _rated_rows(tables).withColumn("cost_inefficiency_eur", as_double(waste_cost()))
+    pairs = in_blocks(_paired_on_order(rows, tables, levels), "copies")
     skipped = F.col("paired_level") - box_level(F.col("recommended_pkg_id"), levels)
-    result = sorted_rows(rows, down("cost_inefficiency_eur"), up("order_date")).select(
+    in_order = sorted_rows(
+        pairs, down("cost_inefficiency_eur"), up("order_date"), last=("paired_level", "block")
+    )
+    result = in_order.select(
         "order_id",
         "market",
         F.col("pkg_id").alias("actual_pkg"),
@@ -82,19 +91,25 @@ def overboxing_detail(tables: Tables, levels: Mapping[str, int] = BOX_LEVELS) ->
         ideal_cost().alias("ideal_cost_eur"),
         "cost_inefficiency_eur",
         "is_damaged",
+        "block",
         "copies",
     )
-    return decimals_as_doubles(in_copies(result, "copies"))
+    return decimals_as_doubles(out_of_blocks(result, "copies"))
 
 
 def overboxing_by_market(tables: Tables) -> DataFrame:
     """The same pairs summed up per market, without making the copies."""
-    pairs = weighted(_paired_on_order(tables, BOX_LEVELS), tables, copies="copies")
-    counts = rated_counts(pairs, tables, "market", "pkg_id", "meals_count")
+    pairs = _paired_on_order(_rated_rows(tables), tables, BOX_LEVELS)
+    counts = folded(
+        weighted(pairs, tables, copies="copies"),
+        "market",
+        "actual_area_m2",
+        "recommended_area_m2",
+        "cost_per_m2_eur",
+    )
     wasted, paid = agg.total(waste_cost()), agg.total(actual_cost())
     return (
-        with_recommendation(with_box(counts, tables), tables, keep_unmatched=False)
-        .groupBy("market")
+        counts.groupBy("market")
         .agg(
             agg.rows().alias("total_orders"),
             agg.rows_where(is_overboxed()).alias("overboxed_orders"),

@@ -6,6 +6,7 @@ re-read and nothing else.
 
 from __future__ import annotations
 
+import os
 import tempfile
 from collections.abc import Mapping
 
@@ -43,6 +44,7 @@ def save_tables(
     default: str = "default",
 ) -> None:
     """Write the frames as tables of a database named after the layer."""
+    _require_shared_warehouse(spark)
     database = layer_name(layer, default)
     spark.sql(f"CREATE DATABASE IF NOT EXISTS `{database}`")
     for name, frame in frames.items():
@@ -78,6 +80,19 @@ def load_files(
     }
 
 
+def _on_one_machine(spark: SparkSession) -> bool:
+    """Whether driver and executors are one process; `local-cluster[...]` is not."""
+    master = spark.sparkContext.master
+    return master == "local" or master.startswith("local[")
+
+
+def _require_shared_warehouse(spark: SparkSession) -> None:
+    """Without a setting Spark puts tables into a folder beside the driver's program."""
+    unset = spark.conf.get("spark.sql.warehouse.dir", "").endswith(f"{os.getcwd()}/spark-warehouse")
+    if unset and not _on_one_machine(spark):
+        raise RuntimeError("set spark.sql.warehouse.dir to a folder all executors can reach")
+
+
 def shared_folder(spark: SparkSession) -> str:
     """Folder that all executors see, as named by the cluster in `spark.checkpoint.dir`.
 
@@ -87,7 +102,7 @@ def shared_folder(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if named:
         return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not _on_one_machine(spark):
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
     _local_folders.append(tempfile.TemporaryDirectory(prefix="boxmetrics-"))
     return _local_folders[-1].name

@@ -156,6 +156,31 @@ def test_hot_order_id_is_split(spark, tmp_path):
         assert result[market] == in_hot * len(hot) + sum(row[1] == market for row in singles)
 
 
+def test_pairs_of_a_hot_order_are_spread(spark, tmp_path):
+    """Tasks of the detail report make about as many pairs each, whoever's they are."""
+    day = date(2026, 1, 5)
+    hot = [(1, "DE", "P-XL", 2, day - timedelta(number), 0) for number in range(250)]
+    singles = [(10 + number, "DE", "P-M", 2, day, 0) for number in range(9000)]
+    staging = staging_of(
+        spark, edge_cases.PACKAGING, edge_cases.STANDARDS, edge_cases.RATES, hot + singles
+    )
+    save_files(build_transform(staging).frames(), str(tmp_path))
+    tables = Tables.from_frames(load_files(spark, TRANSFORM_SCHEMAS, str(tmp_path)))
+    settings = {"spark.sql.adaptive.enabled": "false", "spark.sql.shuffle.partitions": "8"}
+    before = {name: spark.conf.get(name) for name in settings}
+    for name, value in settings.items():
+        spark.conf.set(name, value)
+    try:
+        frame = overboxing.overboxing_detail(tables).select("order_id")
+        made = overboxing.overboxing_detail(tables).rdd.glom().map(len).collect()
+        of_hot = frame.filter("order_id = 1").count()
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+    assert of_hot % 250 == 0 and of_hot >= 250 * 200
+    assert max(made) < 3 * sum(made) / len(made)
+
+
 def test_sort_key_shared_by_many_rows_is_spread(spark, seed_tables):
     """Sorted results are cut into ranges of whole rows, not of the few dates."""
     day = date(2026, 1, 5)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from datetime import date
 from decimal import Decimal
 from pathlib import Path
@@ -58,11 +59,61 @@ def test_quoted_values(spark, tmp_path):
     assert (row["pkg_name"], row["surface_area"]) == ("Box, big", Decimal("1.2345"))
 
 
-@pytest.mark.parametrize("day", ["2026-02-30", "soon"])
-def test_bad_values_stop_the_job(spark, tmp_path, day):
-    text = f"order_id,market,pkg_id,meals_count,order_date,is_damaged\n1,DE,P-S,2,{day},0\n"
-    with pytest.raises(Exception, match="CAST_INVALID_INPUT"):
-        read_csv(spark, written(tmp_path, text), schemas.STAGING_USAGE).collect()
+@pytest.fixture(params=["true", "false"], ids=["ansi", "not_ansi"])
+def mode(spark, request):
+    before = spark.conf.get("spark.sql.ansi.enabled")
+    spark.conf.set("spark.sql.ansi.enabled", request.param)
+    yield
+    spark.conf.set("spark.sql.ansi.enabled", before)
+
+
+USAGE_HEADER = "order_id,market,pkg_id,meals_count,order_date,is_damaged"
+
+
+@pytest.mark.parametrize(
+    "values",
+    [
+        "1,DE,P-S,2,2026-02-30,0",
+        "1,DE,P-S,2,soon,0",
+        "1,DE,P-S,2,2026-02-03T10:00:00,0",
+        "9001.5,DE,P-S,2,2026-02-03,0",
+        "1,DE,P-S,two,2026-02-03,0",
+        "1,DE,P-S,99999999999,2026-02-03,0",
+    ],
+)
+def test_bad_values_stop_the_job(spark, mode, tmp_path, values):
+    path = written(tmp_path, f"{USAGE_HEADER}\n{values}\n")
+    with pytest.raises(Exception, match=r" is no (bigint|int|date): "):
+        read_csv(spark, path, schemas.STAGING_USAGE).collect()
+
+
+@pytest.mark.parametrize("mark", ["", "\ufeff"])
+def test_columns_go_by_name(spark, mode, tmp_path, mark):
+    text = f"{mark}is_damaged,pkg_id,market,order_date,meals_count,order_id\n0,P-S,DE,2026-02-03,12,7\n"
+    [row] = read_csv(spark, written(tmp_path, text), schemas.STAGING_USAGE).collect()
+    assert tuple(row) == (7, "DE", "P-S", 12, date(2026, 2, 3), 0)
+
+
+@pytest.mark.parametrize("mark", ["", "\ufeff"])
+@pytest.mark.parametrize(
+    "header",
+    [
+        "order_id,market,pkg_id,meals_count,order_date",
+        f"{USAGE_HEADER},note",
+        "order_id,market,pkg_id,meals_count,order_date,order_id",
+    ],
+)
+def test_other_columns_stop_the_job(spark, mode, tmp_path, header, mark):
+    values = ",".join("1" for _ in header.split(","))
+    with pytest.raises(ValueError, match="wanted are"):
+        read_csv(spark, written(tmp_path, f"{mark}{header}\n{values}\n"), schemas.STAGING_USAGE)
+
+
+def test_files_with_different_headers_stop_the_job(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("meals_count,recommended_pkg_id\n2,P-S\n")
+    (tmp_path / "b.csv").write_text("recommended_pkg_id,meals_count\nP-M,4\n")
+    with pytest.raises(Exception, match="(?i)header"):
+        read_csv(spark, str(tmp_path), schemas.STAGING_STANDARDS).collect()
 
 
 def test_values_are_not_rounded_in(spark, tmp_path):
@@ -143,4 +194,13 @@ class _Session:
 def test_no_machine_local_folder_on_a_cluster():
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
         layers.shared_folder(_Session("spark://somewhere:7077"))
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        layers.shared_folder(_Session("local-cluster[2,1,1024]"))
     assert layers.shared_folder(_Session("local[2]"))
+
+
+def test_no_tables_beside_the_program_of_a_cluster():
+    session = _Session("spark://somewhere:7077")
+    session.conf.get = lambda name, default: f"file:{os.getcwd()}/spark-warehouse"
+    with pytest.raises(RuntimeError, match="spark.sql.warehouse.dir"):
+        layers.save_tables(session, {})
