@@ -199,12 +199,14 @@ def with_pieces(documents: DataFrame, vocabulary: Vocabulary, capacity: int = CA
         return pa.array(made, pa.list_(kind))
 
     cut = documents.withColumn("pieces", pieces("text"))
+    # No list is empty. A plain inline would make Spark infer a filter on the size of the
+    # list and, to evaluate it below the projection, run the function a second time.
     last = F.element_at("pieces", -1)
     return cut.select(
         "doc_id",
         "text_hash",
         (last["start"] + last["length"]).alias("doc_tokens"),
-        F.inline("pieces"),
+        F.inline_outer("pieces"),
     )
 
 
