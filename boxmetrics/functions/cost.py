@@ -25,13 +25,12 @@ def actual_cost() -> Column:
 def ideal_cost(without_standard: str = "null") -> Column:
     """Cost of the recommended box.
 
-    `without_standard` says what an order without a standard costs: "null", "zero", or
-    "actual" for the cost of the box it got. Reports differ in this on purpose.
+    `without_standard` says what an order without a standard costs: "null", or "actual" for
+    the cost of the box it got. Reports differ in this on purpose.
     """
     recommended = F.col("recommended_area_m2")
     stand_in = {
         "null": recommended,
-        "zero": F.coalesce(recommended, F.lit(Decimal(0))),
         "actual": F.coalesce(recommended, F.col("actual_area_m2")),
     }
     return stand_in[without_standard] * _rate()

@@ -388,6 +388,7 @@ def reports() -> dict[str, str]:
                    round_even({_double(_COST)}, 0) AS apparent_cpm_eur,
                    'No standard defined for 12 meals' AS standards_gap
             FROM usage u{_BOX}{_RATE} WHERE u.meals_count = 12""",
+        # The labels and scenarios of q12b, q12c are fixed values, as in the reports.
         "q12b_box_scenarios": f"""
             SELECT scenario, box_config, {_double('m2')} AS surface_area_m2,
                    {_double('round(m2 * eur, 4)')} AS cost_eur,

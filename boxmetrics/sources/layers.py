@@ -7,10 +7,12 @@ re-read and nothing else.
 from __future__ import annotations
 
 import os
-import tempfile
-from collections.abc import Mapping
+import uuid
+from collections.abc import Callable, Mapping, Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 STAGING = "staging"
@@ -24,8 +26,6 @@ _FILE_ORDER = {
 }
 _COMPRESSION = "zstd"
 
-_local_folders: list[tempfile.TemporaryDirectory] = []
-
 
 def layer_name(layer: str | None, default: str) -> str:
     """The layer as named, or the default one if none is named."""
@@ -80,29 +80,59 @@ def load_files(
     }
 
 
-def _on_one_machine(spark: SparkSession) -> bool:
-    """Whether driver and executors are one process; `local-cluster[...]` is not."""
-    master = spark.sparkContext.master
-    return master == "local" or master.startswith("local[")
-
-
 def _require_shared_warehouse(spark: SparkSession) -> None:
     """Without a setting Spark puts tables into a folder beside the driver's program."""
-    unset = spark.conf.get("spark.sql.warehouse.dir", "").endswith(f"{os.getcwd()}/spark-warehouse")
-    if unset and not _on_one_machine(spark):
+    if spark.conf.get("spark.sql.warehouse.dir", "").endswith(f"{os.getcwd()}/spark-warehouse"):
         raise RuntimeError("set spark.sql.warehouse.dir to a folder all executors can reach")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """Folder that all executors see, as named by the cluster in `spark.checkpoint.dir`.
+def shared_folder(spark: SparkSession) -> str | None:
+    """Folder that all executors see, as the session names it in `spark.checkpoint.dir`.
+
+    Without one nothing is stored between queries; there is no other folder to fall back to.
+    """
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    return named.rstrip("/") if named else None
+
+
+def files_identity(spark: SparkSession, paths: Sequence[str]) -> str:
+    """A digest of names, sizes and times of all files below the paths.
 
-    Only a session that runs on this machine alone may go without: it gets a temporary
-    folder that is removed when the program ends.
+    Only the file listing is read, by Spark, so this holds for every store Spark can reach.
+    """
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(list(paths))
+    file = F.xxhash64("path", "length", "modificationTime").cast("decimal(20,0)")
+    [found] = listed.agg(F.sum(file).alias("files"), F.count("*").alias("n")).collect()
+    return f"{found['n']}_{found['files'] or 0}".replace("-", "m")
+
+
+def _facts_of(spark: SparkSession, schema: T.StructType, folder: str) -> dict | None:
+    try:
+        rows = spark.read.schema(schema).parquet(f"{folder}/facts").orderBy("layer").take(1)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+    return rows[0].asDict() if rows else None
+
+
+def layer_of_input(
+    spark: SparkSession,
+    folder: str,
+    schema: T.StructType,
+    build: Callable[[str], Mapping[str, object]],
+) -> dict:
+    """Facts about the layer kept in `folder`, built by the first who asks for it.
+
+    `build` writes a layer into the folder it gets and returns the facts about it. They are
+    stored last, with the place of the layer, so an unfinished layer is never found. Of two
+    built at the same time one is used.
     """
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if named:
-        return named.rstrip("/")
-    if not _on_one_machine(spark):
-        raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
-    _local_folders.append(tempfile.TemporaryDirectory(prefix="boxmetrics-"))
-    return _local_folders[-1].name
+    known = _facts_of(spark, schema, folder)
+    if known is None:
+        layer = f"{folder}/{TRANSFORM}-{uuid.uuid4().hex}"
+        row = {"layer": layer, **build(layer)}
+        values = [tuple(row[name] for name in schema.fieldNames())]
+        spark.createDataFrame(values, schema).coalesce(1).write.mode("append").parquet(f"{folder}/facts")
+        known = _facts_of(spark, schema, folder)
+    return known

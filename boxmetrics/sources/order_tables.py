@@ -25,10 +25,20 @@ from pyspark.sql import functions as F
 
 from boxmetrics.operators.sizing import BROADCAST_LIMIT_BYTES, fits
 from boxmetrics.schemas import INPUT_NUMBER, STAGING_SCHEMAS, TRANSFORM_SCHEMAS
-from boxmetrics.sources.layers import TRANSFORM, load_files, save_files, shared_folder
-from boxmetrics.tables import Staging, Tables
+from boxmetrics.sources.layers import (
+    files_identity,
+    layer_of_input,
+    load_files,
+    save_files,
+    shared_folder,
+)
+from boxmetrics.tables import FACTS, Staging, Tables
 from boxmetrics.transforms import build_transform
 
+SOURCE_TABLES = ("region", "nation", "customer", "part", "orders", "lineitem")
+# To be raised when the mapping or a transform changes, so that no older layer is reused.
+LAYOUT = 1
+
 # Fixed values of the mapping.
 FIRST_DAY = date(2025, 1, 1)
 SOURCE_FIRST_DAY = date(1995, 1, 1)
@@ -218,28 +228,32 @@ class OrderTables:
         )
 
 
-_sources: dict[tuple[str, str], OrderTables] = {}
-_built: dict[tuple[str, str], Tables] = {}
 _building = threading.Lock()
 
 
-def _key(spark: SparkSession, folder: str) -> tuple[str, str]:
-    return spark.sparkContext.applicationId, folder.rstrip("/")
-
-
 def order_tables(spark: SparkSession, folder: str) -> OrderTables:
-    """The files of a folder, opened once per application."""
-    return _sources.setdefault(_key(spark, folder), OrderTables(spark, folder))
+    """The files of a folder as they are now."""
+    return OrderTables(spark, folder)
 
 
 def transform_tables(spark: SparkSession, folder: str) -> Tables:
-    """Cleaned tables for a folder, built once per application and then read from files."""
-    key = _key(spark, folder)
+    """Cleaned tables for a folder.
+
+    They are kept in the session's shared folder under the identity of the source files: any
+    session reuses them, and changed files lead to new ones. Without a shared folder they
+    are computed from the source by every report.
+    """
+    shared = shared_folder(spark)
+    if shared is None:
+        return Tables.from_frames(build_transform(order_tables(spark, folder).staging()).frames())
+    path = folder.rstrip("/")
+    identity = files_identity(spark, [f"{path}/{name}.parquet" for name in SOURCE_TABLES])
+    digest = hashlib.sha256(f"{LAYOUT} {path} {identity}".encode()).hexdigest()[:16]
+
+    def build(layer: str) -> dict[str, object]:
+        save_files(build_transform(order_tables(spark, path).staging()).frames(), layer)
+        return Tables.from_frames(load_files(spark, TRANSFORM_SCHEMAS, layer)).measured()
+
     with _building:
-        if key not in _built:
-            application, path = key
-            digest = hashlib.sha256(path.encode()).hexdigest()[:16]
-            layer = f"{shared_folder(spark)}/boxmetrics/{application}/{digest}/{TRANSFORM}"
-            save_files(build_transform(order_tables(spark, folder).staging()).frames(), layer)
-            _built[key] = Tables.from_frames(load_files(spark, TRANSFORM_SCHEMAS, layer))
-        return _built[key]
+        facts = layer_of_input(spark, f"{shared}/boxmetrics/{digest}", FACTS, build)
+    return Tables.from_frames(load_files(spark, TRANSFORM_SCHEMAS, facts["layer"]), facts=facts)

@@ -3,18 +3,22 @@
 from __future__ import annotations
 
 import os
+import shutil
 from datetime import date
 from decimal import Decimal
 from pathlib import Path
 
+import pyarrow.parquet as parquet
 import pytest
 
 from boxmetrics import schemas
 from boxmetrics.build import build_layers, open_layers
 from boxmetrics.plans.registry import REPORTS
 from boxmetrics.sources import layers
+from boxmetrics.sources import order_tables as order_source
 from boxmetrics.sources.csv_files import read_csv
 from boxmetrics.sources.order_tables import OrderTables
+from boxmetrics.tables import Tables
 from tests.expected import CHECKS
 from tests.helpers import assert_rows, plan_of
 
@@ -171,36 +175,84 @@ def test_shuffled_joins_of_the_sources_give_the_same_rows(spark):
         assert got.exceptAll(wanted).isEmpty()
 
 
-class _Context:
-    def __init__(self, master):
-        self.master = master
-
-    def getCheckpointDir(self):
-        return None
-
-
 class _Session:
-    """A session without a shared folder."""
+    """A session that names no folder."""
 
     class conf:
         @staticmethod
         def get(name, default):
             return default
 
-    def __init__(self, master):
-        self.sparkContext = _Context(master)
 
+def test_no_folder_of_one_machine():
+    assert layers.shared_folder(_Session()) is None
 
-def test_no_machine_local_folder_on_a_cluster():
-    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
-        layers.shared_folder(_Session("spark://somewhere:7077"))
-    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
-        layers.shared_folder(_Session("local-cluster[2,1,1024]"))
-    assert layers.shared_folder(_Session("local[2]"))
 
-
-def test_no_tables_beside_the_program_of_a_cluster():
-    session = _Session("spark://somewhere:7077")
+def test_no_tables_beside_the_program():
+    session = _Session()
     session.conf.get = lambda name, default: f"file:{os.getcwd()}/spark-warehouse"
     with pytest.raises(RuntimeError, match="spark.sql.warehouse.dir"):
         layers.save_tables(session, {})
+
+
+@pytest.fixture
+def own_source(tmp_path):
+    """A copy of the small source, whose files a test may change."""
+    folder = tmp_path / "source"
+    folder.mkdir()
+    for name in order_source.SOURCE_TABLES:
+        shutil.copy(f"{SMALL}/{name}.parquet", folder)
+    return folder
+
+
+@pytest.mark.skipif(not Path(SMALL).is_dir(), reason="no test data")
+def test_layer_is_reused_until_the_source_changes(spark, own_source, monkeypatch):
+    builds = []
+    save = order_source.save_files
+    monkeypatch.setattr(order_source, "save_files", lambda *args: (builds.append(args[1]), save(*args)))
+    first = order_source.transform_tables(spark, str(own_source))
+    again = order_source.transform_tables(spark.newSession(), str(own_source))
+    assert len(builds) == 1 and first.facts == again.facts
+    lines = parquet.read_table(own_source / "lineitem.parquet")
+    parquet.write_table(lines.slice(0, len(lines) // 2), own_source / "lineitem.parquet")
+    changed = order_source.transform_tables(spark, str(own_source))
+    assert len(builds) == 2
+    assert changed.usage.count() < first.usage.count()
+
+
+@pytest.mark.skipif(not Path(SMALL).is_dir(), reason="no test data")
+def test_unfinished_layer_is_not_used(spark, own_source, monkeypatch):
+    def fails(frames, folder):
+        raise OSError("lost")
+
+    with monkeypatch.context() as patch:
+        patch.setattr(order_source, "save_files", fails)
+        with pytest.raises(OSError):
+            order_source.transform_tables(spark, str(own_source))
+    assert order_source.transform_tables(spark, str(own_source)).usage.count() > 0
+
+
+@pytest.mark.skipif(not Path(SMALL).is_dir(), reason="no test data")
+def test_facts_of_a_layer_are_what_its_rows_say(spark):
+    stored = order_source.transform_tables(spark, SMALL)
+    found = Tables.from_frames(stored.frames()).measured()
+    assert found == {name: value for name, value in stored.facts.items() if name != "layer"}
+
+
+@pytest.mark.skipif(not Path(SMALL).is_dir(), reason="no test data")
+def test_planning_a_report_starts_no_job(spark):
+    tables = order_source.transform_tables(spark, SMALL)
+    spark.sparkContext.setJobGroup("planning", "planning")
+    for report in REPORTS.values():
+        report(tables)
+    jobs = spark.sparkContext.statusTracker().getJobIdsForGroup("planning")
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert list(jobs) == []
+
+
+@pytest.mark.skipif(not Path(SMALL).is_dir(), reason="no test data")
+@pytest.mark.parametrize("name", ["q02_total_cost_per_market", "q03b_overboxing_by_market"])
+def test_without_a_folder_reports_compute_from_the_source(spark, name, monkeypatch):
+    wanted = REPORTS[name](order_source.transform_tables(spark, SMALL)).collect()
+    monkeypatch.setattr(order_source, "shared_folder", lambda session: None)
+    assert REPORTS[name](order_source.transform_tables(spark, SMALL)).collect() == wanted
