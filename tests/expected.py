@@ -344,3 +344,33 @@ ORDERS = {
     ],
     "q12c_standards_gap": [2, 4, 6, 12],
 }
+
+# What each sorted report is sorted by, of the columns it returns: "+" up with nulls last,
+# "-" down with nulls first.
+SORT_KEYS = {
+    "q01a_duplicate_orders": "-occurrence_count +order_id",
+    "q01b_null_pkg": "+order_date +order_id",
+    "q01c_discontinued_in_use": "+order_date +order_id",
+    "q01d_meals_without_standard": "+meals_count +order_date +order_id",
+    "q02_total_cost_per_market": "-total_cost_eur +market",
+    "q03a_overboxing_detail": "-cost_inefficiency_eur +order_date +order_id",
+    "q03b_overboxing_by_market": "-total_cost_inefficiency_eur +market",
+    "q04a_cost_decomposition": "+order_date +order_id",
+    "q05a_cost_per_meal": "-actual_cpm_eur",
+    "q05c_cpm_by_market": "-actual_cpm_eur +market",
+    "q06a_material_summary": "-total_actual_cost_eur +material_type",
+    "q06b_material_by_market": "+material_type +market",
+    "q06c_same_box_price": "+year",
+    "q07a_market_scorecard": "-overall_health_index_pct +market",
+    "q07b_box_by_market": "+market +efficiency_pct +pkg_id",
+    "q08a_damage_rate": "+dimension",
+    "q08e_damage_detail": "+order_date +order_id",
+    "q09a_yoy_cost": "+market +yr",
+    "q09b_same_box_yoy": "+yr",
+    "q10a_rate_benchmark": "-valid_from +market +material_type",
+    "q11_box_type_economics": "-avg_efficiency_pct +pkg_id",
+    "q12a_order_anomaly": "+order_id +market +pkg_id",
+    "q12c_standards_gap": "+meals_count +recommended_pkg_id",
+    "qf1_financial_variance": "-total_cost_eur +market",
+    "qf2_overboxing_gap": "-total_cost_inefficiency_eur +market",
+}

@@ -27,6 +27,21 @@ def assert_rows(frame, columns, expected):
         assert all(same(a, b) for a, b in zip(got, wanted)), (got, wanted)
 
 
+def assert_sorted(rows, keys: str):
+    """Rows in the order of the keys; a null counts as greater than any value."""
+
+    def place(row):
+        return [(row[key[1:]] is None, row[key[1:]]) for key in keys.split()]
+
+    for above, below in zip(rows, rows[1:]):
+        for key, one, other in zip(keys.split(), place(above), place(below)):
+            if one == other:
+                continue
+            greater = one[0] if one[0] != other[0] else one[1] > other[1]
+            assert greater == (key[0] == "-"), (key, above, below)
+            break
+
+
 def staging_of(spark, packaging=(), standards=(), rates=(), usage=()) -> Staging:
     def frame(rows, schema):
         return spark.createDataFrame(list(rows), schema)

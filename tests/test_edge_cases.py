@@ -12,7 +12,8 @@ from boxmetrics.sources.layers import load_files, save_files
 from boxmetrics.tables import Tables
 from boxmetrics.transforms import build_transform
 from tests import edge_cases
-from tests.helpers import assert_rows, staging_of
+from tests.expected import SORT_KEYS
+from tests.helpers import assert_rows, assert_sorted, staging_of
 
 duckdb = pytest.importorskip("duckdb")
 
@@ -94,6 +95,13 @@ def test_same_as_sql(tables, database, name):
     assert_rows(frame, columns, rows)
 
 
+@pytest.mark.parametrize("name", sorted(SORT_KEYS))
+def test_order_with_nulls(tables, name):
+    rows = REPORTS[name](tables).collect()
+    assert len(rows) > 1
+    assert_sorted(rows, SORT_KEYS[name])
+
+
 def test_every_grade_of_fit_occurs(tables):
     grades = overboxing.overboxing_detail(tables).select("fit_category").distinct()
     assert {row[0] for row in grades.collect()} == {

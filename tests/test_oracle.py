@@ -9,6 +9,8 @@ from pathlib import Path
 import pytest
 
 import __spark_entry__ as registered
+from tests.expected import SORT_KEYS
+from tests.helpers import assert_sorted
 
 duckdb = pytest.importorskip("duckdb")
 
@@ -50,7 +52,9 @@ def test_same_as_sql(spark, database, name):
     assert sorted(columns) == names
     places = [columns.index(column) for column in names]
     wanted = _sorted(tuple(row[place] for place in places) for row in cursor.fetchall())
-    got = _sorted(tuple(row) for row in frame.select(*names).collect())
+    rows = frame.collect()
+    assert_sorted(rows, SORT_KEYS.get(name, ""))
+    got = _sorted(tuple(row[name] for name in names) for row in rows)
     assert wanted, "the query finds nothing to compare"
     assert len(got) == len(wanted)
     differing = [pair for pair in zip(got, wanted) if pair[0] != pair[1]]
