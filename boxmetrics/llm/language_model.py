@@ -3,7 +3,8 @@
 The chance of a word is a mixture of its bigram, unigram and uniform estimates. The weights
 depend on how often the context was seen: contexts with counts of equal binary logarithm share
 a bucket. Expectation-maximisation learns the weights on training documents that are held out
-of the counts (DELETED of them); documents outside of training are only scored.
+of the counts (one in DELETED); scores then use the counts of all training documents. Documents
+outside of training are only scored.
 
 Counting and looking up go by blocks of documents and ranges of hashes: a block asks for its
 distinct words and word pairs once, sorted, and each range answers all blocks in that order.
@@ -150,7 +151,8 @@ class Estimates:
     word: np.ndarray
 
 
-def estimates(table: pa.Table, answers: pa.Table, facts: Facts) -> Estimates:
+def estimates(table: pa.Table, answers: pa.Table, facts: Facts, *, deleted: bool) -> Estimates:
+    """Estimates from all training documents, or without the deleted ones."""
     tokens = tokens_of(table["text"])
     order = np.argsort(answers["range"].to_numpy())
     seen, modelled = (
@@ -158,9 +160,10 @@ def estimates(table: pa.Table, answers: pa.Table, facts: Facts) -> Estimates:
     )
     if len(seen) != len(tokens.keys):
         raise RuntimeError("the answers are not those of this block")
-    context = modelled[tokens.context].astype(float)
-    pair = np.divide(modelled[tokens.pair], context, out=np.zeros(len(context)), where=context > 0)
-    word = modelled[tokens.word] / max(facts.modelled, 1)
+    counts, total = (modelled, facts.modelled) if deleted else (seen, facts.tokens)
+    context = counts[tokens.context].astype(float)
+    pair = np.divide(counts[tokens.pair], context, out=np.zeros(len(context)), where=context > 0)
+    word = counts[tokens.word] / max(total, 1)
     bucket = np.minimum(np.frexp(context)[1], _BUCKETS - 1)
     return Estimates(tokens, seen[tokens.word], bucket, pair, word)
 
@@ -239,7 +242,7 @@ def scored(documents: DataFrame, block_bytes: int = BLOCK_BYTES, range_bytes: in
     answers = totals.select("block", "range", "seen", "modelled")
 
     def cells(table, given):
-        found = estimates(table, given, facts)
+        found = estimates(table, given, facts, deleted=True)
         cell = np.c_[found.bucket, _steps(found.pair, floor), _steps(found.word, floor)]
         values, n = np.unique(cell, axis=0, return_counts=True)
         return pa.table(
@@ -262,7 +265,7 @@ def scored(documents: DataFrame, block_bytes: int = BLOCK_BYTES, range_bytes: in
     weights = mixture([tuple(row) for row in seen])
 
     def scores(table, given):
-        found = estimates(table, given, facts)
+        found = estimates(table, given, facts, deleted=False)
         share = weights[found.bucket]
         chance = share[:, 0] * found.pair + share[:, 1] * found.word + share[:, 2] * floor
         base = np.log10((found.seen + 1.0) / (facts.tokens + 1.0 * (facts.words + 1)))

@@ -244,6 +244,47 @@ def test_language_model(spark, documents, rows, nothing):
     assert language_model.scored(nothing).count() == 0
 
 
+def test_language_model_scores_use_all_training_documents(spark, documents, rows):
+    hashed = documents.select("doc_id", F.xxhash64("doc_id", F.lit("deleted")).alias("h")).distinct().collect()
+    deleted = {r["doc_id"] for r in hashed if r["doc_id"] is not None and r["h"] % language_model.DELETED == 0}
+    learned, kept, parts = (collections.Counter(), collections.Counter()), (collections.Counter(), collections.Counter()), []
+    for doc_id, text, *_ in rows:
+        part = ["\0", *[w.decode() for w in (text or "").encode().lower().split()], "\0"]
+        parts.append((doc_id, part))
+        if doc_id is None or zlib.crc32(str(doc_id).encode()) % 7 == 2:
+            continue
+        for words_counted, pairs_counted in (learned, kept) if doc_id not in deleted else (learned,):
+            words_counted.update(part[1:])
+            pairs_counted.update(zip(part, part[1:]))
+    floor = 1 / (len(learned[0]) + 1)
+
+    def found(counts, before, word):
+        context = counts[0][before]
+        pair = counts[1][before, word] / context if context else 0.0
+        return min(math.frexp(context)[1], language_model._BUCKETS - 1), pair, counts[0][word] / max(sum(counts[0].values()), 1)
+
+    def steps(value):
+        return round(language_model._STEPS * math.log(value / floor)) if value else language_model._NEVER
+
+    cells = collections.Counter()
+    for doc_id, part in parts:
+        if doc_id in deleted and zlib.crc32(str(doc_id).encode()) % 7 != 2:
+            for before, word in zip(part, part[1:]):
+                bucket, pair, single = found(kept, before, word)
+                cells[bucket, steps(pair), steps(single)] += 1
+    assert any(kept[0][word] == 0 for word in learned[0])
+    weights = language_model.mixture([(*cell, n) for cell, n in cells.items()])
+    wanted = collections.Counter()
+    for doc_id, part in parts:
+        score = 0.0
+        for before, word in zip(part, part[1:]):
+            bucket, pair, single = found(learned, before, word)
+            score += math.log10(weights[bucket] @ [pair, single, floor])
+        wanted[doc_id, len(part) - 1, round(score, 5)] += 1
+    for sizes in ({}, {"block_bytes": 2000, "range_bytes": 4000}):
+        assert _collected(language_model.scored(documents, **sizes), "doc_id", "n_tokens", F.round("score", 5)) == wanted
+
+
 def test_mixture_weights_add_up():
     weights = language_model.mixture([(3, 20, 8, 50), (3, language_model._NEVER, 4, 10), (1, 0, 0, 5)])
     assert np.allclose(weights.sum(axis=1), 1) and (weights > 0).all()
