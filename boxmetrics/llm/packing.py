@@ -11,7 +11,7 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
+from functools import lru_cache, partial
 
 import numpy as np
 import pyarrow as pa
@@ -41,10 +41,12 @@ _GAPS = (0x20, 0x0A)
 
 @dataclass(frozen=True)
 class Vocabulary:
-    """A byte-level vocabulary: its file of ranks, and the pattern that parts a text."""
+    """A byte-level vocabulary: its file of ranks, the pattern that parts a text, and its added
+    tokens with their ids, which are found in texts before anything else."""
 
     path: str
     pattern: str
+    added: tuple[tuple[str, int], ...] = ()
 
 
 @lru_cache(maxsize=2)
@@ -55,20 +57,24 @@ def _encoding(vocabulary: Vocabulary):
 
     with open(vocabulary.path, "rb") as lines:
         ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
-    return tiktoken.Encoding("ranks", pat_str=vocabulary.pattern, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding("ranks", pat_str=vocabulary.pattern, mergeable_ranks=ranks, special_tokens=dict(vocabulary.added))
 
 
 class TokenIds:
     """Token ids of whole chunks of texts, each distinct word encoded once.
 
     No token goes across a single space or line feed between other characters, so a word
-    with the character before it can be encoded alone. Texts with other gaps are encoded
-    whole. Ids of up to REMEMBERED_WORDS words are kept in one flat array; a word is found
+    with the character before it can be encoded alone. Texts with other gaps or with an added
+    token are encoded whole. Ids of up to REMEMBERED_WORDS words are kept in one flat array; a word is found
     there by its 64-bit hash.
     """
 
     def __init__(self, vocabulary: Vocabulary) -> None:
         self._encoding = _encoding(vocabulary)
+        self._encoded = self._encoding.encode_ordinary
+        if vocabulary.added:
+            self._encoded = partial(self._encoding.encode, allowed_special="all")
+        self._breaks = [*_WIDE_SPACES, *[token.encode() for token, _ in vocabulary.added]]
         (self._line_feed,) = self._encoding.encode_ordinary("\n")
         self._forget()
 
@@ -131,10 +137,10 @@ class TokenIds:
         whole[np.flatnonzero(filled)[trailing]] = True
         whole |= ~filled
         content = data.tobytes()
-        if any(space in content for space in _WIDE_SPACES):
+        if any(mark in content for mark in self._breaks):
             for at in range(n_rows):
                 piece = content[words.offsets[at] : words.offsets[at + 1]]
-                whole[at] |= any(space in piece for space in _WIDE_SPACES)
+                whole[at] |= any(mark in piece for mark in self._breaks)
 
         simple = ~whole[row]
         starts = (words.starts - ~opens)[simple]
@@ -158,7 +164,7 @@ class TokenIds:
         for at_row in range(n_rows):
             if whole[at_row]:
                 text = texts[words.row + at_row].as_py()
-                yield np.array(self._encoding.encode_ordinary(text), dtype=np.uint32)
+                yield np.array(self._encoded(text), dtype=np.uint32)
             else:
                 yield ids[bounds[at_row] : bounds[at_row + 1]]
 

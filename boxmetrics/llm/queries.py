@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -24,10 +25,18 @@ def _documents(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def vocabulary() -> Vocabulary:
-    """The byte-level vocabulary of `byte_bpe_50k.json`, as ranks; all machines have the file."""
+    """The byte-level vocabulary of `byte_bpe_50k.json`, as ranks; all machines have the file.
+
+    Only the added tokens are read from the JSON itself.
+    """
     import public_tokenizers
 
-    return Vocabulary(str(public_tokenizers.path("byte_bpe_50k.tiktoken")), public_tokenizers.PATTERN)
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as file:
+        added = json.load(file)["added_tokens"]
+    if any(token[flag] for token in added for flag in ("single_word", "lstrip", "rstrip", "normalized")):
+        raise ValueError("added tokens are found as they are, without regard to what is beside them")
+    tokens = tuple((token["content"], token["id"]) for token in added)
+    return Vocabulary(str(public_tokenizers.path("byte_bpe_50k.tiktoken")), public_tokenizers.PATTERN, tokens)
 
 
 def op1_packing(spark: SparkSession, folder: str) -> DataFrame:

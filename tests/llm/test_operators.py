@@ -130,6 +130,24 @@ def test_packing(spark, documents, rows, nothing):
     assert packing.packed(nothing, queries.vocabulary()).count() == 0
 
 
+def test_packing_finds_added_tokens(spark):
+    from tokenizers import Tokenizer
+    import public_tokenizers
+
+    tokenizer = Tokenizer.from_file(str(public_tokenizers.path("byte_bpe_50k.json")))
+    end = "<|endoftext|>"
+    texts = ["plain words only", f"one doc ends.{end}next begins", f"a {end} b", end, end * 2, f"é  {end}\n\n it's{end}'s ", "<|endoftext"]
+    texts.append(f"long {end} text\n" * 700)
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    wanted = collections.Counter()
+    for doc_id, text in enumerate(texts):
+        ids = [*tokenizer.encode(text, add_special_tokens=False).ids, 0]
+        for start, length in packing.cuts(len(ids)):
+            crc = zlib.crc32(np.array(ids[start : start + length], dtype="<u4").tobytes())
+            wanted[doc_id, start, length, crc, len(ids)] += 1
+    assert _collected(packing.packed(frame, queries.vocabulary()), "doc_id", "start", "length", "ids_crc32", "doc_tokens") == wanted
+
+
 def test_patterns_hold_the_histogram():
     rng = random.Random(1)
     for _ in range(30):
