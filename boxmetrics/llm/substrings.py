@@ -46,6 +46,24 @@ def _sliding_least(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(values[: len(values) - rest], values[rest:]) if rest else values
 
 
+def _leftmost_least(values: np.ndarray, width: int) -> np.ndarray:
+    """Place of the leftmost least, by its high bits, of each `width` consecutive values.
+
+    The low bits hold the place. They count from the first place of a block of values, and
+    blocks overlap, so that a place fits into them at any number of values.
+    """
+    step = (1 << int(_PLACE_BITS)) - width + 1
+    if step < 1:
+        raise ValueError(f"{width} places do not fit into {_PLACE_BITS} bits")
+    low = (np.uint64(1) << _PLACE_BITS) - np.uint64(1)
+    found = np.empty(len(values) - width + 1, dtype=np.int64)
+    for at in range(0, len(found), step):
+        part = values[at : at + step + width - 1]
+        ordered = (part & ~low) | np.arange(len(part), dtype=np.uint64)
+        found[at : at + step] = at + (_sliding_least(ordered, width) & low).astype(np.int64)
+    return found
+
+
 def _lists(parts: list[tuple[np.ndarray, list[np.ndarray]]], rows: int, kind: pa.StructType) -> pa.Array:
     """One list of structs per row; each part has ascending rows and the columns."""
     if not parts:
@@ -69,13 +87,11 @@ def paths_of(texts: pa.Array, window: int = WINDOW, anchor: int = ANCHOR) -> pa.
         spans, checks = Spans(words.ids), Spans(words.ids, check=True)
         places = np.arange(len(words.ids) - anchor + 1)
         kmers = spans.hashed(places, anchor)
-        # The low bits hold the place, so that the leftmost of equal k-mers is the anchor.
-        ordered = (kmers >> _PLACE_BITS << _PLACE_BITS) | places.astype(np.uint64)
-        least = _sliding_least(ordered, window - anchor + 1)
+        least = _leftmost_least(kmers, window - anchor + 1)
         row_of = words.rows()
         starts = np.arange(len(least))
         whole = row_of[: len(least)] == row_of[window - 1 :]
-        starts, found = starts[whole], (least[whole] & ((np.uint64(1) << _PLACE_BITS) - np.uint64(1))).astype(np.int64)
+        starts, found = starts[whole], least[whole]
         if not len(starts):
             continue
         begins = np.flatnonzero(np.r_[True, (found[1:] != found[:-1]) | (np.diff(starts) != 1)])

@@ -224,6 +224,27 @@ def test_substrings(spark, documents, rows, nothing):
     assert substrings.deduplicated(nothing).count() == 0
 
 
+def test_anchors_do_not_depend_on_the_place(monkeypatch):
+    monkeypatch.setattr(substrings, "_PLACE_BITS", np.uint64(6))
+    rng = random.Random(8)
+    shared, before, after = ([rng.choice("abcdefgh") + str(rng.randint(0, 60)) for _ in range(n)] for n in (900, 137, 80))
+    window, anchor = substrings.WINDOW, substrings.ANCHOR
+
+    def anchors(parts):
+        paths = substrings.paths_of(pa.array([" ".join(parts)])).to_pylist()[0]
+        return {path["start"] + step: path["anchor"] for path in paths for step in range(path["windows"])}
+
+    (chunk,) = words.words_of(pa.array([" ".join(shared)]))
+    kmers = words.Spans(chunk.ids).hashed(np.arange(len(shared) - anchor + 1), anchor)
+    wanted = {}
+    for at in range(len(shared) - window + 1):
+        near = kmers[at : at + window - anchor + 1]
+        wanted[at] = int(near[np.argmin(near >> np.uint64(6))].astype(np.int64))
+    assert anchors(shared) == wanted
+    moved = anchors(before + shared + after)
+    assert {at: moved[at + len(before)] for at in wanted} == wanted
+
+
 def test_quality_trees(spark, documents, nothing):
     rng = np.random.default_rng(5)
     features = rng.normal(size=(3000, 4))
