@@ -118,12 +118,13 @@ def _bit(bit: int):
 
 
 def near_duplicates(documents: DataFrame, words: int = SHINGLE_WORDS, radius: int = RADIUS) -> DataFrame:
-    """Fingerprint and component of every document, with its key.
+    """Fingerprint and component of every document, with its key and the component's label.
 
     Equal fingerprints are collapsed before anything is linked. Null and empty texts have
     fingerprint 0 and are linked like others. The component is the smallest id that can be
     reached; a row without an id takes part, and its component is null only if no id is
-    reached. Repeated rows each give a row. Other columns are ignored.
+    reached. The label is a fingerprint of the component; it tells components with equal ids
+    apart. Repeated rows each give a row. Other columns are ignored.
     """
     marked = stored(with_fingerprint(keyed(documents), words), "fingerprints")
     nodes = stored(marked.groupBy("fp").agg(F.min("doc_id").alias("smallest")), "nodes")
@@ -134,16 +135,15 @@ def near_duplicates(documents: DataFrame, words: int = SHINGLE_WORDS, radius: in
         "fp", F.coalesce("label", "fp").alias("label"), "smallest"
     )
     reached = labelled.groupBy("label").agg(F.min("smallest").alias("component_id"))
-    of_fingerprint = labelled.join(reached, "label").select("fp", "component_id")
+    of_fingerprint = labelled.join(reached, "label").select("fp", "label", "component_id")
     return marked.join(of_fingerprint, "fp").select(
-        "doc_id", "text_hash", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"
+        "doc_id", "text_hash", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "label"
     )
 
 
 def representatives(documents: DataFrame, words: int = SHINGLE_WORDS, radius: int = RADIUS) -> DataFrame:
     """One key per component: the smallest id, and the smallest hash among its rows."""
     found = near_duplicates(documents, words, radius)
-    group = F.coalesce(F.col("component_id").cast("string"), F.col("fingerprint"))
-    return found.groupBy(group.alias("group")).agg(
+    return found.groupBy("label").agg(
         F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_hash")).alias("kept")
     ).select("kept.doc_id", "kept.text_hash")

@@ -399,6 +399,27 @@ def test_simhash(spark, documents, rows, nothing, monkeypatch):
     assert simhash.near_duplicates(nothing).count() == 0
 
 
+def test_one_document_of_each_component_is_kept(spark):
+    rng = random.Random(4)
+    text, far, other = (" ".join(rng.choices("abcdefghijklmnop", k=400)) for _ in range(3))
+    near = next(
+        changed
+        for at in range(400)
+        for changed in [" ".join([*text.split()[:at], "z", *text.split()[at + 1 :]])]
+        if 1 <= (_fingerprint(changed) ^ _fingerprint(text)).bit_count() <= 2
+    )
+    for rows in (
+        # One id with two texts, and a near copy under another id.
+        [(1, text), (1, far), (2, near), (3, other)],
+        # No ids: near copies one or two bits apart.
+        [(None, text), (None, near), (None, far), (None, other)],
+    ):
+        frame = spark.createDataFrame(rows, "doc_id long, text string")
+        kept = corpus_pipeline.near_duplicates(spark, frame, "").collect()
+        of_texts = collections.Counter("text" if row["text"] in (text, near) else row["text"] for row in kept)
+        assert of_texts == {"text": 1, far: 1, other: 1}
+
+
 def test_masks_cover_all_pairs_of_bits(spark, monkeypatch):
     kept = [mask & (2**64 - 1) for mask in simhash.masks()]
     assert len(kept) == 7
