@@ -8,7 +8,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from boxmetrics.llm import sql
+from boxmetrics.llm.clustering import centroid_clusters
 from boxmetrics.llm.decontamination import contamination
+from boxmetrics.llm.filter_audit import audit
 from boxmetrics.llm.language_model import scored as language_scores
 from boxmetrics.llm.line_rules import quality as line_quality
 from boxmetrics.llm.packing import Vocabulary, packed
@@ -18,6 +20,7 @@ from boxmetrics.llm.secrets import secrets
 from boxmetrics.llm.sharding import sharded
 from boxmetrics.llm.simhash import near_duplicates
 from boxmetrics.llm.substrings import deduplicated
+from boxmetrics.llm.tokenization import round_trips
 
 
 def _documents(spark: SparkSession, folder: str) -> DataFrame:
@@ -81,6 +84,21 @@ def op10_sharding(spark: SparkSession, folder: str) -> DataFrame:
     return sharded(_documents(spark, folder))
 
 
+def op11_tokenization(spark: SparkSession, folder: str) -> DataFrame:
+    import public_tokenizers
+
+    return round_trips(_documents(spark, folder), str(public_tokenizers.path("byte_bpe_50k.json")))
+
+
+def op12_filter_audit(spark: SparkSession, folder: str) -> DataFrame:
+    labels = spark.read.parquet(f"{folder.rstrip('/')}/labels.parquet")
+    return audit(_documents(spark, folder), labels)
+
+
+def op13_clustering(spark: SparkSession, folder: str) -> DataFrame:
+    return centroid_clusters(spark.read.parquet(f"{folder.rstrip('/')}/embeddings.parquet"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_packing": op1_packing,
@@ -93,6 +111,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_privacy": op8_privacy,
         "op9_simhash": op9_simhash,
         "op10_sharding": op10_sharding,
+        "op11_tokenization": op11_tokenization,
+        "op12_filter_audit": op12_filter_audit,
+        "op13_clustering": op13_clustering,
     }
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from boxmetrics.llm import line_rules, secrets
+from boxmetrics.llm import clustering, filter_audit, line_rules, secrets
 
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -132,5 +132,107 @@ SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
 FROM counted"""
 
 
+def op12() -> str:
+    spaces = "'[\\x20\\x09-\\x0D]+'"
+    names = filter_audit.FILTERS
+    failed = {
+        "A": f"len(w) < {filter_audit.LEAST_WORDS}",
+        "B": f"100 * list_unique(w) < {filter_audit.LEAST_DISTINCT_PERCENT} * len(w)",
+        "C": f"100 * length(regexp_replace(t, '[^A-Z]+', '', 'g')) > {filter_audit.MOST_CAPITALS_PERCENT} * length(t)",
+        "D": "regexp_matches(t, '[#$%&*|]')",
+        "E": "coalesce(doc_id > min(doc_id) OVER (PARTITION BY t), FALSE)",
+    }
+    flags = ", ".join(f"CASE WHEN {test} THEN '{name}' ELSE '' END AS f{name}" for name, test in failed.items())
+    letters = ", ".join(f"'{name}'" for name in names)
+    return f"""
+WITH d AS (
+    SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t,
+           list_filter(string_split_regex(coalesce(text, ''), {spaces}), lambda x: x <> '') AS w
+    FROM documents),
+l AS (
+    SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good,
+           max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic
+    FROM labels GROUP BY doc_id),
+f AS (SELECT doc_id, part, {flags} FROM d),
+sets AS (
+    SELECT part, {" || ".join(f"f{name}" for name in names)} AS failed, count(*) AS n,
+           sum(coalesce(good, 0)) AS good, sum(coalesce(toxic, 0)) AS toxic
+    FROM f LEFT JOIN l USING (doc_id) GROUP BY part, failed),
+letters AS (SELECT unnest([{letters}]) AS x),
+orders AS (
+    SELECT a.x || b.x || c.x || d.x || e.x AS filter_order
+    FROM letters a, letters b, letters c, letters d, letters e
+    WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+steps AS (SELECT filter_order, CAST(unnest(range(1, 6)) AS INTEGER) AS step FROM orders),
+met AS (
+    SELECT part, filter_order, step, failed, n, good, toxic,
+           contains(failed, filter_order[step]) AS fails,
+           regexp_matches(failed, '[' || filter_order[1:step] || ']') AS gone,
+           step > 1 AND regexp_matches(failed, '[' || filter_order[1:greatest(step - 1, 1)] || ']') AS went,
+           failed = filter_order[step] AS alone
+    FROM sets, steps)
+SELECT part, filter_order, step,
+       CAST(coalesce(sum(n) FILTER (NOT gone), 0) AS BIGINT) AS kept,
+       CAST(coalesce(sum(n) FILTER (fails AND NOT went), 0) AS BIGINT) AS removed,
+       CAST(coalesce(sum(n) FILTER (fails AND went), 0) AS BIGINT) AS redundant,
+       CAST(coalesce(sum(n) FILTER (alone), 0) AS BIGINT) AS unique_fails,
+       CAST(coalesce(sum(good) FILTER (fails AND NOT went), 0) AS BIGINT) AS good_lost,
+       CAST(coalesce(sum(toxic) FILTER (fails AND NOT went), 0) AS BIGINT) AS toxic_lost,
+       CAST(coalesce(sum(sum(n) FILTER (fails AND NOT went)) OVER (PARTITION BY part, filter_order[step]), 0) AS BIGINT)
+           AS shapley
+FROM met GROUP BY part, filter_order, step"""
+
+
+def op13() -> str:
+    """Each round is written out: distances to all centroids, then the means of the clusters."""
+    count, rounds, scale = clustering.CENTROIDS, clustering.ROUNDS, clustering.SCALE
+    size = clustering.COMPONENTS
+    parts = [
+        f"""
+WITH kept AS (
+    SELECT row_number() OVER () AS r, vec_id,
+           list_transform(embedding, lambda x: CAST(floor({scale} * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+    FROM embeddings
+    WHERE len(embedding) = {size}
+      AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(CAST(x AS DOUBLE)))) = {size}),
+c0 AS MATERIALIZED (
+    SELECT CAST(row_number() OVER (ORDER BY sha256('{clustering.SEED_PREFIX}' || vec_id), v) - 1 AS INTEGER) AS cluster, v AS c
+    FROM kept ORDER BY sha256('{clustering.SEED_PREFIX}' || vec_id), v LIMIT {count})"""
+    ]
+    for number in range(rounds + 1):
+        parts.append(f"""
+a{number} AS MATERIALIZED (
+    SELECT r, any_value(vec_id) AS vec_id, any_value(v) AS v, min(struct_pack(d := d, cluster := cluster)) AS nearest
+    FROM (SELECT r, vec_id, v, cluster,
+                 CAST(list_sum(list_transform(list_zip(v, c), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS BIGINT) AS d
+          FROM kept, c{number})
+    GROUP BY r)""")
+        if number < rounds:
+            parts.append(f"""
+s{number + 1} AS (
+    SELECT cluster, list(m ORDER BY i) AS c FROM (
+        SELECT cluster, i, CAST(CASE WHEN sum(x) >= 0 THEN sum(x) // count(*)
+                                     ELSE -((count(*) - 1 - sum(x)) // count(*)) END AS BIGINT) AS m
+        FROM (SELECT nearest.cluster AS cluster, unnest(v) AS x, unnest(range(len(v))) AS i FROM a{number})
+        GROUP BY cluster, i)
+    GROUP BY cluster),
+c{number + 1} AS MATERIALIZED (
+    SELECT c{number}.cluster, coalesce(s{number + 1}.c, c{number}.c) AS c
+    FROM c{number} LEFT JOIN s{number + 1} USING (cluster))""")
+    return ",".join(parts) + f"""
+SELECT vec_id, cluster, distance,
+       CAST(sum(distance) OVER (PARTITION BY cluster) AS BIGINT) AS cluster_inertia,
+       CAST(sum(distance) OVER () AS BIGINT) AS inertia,
+       sha256(array_to_string(c, ',')) AS centroid_sha256
+FROM (SELECT vec_id, nearest.cluster AS cluster, nearest.d AS distance FROM a{rounds})
+JOIN c{rounds} USING (cluster)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_secrets": op2(), "op4_decontamination": op4(), "op7_line_rules": op7()}
+    return {
+        "op2_secrets": op2(),
+        "op4_decontamination": op4(),
+        "op7_line_rules": op7(),
+        "op12_filter_audit": op12(),
+        "op13_clustering": op13(),
+    }
