@@ -1,7 +1,7 @@
 """Aggregates over rows that stand for many usage rows each (see `operators.grain`).
 
-Sums are taken in decimals and cast to double at the end, so they are the same for any
-partitioning. Every function gives what the plain aggregate over single rows gives: nulls
+Sums are taken in decimals or whole numbers and cast to double at the end, so they are the
+same for any partitioning. Every function gives what the plain aggregate over single rows gives: nulls
 are left out, sums over nothing are null and counts over nothing are 0.
 """
 
@@ -11,7 +11,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from boxmetrics.functions.convert import as_double
-from boxmetrics.schemas import COST, RATIO, ROWS
+from boxmetrics.schemas import COST, ROWS, WHOLE
 
 _HUNDRED = 100.0
 
@@ -42,10 +42,23 @@ def mean(value: Column) -> Column:
     return total(value) / F.sum(F.when(value.isNotNull(), F.col("usage_rows")))
 
 
+#: Binary places of the two parts in which quotients are added up, together more than a double has.
+_HIGH_PLACES, _LOW_PLACES = 2.0**26, 2.0**40
+
+
 def mean_ratio(value: Column) -> Column:
-    """Average of a quotient, each held to eight places."""
-    weighted = F.sum(value.cast(RATIO) * F.col("usage_rows").cast(ROWS))
-    return as_double(weighted) / F.sum(F.when(value.isNotNull(), F.col("usage_rows")))
+    """Average of a quotient of doubles.
+
+    A sum of doubles depends on the order of its rows. So each is split, without an error, into
+    a whole number of 2**-26 and a rest, of which 40 more places are kept. Both parts are
+    added up as whole numbers.
+    """
+    scaled = value * _HIGH_PLACES
+    rest = F.pmod(scaled, F.lit(1.0))
+    high, low = (scaled - rest).cast(WHOLE), F.floor(rest * _LOW_PLACES).cast(WHOLE)
+    count = F.col("usage_rows").cast(ROWS)
+    sums = as_double(F.sum(high * count)) + as_double(F.sum(low * count)) / _LOW_PLACES
+    return sums / _HIGH_PLACES / F.sum(F.when(value.isNotNull(), F.col("usage_rows")))
 
 
 def rows_where(condition: Column) -> Column:

@@ -16,39 +16,21 @@ def over_grid(frame: DataFrame, grid: Sequence[Mapping[str, object]]) -> DataFra
     return frame.select("*", F.inline(F.array(*points)))
 
 
-#: Copies a row of `in_blocks` stands for at most. Few, so that rows weigh about the same.
-BLOCK = 16
-_BLOCKS_AT_ONCE = 4096
+_COPIES_AT_ONCE = 65_536
 
 
-def in_blocks(frame: DataFrame, copies: str) -> DataFrame:
-    """Repeat every row once per block of its copies.
+def in_copies(frame: DataFrame, copies: str, number: str = "copy") -> DataFrame:
+    """Repeat every row as often as its column `copies` says; `number` tells the copies apart.
 
-    `copies` then says how many there are in the block, at most BLOCK, and the new column
-    `block` tells the blocks of a row apart. Blocks are made in two steps, so that no row
-    needs an array as long as its number.
+    Copies are made in runs, so that no row needs an array as long as its number of copies.
     """
-    copy, step = F.col(copies), BLOCK * _BLOCKS_AT_ONCE
-    zero = F.lit(0).cast("bigint")
+    copy, step, zero = F.col(copies), F.lit(_COPIES_AT_ONCE), F.lit(0).cast("bigint")
     runs = F.sequence(zero, F.floor((copy - 1) / step))
-    in_run = F.least(F.lit(step).cast("bigint"), copy - F.col("run") * step)
-    blocks = F.sequence(zero, F.floor((in_run - 1) / BLOCK))
-    number = F.col("run") * _BLOCKS_AT_ONCE + F.col("block")
+    first = F.col("run") * step
+    each = F.sequence(first, F.least(first + step, copy) - 1)
     return (
-        frame.withColumn("run", F.explode(runs))
-        .withColumn("block", F.explode(blocks))
-        .withColumn("block", number)
-        .drop("run")
-        .withColumn(copies, F.least(F.lit(BLOCK).cast("bigint"), copy - F.col("block") * BLOCK))
+        frame.filter(copy > 0)
+        .withColumn("run", F.explode(runs))
+        .withColumn(number, F.explode(each))
+        .drop("run", copies)
     )
-
-
-def out_of_blocks(frame: DataFrame, copies: str) -> DataFrame:
-    """Make the copies of every block, in place, and drop the two columns of the blocks."""
-    each = F.sequence(F.lit(1).cast("bigint"), F.col(copies))
-    return frame.withColumn("copy", F.explode(each)).drop("block", "copy", copies)
-
-
-def in_copies(frame: DataFrame, copies: str) -> DataFrame:
-    """Repeat every row as often as its column `copies` says, and drop that column."""
-    return out_of_blocks(in_blocks(frame, copies), copies)

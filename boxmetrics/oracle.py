@@ -112,7 +112,11 @@ def _count_of(value: str) -> str:
 
 
 def _mean_ratio(value: str) -> str:
-    return f"{_total(f'CAST({value} AS DECIMAL(18, 8))')} / count({value})"
+    """The exact average: a double is a whole number of 2**-26 and a rest of 2**-40 of these."""
+    scaled = f"({value} * 67108864)"
+    high = f"sum(CAST(floor({scaled}) AS HUGEINT))"
+    low = f"sum(CAST(floor(({scaled} - floor({scaled})) * 1099511627776) AS HUGEINT))"
+    return f"({_double(high)} + {_double(low)} / 1099511627776) / 67108864 / count({value})"
 
 
 def _pct(part: str, whole: str) -> str:

@@ -23,7 +23,7 @@ from boxmetrics.operators.filters import Q1_2026, Window, boxed, selected
 from boxmetrics.operators.grain import folded, usage_counts, weighted
 from boxmetrics.operators.lookups import with_box, with_rate, with_recommendation
 from boxmetrics.operators.ordering import down, sorted_rows, up
-from boxmetrics.operators.scenarios import in_blocks, out_of_blocks
+from boxmetrics.operators.scenarios import in_copies
 from boxmetrics.tables import Tables
 
 # The two contract rates the decomposition compares.
@@ -61,15 +61,16 @@ def overboxing_detail(tables: Tables, levels: Mapping[str, int] = BOX_LEVELS) ->
 
     An order id on several rows gives every pair of its rows, with the areas of one and
     the box level of the other. Rows without a box, standard or rate drop out before the
-    pairing. The copies are cut into small blocks before the sort, so that its ranges have
-    about as many pairs each, and are made after it.
+    pairing. All pairs are made before the sort. It cuts its ranges by the number of rows it
+    is given, so only single pairs make ranges of equal weight; what it moves is what the
+    report returns.
     """
     # Doubles sort much faster than decimals of this width.
     rows = _rated_rows(tables).withColumn("cost_inefficiency_eur", as_double(waste_cost()))
-    pairs = in_blocks(_paired_on_order(rows, tables, levels), "copies")
+    pairs = in_copies(_paired_on_order(rows, tables, levels), "copies")
     skipped = F.col("paired_level") - box_level(F.col("recommended_pkg_id"), levels)
     in_order = sorted_rows(
-        pairs, down("cost_inefficiency_eur"), up("order_date"), last=("paired_level", "block")
+        pairs, down("cost_inefficiency_eur"), up("order_date"), last=("paired_level", "copy")
     )
     result = in_order.select(
         "order_id",
@@ -91,10 +92,8 @@ def overboxing_detail(tables: Tables, levels: Mapping[str, int] = BOX_LEVELS) ->
         ideal_cost().alias("ideal_cost_eur"),
         "cost_inefficiency_eur",
         "is_damaged",
-        "block",
-        "copies",
     )
-    return decimals_as_doubles(out_of_blocks(result, "copies"))
+    return decimals_as_doubles(result)
 
 
 def overboxing_by_market(tables: Tables) -> DataFrame:

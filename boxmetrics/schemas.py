@@ -15,10 +15,10 @@ AREA_M2 = T.DecimalType(16, 8)
 RATE_EUR = T.DecimalType(14, 6)
 
 # Types of the intermediate values that are summed. A cost is held to ten places: exact
-# for four-place areas and six-place rates. Ratios are quotients, so they are rounded.
-# A cost or ratio times a number of rows just fits the 38 digits a decimal can have.
+# for four-place areas and six-place rates. Quotients are added up in whole numbers.
+# Either times a number of rows just fits the 38 digits a decimal can have.
 COST = T.DecimalType(19, 10)
-RATIO = T.DecimalType(18, 8)
+WHOLE = T.DecimalType(19, 0)
 ROWS = T.DecimalType(18, 0)
 
 

@@ -27,6 +27,8 @@ def build_session(master: str, cores: int, input_bytes: int = 0, **settings: str
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
+        # Sorted reports cut their ranges by a sample of this many rows for each.
+        .config("spark.sql.execution.rangeExchange.sampleSizePerPartition", "400")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions(input_bytes, cores)))
         .config("spark.sql.files.maxPartitionBytes", str(256 * MEGABYTE))
         # Also decides how large the files of a layer become.

@@ -201,7 +201,8 @@ def own_source(tmp_path):
     folder = tmp_path / "source"
     folder.mkdir()
     for name in order_source.SOURCE_TABLES:
-        shutil.copy(f"{SMALL}/{name}.parquet", folder)
+        # Without the mode of the original, which may be read-only.
+        shutil.copyfile(f"{SMALL}/{name}.parquet", folder / f"{name}.parquet")
     return folder
 
 
