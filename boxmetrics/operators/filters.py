@@ -17,6 +17,9 @@ class Window:
     end: date
 
 
+#: Usage in a layer is kept by this column, the first day of the order's month.
+MONTH = "order_month"
+
 Q1_2026 = Window(date(2026, 1, 1), date(2026, 3, 31))
 
 
@@ -26,6 +29,10 @@ def boxed(usage: DataFrame) -> DataFrame:
 
 
 def ordered_within(usage: DataFrame, window: Window) -> DataFrame:
+    """Orders of a range of dates. Of usage kept by month, only the months in it are opened."""
+    if MONTH in usage.columns:
+        months = (F.lit(day.replace(day=1)) for day in (window.start, window.end))
+        usage = usage.filter(F.col(MONTH).between(*months))
     return usage.filter(F.col("order_date").between(F.lit(window.start), F.lit(window.end)))
 
 

@@ -16,6 +16,11 @@ _WORD = 8
 _ROW_OVERHEAD = 32
 
 
+def row_bytes(columns: int) -> int:
+    """What a row takes beside its text."""
+    return _ROW_OVERHEAD + 2 * _WORD * columns
+
+
 def measured_bytes(frame: DataFrame) -> int:
     """Size of the frame in memory, from one distributed aggregate over all of it."""
     texts = [
@@ -23,7 +28,7 @@ def measured_bytes(frame: DataFrame) -> int:
         for field in frame.schema.fields
         if isinstance(field.dataType, T.StringType)
     ]
-    fixed = F.lit(_ROW_OVERHEAD + 2 * _WORD * len(frame.schema.fields))
+    fixed = F.lit(row_bytes(len(frame.schema.fields)))
     total = frame.agg(F.sum(reduce(add, texts, fixed).cast("bigint")).alias("bytes"))
     return total.first()["bytes"] or 0
 

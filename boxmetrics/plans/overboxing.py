@@ -31,29 +31,43 @@ NEW_RATE = Decimal("1.75")
 OLD_RATE = Decimal("1.15")
 
 
-def _rated_rows(tables: Tables) -> DataFrame:
+def _rated(usage: DataFrame, tables: Tables) -> DataFrame:
     """Boxed usage with a known box, a known recommendation and a rate."""
-    return with_rate(_standard_rows(boxed(tables.usage), tables), tables)
+    return with_rate(_standard_rows(boxed(usage), tables), tables)
 
 
-def _paired_on_order(rows: DataFrame, tables: Tables, levels: Mapping[str, int]) -> DataFrame:
-    """Rows paired with the boxes of all boxed rows of the same order.
-
-    A row is paired with every boxed row of its order, itself included, of which only the
-    box level is wanted. So the second side is counted per order and level before it is
-    shuffled; `copies` says how many pairs a row of the result stands for. Each order has
-    at most one row per level on that side. Both sides grow with usage, so they are always
-    shuffled and merged, and adaptive execution splits an order id that many rows share.
-    For that both sides must come straight from a shuffle on the order id: counting by it
-    alone would save the second side one, but a hot order id would then stay in one task.
-    """
-    per_level = (
-        boxed(tables.usage)
+def _boxes_of_orders(usage: DataFrame, levels: Mapping[str, int]) -> DataFrame:
+    """Boxed rows counted per order and box level, as `copies`."""
+    return (
+        boxed(usage)
         .select("order_id", box_level(F.col("pkg_id"), levels).alias("paired_level"))
         .groupBy("order_id", "paired_level")
         .agg(F.count("*").alias("copies"))
     )
-    return rows.join(per_level.hint("merge"), "order_id")
+
+
+def _paired_on_order(tables: Tables, levels: Mapping[str, int]) -> DataFrame:
+    """Rated rows paired with the boxes of all boxed rows of the same order.
+
+    A row is paired with every boxed row of its order, itself included, of which only the
+    box level is wanted. So the second side is counted per order and level; `copies` says how
+    many pairs a row of the result stands for. Each order has at most one row per level on
+    that side.
+
+    Usage that is kept in buckets by order is joined without a shuffle. The counts of hot
+    orders, which are few, are broadcast to their rows. Otherwise both sides are shuffled
+    and merged, and adaptive execution splits an order id that many rows share. For that
+    both sides must come straight from a shuffle on the order id: counting by it alone would
+    save the second side one, but a hot order id would then stay in one task.
+    """
+    if tables.by_order is None:
+        return _rated(tables.usage, tables).join(
+            _boxes_of_orders(tables.usage, levels).hint("merge"), "order_id"
+        )
+    kept, hot = tables.by_order.usage, tables.by_order.of_hot_orders
+    in_buckets = _rated(kept, tables).join(_boxes_of_orders(kept, levels).hint("merge"), "order_id")
+    beside = F.broadcast(_boxes_of_orders(hot, levels))
+    return in_buckets.unionByName(_rated(hot, tables).join(beside, "order_id"))
 
 
 def overboxing_detail(tables: Tables, levels: Mapping[str, int] = BOX_LEVELS) -> DataFrame:
@@ -66,8 +80,8 @@ def overboxing_detail(tables: Tables, levels: Mapping[str, int] = BOX_LEVELS) ->
     report returns.
     """
     # Doubles sort much faster than decimals of this width.
-    rows = _rated_rows(tables).withColumn("cost_inefficiency_eur", as_double(waste_cost()))
-    pairs = in_copies(_paired_on_order(rows, tables, levels), "copies")
+    paired = _paired_on_order(tables, levels).withColumn("cost_inefficiency_eur", as_double(waste_cost()))
+    pairs = in_copies(paired, "copies")
     skipped = F.col("paired_level") - box_level(F.col("recommended_pkg_id"), levels)
     in_order = sorted_rows(
         pairs, down("cost_inefficiency_eur"), up("order_date"), last=("paired_level", "copy")
@@ -98,7 +112,7 @@ def overboxing_detail(tables: Tables, levels: Mapping[str, int] = BOX_LEVELS) ->
 
 def overboxing_by_market(tables: Tables) -> DataFrame:
     """The same pairs summed up per market, without making the copies."""
-    pairs = _paired_on_order(_rated_rows(tables), tables, BOX_LEVELS)
+    pairs = _paired_on_order(tables, BOX_LEVELS)
     counts = folded(
         weighted(pairs, tables, copies="copies"),
         "market",

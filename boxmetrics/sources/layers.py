@@ -8,21 +8,24 @@ from __future__ import annotations
 
 import os
 import uuid
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Mapping, Sequence
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from boxmetrics.operators.filters import MONTH
+from boxmetrics.sources.generations import remove_folder
+
 STAGING = "staging"
 TRANSFORM = "transform"
 
-# Usage is written in date order within each file. Reports on a quarter then skip the
-# row groups and pages of other dates. The further columns make long runs of equal values
-# in every column the summary reports read.
+# Usage is kept by month, and in date order within each file. Reports on a quarter then open
+# only that quarter's files. The further columns make long runs of equal values in every
+# column the summary reports read.
+_PARTED_BY = {"fact_box_usage": (MONTH, "order_date")}
 _FILE_ORDER = {
-    "fact_box_usage": ("order_date", "market", "pkg_id", "meals_count", "is_damaged")
+    "fact_box_usage": (MONTH, "order_date", "market", "pkg_id", "meals_count", "is_damaged")
 }
 _COMPRESSION = "zstd"
 
@@ -32,9 +35,21 @@ def layer_name(layer: str | None, default: str) -> str:
     return default if layer is None else layer
 
 
-def _laid_out(name: str, frame: DataFrame) -> DataFrame:
-    columns = _FILE_ORDER.get(name)
-    return frame.sortWithinPartitions(*columns) if columns else frame
+def laid_out(name: str, frame: DataFrame) -> DataFrame:
+    """Rows in the order of their files, those of a month side by side.
+
+    Adaptive execution deals the months to tasks of about the advised size: a month has as
+    many files as its bytes need, and a task may write several small months.
+    """
+    if name not in _PARTED_BY:
+        return frame
+    month, date = _PARTED_BY[name]
+    rows = frame.withColumn(month, F.trunc(date, "month")).hint("rebalance", F.col(month))
+    return rows.sortWithinPartitions(*_FILE_ORDER[name])
+
+
+def parting(name: str) -> list[str]:
+    return [_PARTED_BY[name][0]] if name in _PARTED_BY else []
 
 
 def save_tables(
@@ -44,13 +59,11 @@ def save_tables(
     default: str = "default",
 ) -> None:
     """Write the frames as tables of a database named after the layer."""
-    _require_shared_warehouse(spark)
+    require_shared_warehouse(spark)
     database = layer_name(layer, default)
     spark.sql(f"CREATE DATABASE IF NOT EXISTS `{database}`")
     for name, frame in frames.items():
-        # Raw tables are read once, as a whole: their order does not matter.
-        rows = frame if database == STAGING else _laid_out(name, frame)
-        writer = rows.write.mode("overwrite").option("compression", _COMPRESSION)
+        writer = frame.write.mode("overwrite").option("compression", _COMPRESSION)
         writer.saveAsTable(f"`{database}`.`{name}`")
 
 
@@ -67,23 +80,83 @@ def load_tables(
 def save_files(frames: Mapping[str, DataFrame], folder: str) -> None:
     """Write the frames as Parquet below one folder."""
     for name, frame in frames.items():
-        writer = _laid_out(name, frame).write.mode("overwrite")
-        writer.option("compression", _COMPRESSION).parquet(f"{folder}/{name}")
+        writer = laid_out(name, frame).write.mode("overwrite").option("compression", _COMPRESSION)
+        writer.partitionBy(*parting(name)).parquet(f"{folder}/{name}")
+
+
+def save_table(frame: DataFrame, name: str, table: str) -> None:
+    """Write one table of a generation in its layout, with statistics of all its columns."""
+    writer = laid_out(name, frame).write.option("compression", _COMPRESSION)
+    writer.partitionBy(*parting(name)).saveAsTable(table)
+    frame.sparkSession.sql(f"ANALYZE TABLE {table} COMPUTE STATISTICS FOR ALL COLUMNS")
+
+
+#: Rows of a bucket, beyond the number of buckets that the session has shuffle partitions.
+ROWS_PER_BUCKET = 4_000_000
+_MOST_BUCKETS = 100_000
+
+
+def save_by_order(frame: DataFrame, rows: int, table: str) -> None:
+    """Write rows in buckets by order id, a file each, so that joins on it need no shuffle."""
+    spark = frame.sparkSession
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = min(max(least, -(-rows // ROWS_PER_BUCKET)), _MOST_BUCKETS)
+    writer = frame.repartition(buckets, "order_id").write.option("compression", _COMPRESSION)
+    writer.bucketBy(buckets, "order_id").sortBy("order_id").saveAsTable(table)
 
 
 def load_files(
     spark: SparkSession, schemas: Mapping[str, T.StructType], folder: str
 ) -> dict[str, DataFrame]:
+    """The tables below a folder; usage has its month as well."""
+
+    def stored(name: str, schema: T.StructType) -> T.StructType:
+        return T.StructType([*schema.fields, *[T.StructField(month, T.DateType()) for month in parting(name)]])
+
     return {
-        name: spark.read.schema(schema).parquet(f"{folder}/{name}")
+        name: spark.read.schema(stored(name, schema)).parquet(f"{folder}/{name}")
         for name, schema in schemas.items()
     }
 
 
-def _require_shared_warehouse(spark: SparkSession) -> None:
+def require_shared_warehouse(spark: SparkSession) -> None:
     """Without a setting Spark puts tables into a folder beside the driver's program."""
-    if spark.conf.get("spark.sql.warehouse.dir", "").endswith(f"{os.getcwd()}/spark-warehouse"):
+    warehouse = spark.conf.get("spark.sql.warehouse.dir", "")
+    if warehouse.endswith(f"{os.getcwd()}/spark-warehouse"):
         raise RuntimeError("set spark.sql.warehouse.dir to a folder all executors can reach")
+    require_shared(spark, warehouse, "spark.sql.warehouse.dir")
+
+
+#: Folders that were found to be shared, by application.
+_probed: set[tuple[str, str]] = set()
+PROBE_TASKS = 8
+
+
+def _write_probe(spark: SparkSession, folder: str) -> None:
+    spark.range(PROBE_TASKS, numPartitions=PROBE_TASKS).write.parquet(folder)
+
+
+def require_shared(spark: SparkSession, folder: str, setting: str) -> None:
+    """Stop unless the driver finds what the executors write below a folder.
+
+    A folder that each machine has for itself takes all files and shows none of them. One
+    machine alone needs no probe.
+    """
+    if not folder or spark.conf.get("spark.master", "").startswith("local["):
+        return
+    asked = (spark.sparkContext.applicationId, folder)
+    if asked in _probed:
+        return
+    probe = f"{folder.rstrip('/')}/probe-{uuid.uuid4().hex}"
+    _write_probe(spark, probe)
+    found = spark.read.schema("id long").parquet(probe).count()
+    remove_folder(spark, probe)
+    if found != PROBE_TASKS:
+        raise RuntimeError(
+            f"{setting} names {folder}, where executors wrote {PROBE_TASKS} rows and the driver finds {found}: "
+            "set it to a folder that all machines share"
+        )
+    _probed.add(asked)
 
 
 def shared_folder(spark: SparkSession) -> str | None:
@@ -106,33 +179,3 @@ def files_identity(spark: SparkSession, paths: Sequence[str]) -> str:
     return f"{found['n']}_{found['files'] or 0}".replace("-", "m")
 
 
-def _facts_of(spark: SparkSession, schema: T.StructType, folder: str) -> dict | None:
-    try:
-        rows = spark.read.schema(schema).parquet(f"{folder}/facts").orderBy("layer").take(1)
-    except AnalysisException as error:
-        if error.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return None
-    return rows[0].asDict() if rows else None
-
-
-def layer_of_input(
-    spark: SparkSession,
-    folder: str,
-    schema: T.StructType,
-    build: Callable[[str], Mapping[str, object]],
-) -> dict:
-    """Facts about the layer kept in `folder`, built by the first who asks for it.
-
-    `build` writes a layer into the folder it gets and returns the facts about it. They are
-    stored last, with the place of the layer, so an unfinished layer is never found. Of two
-    built at the same time one is used.
-    """
-    known = _facts_of(spark, schema, folder)
-    if known is None:
-        layer = f"{folder}/{TRANSFORM}-{uuid.uuid4().hex}"
-        row = {"layer": layer, **build(layer)}
-        values = [tuple(row[name] for name in schema.fieldNames())]
-        spark.createDataFrame(values, schema).coalesce(1).write.mode("append").parquet(f"{folder}/facts")
-        known = _facts_of(spark, schema, folder)
-    return known

@@ -25,10 +25,11 @@ from pyspark.sql import functions as F
 
 from boxmetrics.operators.sizing import BROADCAST_LIMIT_BYTES, fits
 from boxmetrics.schemas import INPUT_NUMBER, STAGING_SCHEMAS, TRANSFORM_SCHEMAS
+from boxmetrics.sources.generations import build_folder, current_folder, hold_folder
 from boxmetrics.sources.layers import (
     files_identity,
-    layer_of_input,
     load_files,
+    require_shared,
     save_files,
     shared_folder,
 )
@@ -37,7 +38,7 @@ from boxmetrics.transforms import build_transform
 
 SOURCE_TABLES = ("region", "nation", "customer", "part", "orders", "lineitem")
 # To be raised when the mapping or a transform changes, so that no older layer is reused.
-LAYOUT = 1
+LAYOUT = 2
 
 # Fixed values of the mapping.
 FIRST_DAY = date(2025, 1, 1)
@@ -236,24 +237,41 @@ def order_tables(spark: SparkSession, folder: str) -> OrderTables:
     return OrderTables(spark, folder)
 
 
+#: Generations that applications hold already.
+_held: set[tuple[str, str]] = set()
+
+
 def transform_tables(spark: SparkSession, folder: str) -> Tables:
     """Cleaned tables for a folder.
 
-    They are kept in the session's shared folder under the identity of the source files: any
-    session reuses them, and changed files lead to new ones. Without a shared folder they
-    are computed from the source by every report.
+    They are kept in the session's shared folder, as a generation with the identity of the
+    source files: any session reuses it while these are the same, and holds it as long as it
+    may read. Changed files lead to a new one, which replaces it. Without a shared folder
+    the tables are computed from the source by every report.
     """
     shared = shared_folder(spark)
     if shared is None:
         return Tables.from_frames(build_transform(order_tables(spark, folder).staging()).frames())
     path = folder.rstrip("/")
     identity = files_identity(spark, [f"{path}/{name}.parquet" for name in SOURCE_TABLES])
-    digest = hashlib.sha256(f"{LAYOUT} {path} {identity}".encode()).hexdigest()[:16]
+    kept = f"{shared}/boxmetrics/{hashlib.sha256(f'{LAYOUT} {path}'.encode()).hexdigest()[:16]}"
 
     def build(layer: str) -> dict[str, object]:
         save_files(build_transform(order_tables(spark, path).staging()).frames(), layer)
         return Tables.from_frames(load_files(spark, TRANSFORM_SCHEMAS, layer)).measured()
 
     with _building:
-        facts = layer_of_input(spark, f"{shared}/boxmetrics/{digest}", FACTS, build)
+        while True:
+            facts = current_folder(spark, kept, FACTS)
+            if facts is None or facts["identity"] != identity:
+                require_shared(spark, shared, "spark.checkpoint.dir")
+                facts = build_folder(spark, kept, FACTS, identity, build)
+            holder = (spark.sparkContext.applicationId, facts["layer"])
+            if holder in _held:
+                break
+            hold_folder(spark, facts["layer"])
+            # Another rebuild may have replaced it before it was held.
+            if current_folder(spark, kept, FACTS)["layer"] == facts["layer"]:
+                _held.add(holder)
+                break
     return Tables.from_frames(load_files(spark, TRANSFORM_SCHEMAS, facts["layer"]), facts=facts)

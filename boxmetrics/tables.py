@@ -55,6 +55,15 @@ class Staging:
         return {name: getattr(self, field) for name, field in _FIELDS.items()}
 
 
+@dataclass(frozen=True)
+class ByOrder:
+    """Usage once more, without rows that have no order id: in buckets by it, but for the rows
+    of hot orders, of which there are few orders and any number of rows."""
+
+    usage: DataFrame
+    of_hot_orders: DataFrame
+
+
 @dataclass(frozen=True)
 class Tables:
     """Cleaned tables, with the lookups derived from the three dimensions.
@@ -71,6 +80,7 @@ class Tables:
     usage: DataFrame
     broadcast_limit: int = BROADCAST_LIMIT_BYTES
     facts: Mapping[str, object] | None = None
+    by_order: ByOrder | None = None
 
     @classmethod
     def from_frames(cls, frames: Mapping[str, DataFrame], **options: object) -> Tables:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import pytest
 
 from boxmetrics import oracle
+from boxmetrics.build import open_layers, rebuild_transform
 from boxmetrics.plans import audit, damage, markets, master, overboxing
 from boxmetrics.plans.registry import REPORTS
 from boxmetrics.schemas import TRANSFORM_SCHEMAS
@@ -37,12 +38,18 @@ def frames(spark, tmp_path_factory):
     return load_files(spark, TRANSFORM_SCHEMAS, folder)
 
 
-@pytest.fixture(scope="module", params=["broadcast", "shuffled"])
+@pytest.fixture(scope="module", params=["broadcast", "shuffled", "catalog"])
 def tables(request, spark, frames):
-    """The tables with lookups within the broadcast limit, and with none within it."""
+    """The tables with lookups within the broadcast limit, with none within it, and as tables of
+    a catalog, with usage in buckets by order and some orders hot."""
     if request.param == "broadcast":
         yield Tables.from_frames(frames)
         return
+    if request.param == "catalog":
+        staging = staging_of(spark, edge_cases.PACKAGING, edge_cases.STANDARDS, edge_cases.RATES, edge_cases.usage())
+        rebuild_transform(spark, staging, least_hot=20)
+        yield open_layers(spark)
+        return
     before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     yield Tables.from_frames(frames, broadcast_limit=0)

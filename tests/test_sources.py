@@ -43,7 +43,9 @@ def test_schemas_are_the_fixed_ones(seed_staging, seed_tables):
     for name, frame in seed_staging.frames().items():
         assert frame.dtypes == [(f.name, f.dataType.simpleString()) for f in schemas.STAGING_SCHEMAS[name]]
     for name, frame in seed_tables.frames().items():
-        assert frame.dtypes == [(f.name, f.dataType.simpleString()) for f in schemas.TRANSFORM_SCHEMAS[name]]
+        wanted = [(f.name, f.dataType.simpleString()) for f in schemas.TRANSFORM_SCHEMAS[name]]
+        # Stored usage also has the month it is kept by.
+        assert frame.dtypes == wanted + [("order_month", "date")] * (name == "fact_box_usage")
 
 
 def test_byte_order_mark_is_no_part_of_the_first_value(seed_staging):
@@ -151,13 +153,37 @@ def test_default_layer(spark, seed_tables):
 
 def test_files_hold_dates_in_order(spark, tmp_path):
     rows = [(n, "DE", "P-S", 2, date(2026, 1, 1 + n * 7 % 28), 0) for n in range(100)]
-    usage = spark.createDataFrame(rows, schemas.STAGING_USAGE).coalesce(1)
+    usage = spark.createDataFrame(rows, schemas.STAGING_USAGE)
     layers.save_files({"fact_box_usage": usage}, str(tmp_path))
     frames = layers.load_files(spark, {"fact_box_usage": schemas.STAGING_USAGE}, str(tmp_path))
     days = [row["order_date"] for row in frames["fact_box_usage"].collect()]
     assert len(days) == 100 and days == sorted(days)
 
 
+def test_a_month_has_as_many_files_as_its_bytes_need(spark, tmp_path):
+    """One month has nearly all rows: it is cut to files of the advised size. Another is only cut
+    if it is in the same partition, and then as often."""
+    hot = [(n, "DE", f"box {n * 7919 % 10007}", 2, date(2026, 1, 1 + n % 28), 0) for n in range(40_000)]
+    rows = hot + [(n, "DE", "P-S", 2, date(2025, 1 + n % 12, 1), 0) for n in range(600)] + [(1, "DE", "P-S", 2, None, 0)]
+    usage = spark.createDataFrame(rows, schemas.STAGING_USAGE).repartition(8)
+    name = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "100k")
+    try:
+        layers.save_files({"fact_box_usage": usage}, str(tmp_path))
+    finally:
+        spark.conf.set(name, before)
+    files = {folder.name: len(list(folder.glob("*.parquet"))) for folder in (tmp_path / "fact_box_usage").iterdir() if folder.is_dir()}
+    pieces = files.pop("order_month=2026-01-01")
+    assert 3 <= pieces < 40
+    assert len(files) == 13 and set(files.values()) <= {1, pieces}
+    assert list(files.values()).count(1) >= 7
+    frames = layers.load_files(spark, {"fact_box_usage": schemas.STAGING_USAGE}, str(tmp_path))
+    read = frames["fact_box_usage"]
+    assert read.count() == len(rows)
+    assert read.filter("order_month is null").count() == 1
+
+
 def test_shared_folder_is_the_one_the_session_names(spark):
     assert layers.shared_folder(spark) == spark.conf.get("spark.checkpoint.dir")
 
@@ -188,6 +214,39 @@ def test_no_folder_of_one_machine():
     assert layers.shared_folder(_Session()) is None
 
 
+class _Cluster:
+    """A session of several machines, in all that is asked here."""
+
+    def __init__(self, spark):
+        self._spark = spark
+        self.read, self.sparkContext, self._jvm, self._jsc = spark.read, spark.sparkContext, spark._jvm, spark._jsc
+
+    class conf:
+        @staticmethod
+        def get(name, default=None):
+            return "spark://somewhere:7077" if name == "spark.master" else default
+
+
+def test_folders_are_probed_before_a_build(spark, tmp_path, monkeypatch):
+    cluster = _Cluster(spark)
+    written = []
+
+    def write(session, folder):
+        written.append(folder)
+        spark.range(layers.PROBE_TASKS, numPartitions=layers.PROBE_TASKS).write.parquet(folder)
+
+    monkeypatch.setattr(layers, "_write_probe", write)
+    for _ in range(2):  # once for each application and folder
+        layers.require_shared(cluster, f"{tmp_path}/shared", "spark.checkpoint.dir")
+    assert len(written) == 1 and not Path(written[0]).exists()
+    # What other machines wrote into folders of their own is not found here.
+    monkeypatch.setattr(layers, "_write_probe", lambda session, folder: spark.range(3).coalesce(1).write.parquet(folder))
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir names .* all machines share"):
+        layers.require_shared(cluster, f"file:{tmp_path}/own", "spark.checkpoint.dir")
+    # One machine alone needs no probe.
+    layers.require_shared(spark, f"{tmp_path}/alone", "spark.checkpoint.dir")
+
+
 def test_no_tables_beside_the_program():
     session = _Session()
     session.conf.get = lambda name, default: f"file:{os.getcwd()}/spark-warehouse"
@@ -237,7 +296,8 @@ def test_unfinished_layer_is_not_used(spark, own_source, monkeypatch):
 def test_facts_of_a_layer_are_what_its_rows_say(spark):
     stored = order_source.transform_tables(spark, SMALL)
     found = Tables.from_frames(stored.frames()).measured()
-    assert found == {name: value for name, value in stored.facts.items() if name != "layer"}
+    assert found == {name: stored.facts[name] for name in found}
+    assert set(stored.facts) - set(found) == {"layer", "number", "identity"}
 
 
 @pytest.mark.skipif(not Path(SMALL).is_dir(), reason="no test data")
