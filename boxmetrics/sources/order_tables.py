@@ -17,6 +17,8 @@ from __future__ import annotations
 
 import hashlib
 import threading
+import time
+from collections.abc import Callable
 from datetime import date
 from decimal import Decimal
 
@@ -25,7 +27,7 @@ from pyspark.sql import functions as F
 
 from boxmetrics.operators.sizing import BROADCAST_LIMIT_BYTES, fits
 from boxmetrics.schemas import INPUT_NUMBER, STAGING_SCHEMAS, TRANSFORM_SCHEMAS
-from boxmetrics.sources.generations import build_folder, current_folder, hold_folder
+from boxmetrics.sources.generations import HELD_SECONDS, build_folder, current_folder, hold_folder
 from boxmetrics.sources.layers import (
     files_identity,
     load_files,
@@ -237,8 +239,26 @@ def order_tables(spark: SparkSession, folder: str) -> OrderTables:
     return OrderTables(spark, folder)
 
 
-#: Generations that applications hold already.
-_held: set[tuple[str, str]] = set()
+#: The generation that an application has opened of a layer, and until when it may be used.
+_opened: dict[tuple[str, str], tuple[dict, float]] = {}
+
+
+def _opened_layer(spark: SparkSession, kept: str, identity: str, build: Callable[[str], dict]) -> dict:
+    """Facts about the current generation, built if the source has changed, and held."""
+    application = (spark.sparkContext.applicationId, kept)
+    facts, until = _opened.get(application, (None, 0.0))
+    if facts and facts["identity"] == identity and time.time() < until:
+        return facts
+    while True:
+        facts = current_folder(spark, kept, FACTS)
+        if facts is None or facts["identity"] != identity:
+            require_shared(spark, kept, "spark.checkpoint.dir")
+            facts = build_folder(spark, kept, FACTS, identity, build)
+        hold_folder(spark, facts["layer"])
+        # Another rebuild may have replaced it before it was held.
+        if current_folder(spark, kept, FACTS)["layer"] == facts["layer"]:
+            _opened[application] = (facts, time.time() + HELD_SECONDS / 2)
+            return facts
 
 
 def transform_tables(spark: SparkSession, folder: str) -> Tables:
@@ -261,17 +281,5 @@ def transform_tables(spark: SparkSession, folder: str) -> Tables:
         return Tables.from_frames(load_files(spark, TRANSFORM_SCHEMAS, layer)).measured()
 
     with _building:
-        while True:
-            facts = current_folder(spark, kept, FACTS)
-            if facts is None or facts["identity"] != identity:
-                require_shared(spark, shared, "spark.checkpoint.dir")
-                facts = build_folder(spark, kept, FACTS, identity, build)
-            holder = (spark.sparkContext.applicationId, facts["layer"])
-            if holder in _held:
-                break
-            hold_folder(spark, facts["layer"])
-            # Another rebuild may have replaced it before it was held.
-            if current_folder(spark, kept, FACTS)["layer"] == facts["layer"]:
-                _held.add(holder)
-                break
+        facts = _opened_layer(spark, kept, identity, build)
     return Tables.from_frames(load_files(spark, TRANSFORM_SCHEMAS, facts["layer"]), facts=facts)
