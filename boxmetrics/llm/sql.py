@@ -41,13 +41,13 @@ weak AS (
     WHERE NOT EXISTS (SELECT 1 FROM base b WHERE b.doc_id = w.doc_id
                       AND w.start_at < b.end_at AND b.start_at < w.end_at)),
 parts AS (
-    SELECT doc_id, start_at, CASE kind WHEN 'access' THEN 'identifier' WHEN 'hex' THEN 'string'
+    SELECT doc_id, start_at, end_at, CASE kind WHEN 'access' THEN 'identifier' WHEN 'hex' THEN 'string'
                                        WHEN 'assign' THEN 'string' ELSE kind END AS part
     FROM (SELECT * FROM base UNION ALL SELECT * FROM weak)),
 linked AS (
     SELECT w.* FROM weak w
     WHERE EXISTS (SELECT 1 FROM parts p WHERE p.doc_id = w.doc_id AND p.part <> w.kind
-                  AND abs(p.start_at - w.start_at) <= {secrets.SCOPE})),
+                  AND p.start_at <= w.end_at + {secrets.SCOPE} AND p.end_at >= w.start_at - {secrets.SCOPE})),
 counts AS (
     SELECT doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access,
            count(*) FILTER (kind = 'hex') AS n_hex, {listed} AS listed
