@@ -11,10 +11,10 @@ What is left at the end accepts just the tokenizer's own sequences, one for each
 not written out: a state keeps the arcs it lost itself, with the number of the gadget, and
 refers to the state it was copied from; an arc uv refers to the arc u it came with.
 
-A word is read byte by byte. Every beginning of a word has one path, so a table with the last
-arc of each is enough: an arc that ends at a byte is right if the state behind the path
-before it has that arc. The labels along the path are the token ids, and their bytes, joined,
-are the text again.
+A word is read by its longest arcs first, and by shorter ones where these lead nowhere. Every
+beginning of a word has one path, so a place that was reached once and left again is never
+tried again, and the work is linear in the length of the word. The labels along the path are
+the token ids, and their bytes, joined, are the text again.
 
 Each task reads its own texts; nothing is shuffled.
 """
@@ -33,12 +33,13 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Words and transitions that a task remembers; beyond it starts anew.
-REMEMBERED = 400_000
+#: Words, and arcs, that a task remembers; beyond that many it starts anew.
+REMEMBERED = 600_000
 #: A longer word is read each time it occurs.
 REMEMBERED_BYTES = 64
 #: Words of a text that are held at a time.
 BLOCK_WORDS = 1 << 16
+_HERE = -1
 _LONG_TEXT = 1 << 20
 
 # What parts a text into words. White space is what Unicode takes for it.
@@ -64,24 +65,20 @@ class Automaton:
         self._made: dict[int, tuple[int, int, int]] = {}
         #: Arcs that a state lost: (token before, token) to the number of the gadget.
         self._lost: dict[tuple[int, int], int] = {}
-        self._known: dict[tuple[int, int], bool] = {}
+        #: Whether there is an arc, for pairs of tokens that were asked for.
+        self._known: dict[int, bool] = {}
         #: Contents of tokens that are the one path of their text.
         self.whole = {bytes([byte]): vocabulary[bytes([byte])] for byte in range(256)}
         for number, (left, right) in enumerate(merges):
             self._gadget(number, left, right, vocabulary)
-        self._known.clear()
-        #: A trie of all tokens: (node, byte) to node, and nodes to tokens.
-        self._next: dict[int, int] = {}
-        self._token = [-1]
+        #: A trie of all tokens: bytes to further nodes, and _HERE to the token that ends at a node.
+        self._trie: dict = {}
         for content, token in self.whole.items():
-            node = 0
+            node = self._trie
             for byte in content:
-                step = node << 8 | byte
-                if step not in self._next:
-                    self._next[step] = len(self._token)
-                    self._token.append(-1)
-                node = self._next[step]
-            self._token[node] = token
+                node = node.setdefault(byte, {})
+            node[_HERE] = token
+        self._longest = max(map(len, self.whole))
 
     def _gadget(self, number: int, left: bytes, right: bytes, vocabulary: dict[bytes, int]) -> None:
         content = left + right
@@ -113,36 +110,47 @@ class Automaton:
                 return True
             until, _, state = self._made[state]
 
-    def has(self, before: int, token: int) -> bool:
-        pair = (before, token)
-        found = self._known.get(pair)
-        if found is None:
-            if len(self._known) >= REMEMBERED:
-                self._known.clear()
-            found = self._known[pair] = self._has(before, token)
-        return found
-
     def path(self, word: bytes) -> tuple[int, ...]:
         """Labels along the one path of a word."""
         if word in self.whole:
             return (self.whole[word],)
-        following, tokens, has = self._next, self._token, self.has
+        known = self._known
+        if len(known) >= REMEMBERED:
+            known.clear()
         size = len(word)
-        last = [-1] * (size + 1)
-        for at in range(size):
-            node, before = 0, last[at]
-            for end in range(at, size):
-                node = following.get(node << 8 | word[end])
-                if node is None:
-                    break
-                token = tokens[node]
-                if token >= 0 and (at == 0 or has(before, token)):
-                    last[end + 1] = token
-        labels = []
-        while size:
-            labels.append(last[size])
-            size -= len(self.label[last[size]])
-        return tuple(reversed(labels))
+        labels, reached, options = [], bytearray(size + 1), [self._arcs(word, 0)]
+        while True:
+            while options[-1]:
+                end, token = options[-1].pop()
+                if reached[end]:
+                    continue
+                if labels:
+                    pair = labels[-1] << 32 | token
+                    has = known.get(pair)
+                    if has is None:
+                        has = known[pair] = self._has(labels[-1], token)
+                    if not has:
+                        continue
+                labels.append(token)
+                if end == size:
+                    return tuple(labels)
+                reached[end] = True
+                options.append(self._arcs(word, end))
+                break
+            else:
+                options.pop()
+                labels.pop()
+
+    def _arcs(self, word: bytes, at: int) -> list[tuple[int, int]]:
+        """Where tokens that begin at a place end, and these tokens, from the shortest on."""
+        node, found = self._trie, []
+        for end, byte in enumerate(word[at : at + self._longest], at + 1):
+            node = node.get(byte)
+            if node is None:
+                break
+            if _HERE in node:
+                found.append((end, node[_HERE]))
+        return found
 
 
 class _Words(dict):
