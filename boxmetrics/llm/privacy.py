@@ -119,14 +119,20 @@ def loose_spans(text: str, strict: list[Candidate]) -> list[Candidate]:
             if 8 <= len(_DIGITS.sub("", hit[0])) <= 15
         ]
     kept, taken = [], sorted((c.start, c.end) for c in strict)
-    starts = [start for start, _ in taken]
-    last = 0
-    for candidate in sorted(found, key=lambda c: (c.start, c.kind)):
-        at = int(np.searchsorted(starts, candidate.end))
-        if candidate.start >= last and not any(end > candidate.start for _, end in taken[max(0, at - 8) : at]):
+    # The greatest end of the strict spans that begin before the end of a candidate decides.
+    at, taken_upto, last = 0, 0, 0
+    for candidate in sorted(found, key=lambda c: (c.end, c.start, c.kind)):
+        while at < len(taken) and taken[at][0] < candidate.end:
+            taken_upto = max(taken_upto, taken[at][1])
+            at += 1
+        if taken_upto <= candidate.start:
             kept.append(candidate)
+    free = []
+    for candidate in sorted(kept, key=lambda c: (c.start, c.kind)):
+        if candidate.start >= last:
+            free.append(candidate)
             last = candidate.end
-    return kept
+    return free
 
 
 def votes(text: str, candidate: Candidate) -> tuple[int, ...]:
