@@ -11,7 +11,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from boxmetrics.llm.common import scratch_folder, with_results
+from boxmetrics.llm.common import scratch_folder, small_or_merged, stored, with_results
 from boxmetrics.llm.decontamination import contamination
 from boxmetrics.llm.packing import packed
 from boxmetrics.llm.privacy import redacted
@@ -32,30 +32,39 @@ def _rows_of(docs: DataFrame, keys: DataFrame, how: str) -> DataFrame:
         F.col("row.doc_id").cast("long").alias("doc_id"),
         F.xxhash64(F.coalesce(F.col("row.text").cast("string"), F.lit(""))).alias("text_hash"),
     )
-    return with_results(named, keys.select("doc_id", "text_hash"), how).select("row.*")
+    # Few keys go to the rows; only where they are many the rows are shuffled to them.
+    listed = small_or_merged(stored(keys.select("doc_id", "text_hash"), "keys"))
+    return with_results(named, listed, how).select("row.*")
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier accepts. It is trained on the labelled ones given."""
+    """Documents that the classifier accepts. It is trained on the labelled ones given.
+
+    A null or empty text is judged as a text without words. A row without an id is never
+    trained on. Without labels of both kinds no document is rejected.
+    """
     forest = trained(docs, _table(spark, sf_dir, "labels"))
     return docs.filter(quality_score(F.col("text"), forest) >= KEPT_SCORE)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The first document of each group; of rows with equal id and text, one."""
+    """The first document of each group; of rows with equal id and text, the one whose other
+    values are the smallest, column by column, nulls first."""
     kept = _rows_of(docs, representatives(docs), "left_semi")
-    return kept.dropDuplicates(["doc_id", "text"])
+    row = F.struct(*[F.col(f"`{name}`") for name in docs.columns])
+    return kept.groupBy("doc_id", "text").agg(F.min(row).alias("row")).select("row.*")
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without any passage of the benchmark."""
+    """Documents without any passage of the benchmark; null and empty texts have none."""
     found = contamination(docs, _table(spark, sf_dir, "benchmark"))
     hit = found.filter("contaminated").select("doc_id", "text_hash").distinct()
     return _rows_of(docs, hit, "left_anti")
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with personal data replaced by its kind."""
+    """All documents, with personal data replaced by its kind. A null text stays null, and its
+    `n_chars` then is null too."""
     cleaned = redacted(docs)
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
@@ -64,7 +73,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents in their sequences."""
+    """Pieces of all documents in their sequences; a null or empty text is its end id alone."""
     return packed(docs, vocabulary())
 
 
