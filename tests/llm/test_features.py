@@ -1,0 +1,83 @@
+"""Document statistics, the flattened trees and jump numbers against plain versions."""
+
+from __future__ import annotations
+
+import collections
+import math
+import random
+
+import numpy as np
+import pyarrow as pa
+
+from boxmetrics.llm import boosting, quality, sharding
+
+
+def _plain_statistics(text):
+    content = (text or "").encode()
+    words = content.split()
+    n, size = len(words), len(content)
+    pairs = list(zip(words, words[1:]))
+    triples = list(zip(words, words[1:], words[2:]))
+    counts = collections.Counter(words)
+    shares = [sum(byte in members for byte in content) / max(size, 1) for members in quality._CLASSES.values()]
+    return [
+        math.log1p(n),
+        math.log1p(size),
+        sum(map(len, words)) / max(n, 1),
+        len(counts) / n if n else 1.0,
+        sum(a == b for a, b in pairs) / max(n, 1),
+        len(set(pairs)) / len(pairs) if pairs else 1.0,
+        len(set(triples)) / len(triples) if triples else 1.0,
+        max(counts.values(), default=0) / max(n, 1),
+        *shares,
+    ]
+
+
+def test_statistics_are_the_plain_ones():
+    rng = random.Random(2)
+    texts = [None, "", " ", "one", "one two", "a a a a", "é ü | x!", "A. B, C\n#", "x" * 4000]
+    texts += [" ".join(rng.choices(["some", "words", "Here.", "é", "12", "|", "a,b"], k=rng.randrange(80))) for _ in range(200)]
+    texts.append(" ".join(rng.choices([f"w{n}" for n in range(999)], k=1_000_000)))
+    found = quality.statistics(pa.array(texts, pa.string()))
+    wanted = np.array([_plain_statistics(text) for text in texts])
+    assert found.shape == (len(texts), len(quality.FEATURES))
+    assert np.allclose(found, wanted, rtol=1e-12, atol=1e-12)
+
+
+def _jump(key, shards):
+    """The published loop, one key at a time."""
+    shard, following = -1, 0
+    while following < shards:
+        shard = following
+        key = (key * 2862933555777941757 + 1) % 2**64
+        following = int((shard + 1) * (float(1 << 31) / float((key >> 33) + 1)))
+    return shard
+
+
+def test_jump_numbers_are_the_published_ones():
+    rng = random.Random(3)
+    keys = [0, 1, 2**63, 2**64 - 1] + [rng.getrandbits(64) for _ in range(3000)]
+    for shards in (1, 2, 24, 25, 1000):
+        found = sharding.jump_shards(np.array(keys, dtype=np.uint64), shards)
+        assert found.tolist() == [_jump(key, shards) for key in keys]
+
+
+def _walked(forest, row):
+    """One row down all trees, from node to child."""
+    total = forest.base
+    for feature, threshold, value in zip(forest.feature.tolist(), forest.threshold.tolist(), forest.value.tolist()):
+        node = 0
+        while node < len(feature):
+            node = 2 * node + (2 if row[feature[node]] > threshold[node] else 1)
+        total += value[node - len(feature)]
+    return 1 / (1 + math.exp(-total))
+
+
+def test_flat_trees_give_what_a_walk_down_gives():
+    rng = np.random.default_rng(4)
+    features = rng.normal(size=(600, 5)).round(1)
+    truth = (features[:, 1] + features[:, 3] > 0).astype(float)
+    forest = boosting.fitted(features, truth)
+    scores = forest.score(features)
+    assert np.allclose(scores, [_walked(forest, row) for row in features.tolist()], rtol=1e-12)
+    assert ((scores >= 0.5) == truth).mean() > 0.95

@@ -107,7 +107,6 @@ def test_packing(spark, documents, rows, nothing):
     import public_tokenizers
 
     tokenizer = Tokenizer.from_file(str(public_tokenizers.path("byte_bpe_50k.json")))
-    tokenizer.encode_special_tokens = True
     got = packing.packed(documents, queries.vocabulary()).collect()
     sequences, pieces = collections.defaultdict(list), collections.defaultdict(list)
     for row in got:
