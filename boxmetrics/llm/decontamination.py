@@ -10,15 +10,22 @@ All steps are DataFrame expressions.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from boxmetrics.llm.common import keyed, with_results
-from boxmetrics.operators.sizing import fits
+from boxmetrics.llm.common import KEYS_LIMIT_BYTES, keyed, small_or_merged, stored, with_results
+from boxmetrics.operators.sizing import fits, row_bytes
 
 WINDOW = 10
 #: What the windows may take in memory to be sent to all executors; beyond it they are joined by shuffle.
 WINDOWS_LIMIT_BYTES = 16 * 1024 * 1024
+#: What their prefix words may take in memory to be sent there at once, if the windows do not fit.
+SPOTS_LIMIT_BYTES = 64 * 1024 * 1024
+
+#: Texts are searched in segments of so many words.
+SEGMENT = 128
 
 # What separates words, and the letters that are put in lower case.
 _SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -54,17 +61,23 @@ def item_windows(items: DataFrame, window: int = WINDOW) -> DataFrame:
     )
 
 
-def prefixed(windows: DataFrame, documents: DataFrame, broadcast: bool) -> DataFrame:
+def prefixed(windows: DataFrame, documents: DataFrame) -> DataFrame:
     """Windows with their rarest word, counted over all documents, and its place in them.
 
-    Of several places the first is taken, and of equally rare words the smallest.
+    Of several places the first is taken, and of equally rare words the smallest. The words of
+    windows go to the documents while they fit; beyond that the words of each task are counted
+    before they are shuffled, so that a frequent word is one row of a task.
     """
     vocabulary = windows.select(F.explode("window").alias("word")).distinct()
-    vocabulary = F.broadcast(vocabulary) if broadcast else vocabulary.hint("merge")
     seen = documents.select(F.explode_outer(words(F.col("text"))).alias("word"))
-    counts = seen.join(vocabulary, "word").groupBy("word").agg(F.count("*").alias("n"))
+    if fits(vocabulary, KEYS_LIMIT_BYTES):
+        counts = seen.join(F.broadcast(vocabulary), "word").groupBy("word").agg(F.count("*").alias("n"))
+    else:
+        counts = seen.groupBy("word").agg(F.count("*").alias("n")).join(vocabulary.hint("merge"), "word")
+    # Both sides of the join are tables, so that a word of many windows can be split.
+    counts = stored(counts, "word_counts")
     placed = windows.select("window", "items", F.posexplode("window").alias("place", "word"))
-    rarest = placed.join(counts.hint("merge"), "word", "left").groupBy("window").agg(
+    rarest = placed.join(small_or_merged(counts), "word", "left").groupBy("window").agg(
         F.first("items").alias("items"),
         F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "word", "place")).alias("prefix"),
     )
@@ -74,36 +87,89 @@ def prefixed(windows: DataFrame, documents: DataFrame, broadcast: bool) -> DataF
     )
 
 
-def occurrences(documents: DataFrame, prefixes: DataFrame, broadcast: bool, window: int = WINDOW) -> DataFrame:
-    """(doc_id, text_hash, start, length, items) for each place where a window occurs."""
+def _each_word(documents: DataFrame, window: int) -> DataFrame:
+    """Every word with the words of its segment, which each of its rows carries.
+
+    A segment begins every SEGMENT words and goes on for a window beyond, so that each window
+    lies whole in the one in which it starts, and a row stays small in a text of any length.
+    """
     split = documents.select("doc_id", "text_hash", words(F.col("text")).alias("words"))
+    begins = F.sequence(F.lit(0), F.greatest(F.size("words") - 1, F.lit(0)), F.lit(SEGMENT))
+    cut = F.transform(
+        begins,
+        lambda begin: F.struct(begin.alias("begin"), F.slice("words", begin + 1, SEGMENT + window - 1).alias("words")),
+    )
     # Outer, since the inner form would split every text once more to drop the empty ones.
-    each = split.select("doc_id", "text_hash", "words", F.posexplode_outer("words").alias("at", "word"))
-    start = F.col("at") - F.col("place")
-    length = F.size("window")
-    if broadcast:
-        met = each.join(F.broadcast(prefixes), F.col("word") == F.col("prefix"))
-        candidate, total = F.slice("words", start + 1, length), F.size("words")
-    else:
-        # The shuffled row carries only the words around its place.
-        around = each.select(
-            "doc_id",
-            "text_hash",
-            "at",
-            "word",
-            F.size("words").alias("total"),
-            F.greatest(F.col("at") - (window - 1), F.lit(0)).alias("from"),
-            F.slice("words", F.greatest(F.col("at") - (window - 1), F.lit(0)) + 1, 2 * window - 1).alias("context"),
-        ).filter(F.col("word").isNotNull())
-        met = around.join(prefixes.hint("merge"), F.col("word") == F.col("prefix"))
-        candidate, total = F.slice("context", start - F.col("from") + 1, length), F.col("total")
-    bounded = (start >= 0) & (start + length <= total)
-    same = F.when(bounded, candidate == F.col("window")).otherwise(F.lit(False))
-    return met.filter(same).select("doc_id", "text_hash", start.alias("start"), length.alias("length"), "items")
+    segments = split.select("doc_id", "text_hash", F.explode_outer(cut).alias("part"))
+    segments = segments.select("doc_id", "text_hash", "part.begin", "part.words")
+    return segments.select("doc_id", "text_hash", "begin", "words", F.posexplode_outer("words").alias("at", "word"))
+
+
+def _starts_here(start: Column, length: Column) -> Column:
+    return (start >= 0) & (start < SEGMENT) & (start + length <= F.size("words"))
+
+
+def occurrences(documents: DataFrame, prefixes: DataFrame, window: int = WINDOW) -> DataFrame:
+    """(doc_id, text_hash, start, length, items) for each place where a window occurs.
+
+    The windows themselves are sent to the documents.
+    """
+    met = _each_word(documents, window).join(F.broadcast(prefixes), F.col("word") == F.col("prefix"))
+    start, length = F.col("at") - F.col("place"), F.size("window")
+    cut = F.slice("words", start + 1, length)
+    same = F.when(_starts_here(start, length), cut == F.col("window")).otherwise(F.lit(False))
+    return met.filter(same).select(
+        "doc_id", "text_hash", (F.col("begin") + start).alias("start"), length.alias("length"), "items"
+    )
+
+
+def shuffled_occurrences(
+    documents: DataFrame, prefixes: DataFrame, window: int = WINDOW, limit: int = SPOTS_LIMIT_BYTES
+) -> DataFrame:
+    """The same for more windows than can be sent to the documents.
+
+    Only the prefix words go there, each with a bit for every (place, length) that its windows
+    have. What is shuffled are candidates: the words that a window would have, if it has its
+    prefix here. They are joined to the windows by all words, so each occurrence is found by
+    its own prefix and no other. Prefix words beyond the limit are sent in several passes.
+    """
+    # Stored, so that no grouping lies below the join and a frequent window can be split.
+    wanted = stored(prefixes, "windows")
+    spot = F.struct("place", F.size("window").alias("length"))
+    spots = wanted.groupBy("prefix").agg(F.collect_set(spot).alias("spots"))
+    # A word has at most as many spots as there are places in windows of all lengths.
+    size = F.octet_length("prefix") + F.lit(row_bytes(2)) + F.size("spots") * row_bytes(2)
+    passes = max(1, -(-(spots.agg(F.sum(size.cast("long")).alias("bytes")).first()["bytes"] or 0) // limit))
+    each = _each_word(documents, window)
+    parts = []
+    for number in range(passes):
+        own = spots.filter(F.pmod(F.xxhash64("prefix"), F.lit(passes)) == number)
+        met = each.join(F.broadcast(own), F.col("word") == F.col("prefix"))
+        fitting = F.filter("spots", lambda spot: _starts_here(F.col("at") - spot["place"], spot["length"]))
+        cut = F.transform(
+            fitting,
+            lambda spot: F.struct(
+                (F.col("begin") + F.col("at") - spot["place"]).alias("start"),
+                spot["place"].alias("place"),
+                F.slice("words", F.col("at") - spot["place"] + 1, spot["length"]).alias("window"),
+            ),
+        )
+        parts.append(
+            met.select("doc_id", "text_hash", "word", F.explode(cut).alias("cut")).select(
+                "doc_id", "text_hash", "word", "cut.*"
+            )
+        )
+    candidates = reduce(DataFrame.unionByName, parts)
+    met = candidates.join(wanted.withColumnRenamed("prefix", "word").hint("merge"), ["window", "word", "place"])
+    return met.select("doc_id", "text_hash", "start", F.size("window").alias("length"), "items")
 
 
 def contamination(
-    documents: DataFrame, items: DataFrame, window: int = WINDOW, limit: int = WINDOWS_LIMIT_BYTES
+    documents: DataFrame,
+    items: DataFrame,
+    window: int = WINDOW,
+    limit: int = WINDOWS_LIMIT_BYTES,
+    spots_limit: int = SPOTS_LIMIT_BYTES,
 ) -> DataFrame:
     """Words of every document that lie in a window of an item, with its key.
 
@@ -117,8 +183,11 @@ def contamination(
     broadcast = fits(
         windows.select(F.array_join("window", "  ").alias("text"), F.array_join("items", "  ").alias("ids")), limit // 4
     )
-    prefixes = prefixed(windows, rows, broadcast)
-    hits = occurrences(rows, prefixes, broadcast, window)
+    prefixes = prefixed(windows, rows)
+    if broadcast:
+        hits = occurrences(rows, prefixes, window)
+    else:
+        hits = shuffled_occurrences(rows, prefixes, window, spots_limit)
     found = hits.groupBy("doc_id", "text_hash").agg(
         F.collect_set(F.struct("start", "length")).alias("places"),
         F.array_distinct(F.flatten(F.collect_set("items"))).alias("items"),
