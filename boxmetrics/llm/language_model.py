@@ -9,6 +9,11 @@ outside of training are only scored.
 Counting and looking up go by blocks of documents and ranges of hashes: a block asks for its
 distinct words and word pairs once, sorted, and each range answers all blocks in that order.
 So a hot word costs a block one entry, and what is shuffled are packed arrays.
+
+A block is cut into at most FAN_OUT ranges, whatever the input. Where that is too few, ranges
+are cut again, level by level: the same range of some blocks is merged, the merged keys are cut
+into finer ranges, and answers go back the same way. So the number of packed arrays grows with
+the input, not with its square.
 """
 
 from __future__ import annotations
@@ -19,10 +24,10 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from boxmetrics.llm.common import keyed, stored
+from boxmetrics.llm.common import keyed, small_or_merged, stored, with_results
 from boxmetrics.llm.words import mixed, words_of
 
 FOLDS, HELD_OUT = 7, 2
@@ -30,6 +35,10 @@ FOLDS, HELD_OUT = 7, 2
 DELETED = 8
 BLOCK_BYTES = 16 * 1024 * 1024
 RANGE_BYTES = 32 * 1024 * 1024
+#: At most so many ranges of a block, or of a merged range.
+FAN_OUT = 1024
+#: Rows equal in id and text that have more bytes than this together are counted as one row.
+REPEATED_BYTES = 2 * 1024 * 1024
 _ROUNDS = 60
 _BUCKETS = 40
 #: Steps per natural logarithm in which ratios of estimates are counted.
@@ -89,52 +98,138 @@ def tokens_of(texts: pa.Array) -> Tokens:
     return Tokens(keys, where[:n], where[n : 2 * n], np.searchsorted(keys, context), row, first)
 
 
-def _range_bounds(keys: np.ndarray, ranges: int) -> np.ndarray:
-    """Where each range of the sorted keys begins, and the end."""
+def cuts(ranges: int, fan_out: int) -> tuple[int, int]:
+    """Levels, and into how many parts each of them cuts a range, for so many ranges at least."""
+    levels = 1
+    while fan_out**levels < ranges:
+        levels += 1
+    parts = max(1, int(ranges ** (1 / levels)))
+    while parts**levels < ranges:
+        parts += 1
+    return levels, parts
+
+
+def _cells(keys: np.ndarray, seen: np.ndarray, modelled: np.ndarray, ranges: int) -> Iterator[tuple]:
+    """Sorted keys and their counts by range. Ranges of a finer cut lie within those of a coarser."""
     of_key = (keys >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)
-    return np.searchsorted(of_key, np.arange(ranges + 1, dtype=np.uint64))
+    numbers, first = np.unique(of_key, return_index=True)
+    for number, begin, end in zip(numbers.tolist(), first, [*first[1:], len(keys)]):
+        part = slice(begin, end)
+        steps = np.diff(keys[part], prepend=np.uint64(0))
+        yield number, _packed(steps), _packed(seen[part]), _packed(modelled[part])
 
 
 _COUNTS = "block long, range int, keys binary, seen binary, modelled binary"
-_TOTALS = "block long, range int, seen binary, modelled binary, v long, n long, n_modelled long"
+_ANSWERS = "block long, range int, seen binary, modelled binary"
+_TOTALS = f"{_ANSWERS}, v long, n long, n_modelled long"
 
 
 def block_counts(block: int, table: pa.Table, ranges: int) -> Iterator[tuple]:
     tokens = tokens_of(table["text"])
-    learns = table["learns"].to_numpy(zero_copy_only=False).astype(bool)[tokens.row]
-    modelled = learns & (not table["deleted"][0].as_py())
+    times = np.where(table["learns"].to_numpy(), table["times"].to_numpy(), 0)[tokens.row]
     size = len(tokens.keys)
-    seen, counted = np.zeros(size, np.int64), np.zeros(size, np.int64)
-    for where in (tokens.word, tokens.pair):
-        seen += np.bincount(where[learns], minlength=size)
-        counted += np.bincount(where[modelled], minlength=size)
-    bounds = _range_bounds(tokens.keys, ranges)
-    for number in range(ranges):
-        part = slice(bounds[number], bounds[number + 1])
-        if bounds[number] < bounds[number + 1]:
-            steps = np.diff(tokens.keys[part], prepend=np.uint64(0))
-            yield block, number, _packed(steps), _packed(seen[part].astype(np.uint32)), _packed(counted[part].astype(np.uint32))
+    # Sums in float are exact up to 2**53.
+    seen = sum(np.bincount(where, times, size) for where in (tokens.word, tokens.pair)).astype(np.uint64)
+    modelled = np.zeros_like(seen) if table["deleted"][0].as_py() else seen
+    for number, *arrays in _cells(tokens.keys, seen, modelled, ranges):
+        yield block, number, *arrays
 
 
-def range_totals(table: pa.Table) -> Iterator[tuple]:
-    """The sums of one range, in the order in which each block has its keys."""
-    keys = [np.cumsum(_unpacked(data.as_py(), np.uint64), dtype=np.uint64) for data in table["keys"]]
-    distinct, where = np.unique(np.concatenate(keys), return_inverse=True)
+@dataclass
+class Merged:
+    """Distinct keys of some cells with their sums, and where each cell's keys are among them."""
+
+    keys: np.ndarray
+    places: list[np.ndarray]
+    seen: np.ndarray
+    modelled: np.ndarray
+
+
+def merged(table: pa.Table) -> Merged:
+    own = [np.cumsum(_unpacked(data.as_py(), np.uint64), dtype=np.uint64) for data in table["keys"]]
+    keys, where = np.unique(np.concatenate(own), return_inverse=True)
     sums = []
     for name in ("seen", "modelled"):
-        values = np.concatenate([_unpacked(data.as_py(), np.uint32) for data in table[name]])
-        sums.append(np.bincount(where, values, len(distinct)).astype(np.uint64))
-    seen, modelled = sums
-    words = (distinct & np.uint64(1)) == 0
+        values = np.concatenate([_unpacked(data.as_py(), np.uint64) for data in table[name]])
+        sums.append(np.bincount(where, values, len(keys)).astype(np.uint64))
+    return Merged(keys, np.split(where, np.cumsum([len(part) for part in own])[:-1]), *sums)
+
+
+def finer_counts(block: int, table: pa.Table, ranges: int) -> Iterator[tuple]:
+    """One range of some blocks, merged and cut into finer ranges."""
+    found = merged(table)
+    for number, *arrays in _cells(found.keys, found.seen, found.modelled, ranges):
+        yield block, number, *arrays
+
+
+def coarser_answers(table: pa.Table, answers: pa.Table) -> Iterator[tuple]:
+    """The sums for one range of some blocks, for each in its order, from those of its finer ranges."""
+    found = merged(table)
+    seen, modelled = _in_order(answers, len(found.keys))
+    for block, number, mine in zip(table["block"].to_pylist(), table["range"].to_pylist(), found.places):
+        yield block, number, _packed(seen[mine]), _packed(modelled[mine])
+
+
+def _in_order(answers: pa.Table, size: int) -> list[np.ndarray]:
+    order = np.argsort(answers["range"].to_numpy())
+    sums = [
+        np.concatenate([np.zeros(0, np.uint64), *[_unpacked(answers[name][int(i)].as_py(), np.uint64) for i in order]])
+        for name in ("seen", "modelled")
+    ]
+    if len(sums[0]) != size:
+        raise RuntimeError("the answers are not those of this block")
+    return sums
+
+
+def range_totals(table: pa.Table) -> Iterator[tuple]:
+    """The sums of one range, in the order in which each block has its keys."""
+    found = merged(table)
+    words = (found.keys & np.uint64(1)) == 0
+    seen, modelled = found.seen, found.modelled
     facts = int((seen[words] > 0).sum()), int(seen[words].sum()), int(modelled[words].sum())
-    at = 0
-    for block, number, own in zip(table["block"].to_pylist(), table["range"].to_pylist(), keys):
-        mine = where[at : at + len(own)]
-        at += len(own)
+    for block, number, mine in zip(table["block"].to_pylist(), table["range"].to_pylist(), found.places):
         yield block, number, _packed(seen[mine]), _packed(modelled[mine]), *facts
         facts = (0, 0, 0)
 
 
+def _finer(ranges: int):
+    def counted(key, table):
+        return _table(finer_counts(key[0].as_py(), table, ranges), _names(_COUNTS))
+
+    return counted
+
+
+def totals_and_answers(counts: DataFrame, levels: int, parts: int) -> tuple[DataFrame, DataFrame]:
+    """The sums of the finest ranges, and the answers to each block and range of `counts`."""
+    steps = []
+    for level in range(1, levels):
+        # Stored, as the way back asks for the same keys.
+        cells = stored(counts, "counts").withColumn("parent", _divided("block", parts))
+        counts = cells.groupBy("parent", "range").applyInArrow(_finer(parts ** (level + 1)), _COUNTS)
+        steps.append(cells)
+    totals = stored(
+        counts.groupBy("range").applyInArrow(lambda table: _table(range_totals(table), _names(_TOTALS)), _TOTALS), "totals"
+    )
+    answers = totals.select(*_names(_ANSWERS))
+    for cells in reversed(steps):
+        given = answers.withColumn("coarser", _divided("range", parts).cast("int"))
+        own = cells.groupBy("parent", "range").cogroup(given.groupBy("block", "coarser"))
+        back = own.applyInArrow(
+            lambda table, given: _table(coarser_answers(table, given), _names(_ANSWERS)), _ANSWERS
+        )
+        answers = stored(back, "answers")
+    return totals, answers
+
+
+def _divided(name: str, by: int) -> Column:
+    value = F.col(name).cast("long")
+    return ((value - F.pmod(value, F.lit(by))) / by).cast("long")
+
+
+def _names(schema: str) -> list[str]:
+    return [part.split()[0] for part in schema.split(",")]
+
+
 @dataclass(frozen=True)
 class Facts:
     words: int
@@ -154,12 +249,7 @@ class Estimates:
 def estimates(table: pa.Table, answers: pa.Table, facts: Facts, *, deleted: bool) -> Estimates:
     """Estimates from all training documents, or without the deleted ones."""
     tokens = tokens_of(table["text"])
-    order = np.argsort(answers["range"].to_numpy())
-    seen, modelled = (
-        np.concatenate([_unpacked(answers[name][int(i)].as_py(), np.uint64) for i in order]) for name in ("seen", "modelled")
-    )
-    if len(seen) != len(tokens.keys):
-        raise RuntimeError("the answers are not those of this block")
+    seen, modelled = _in_order(answers, len(tokens.keys))
     counts, total = (modelled, facts.modelled) if deleted else (seen, facts.tokens)
     context = counts[tokens.context].astype(float)
     pair = np.divide(counts[tokens.pair], context, out=np.zeros(len(context)), where=context > 0)
@@ -197,16 +287,47 @@ def mixture(cells: list[tuple[int, int, int, int]]) -> np.ndarray:
     return np.where(weights > 0, weights, 1 / 3) if not cells else weights
 
 
-def scored(documents: DataFrame, block_bytes: int = BLOCK_BYTES, range_bytes: int = RANGE_BYTES) -> DataFrame:
+def scored(
+    documents: DataFrame,
+    block_bytes: int = BLOCK_BYTES,
+    range_bytes: int = RANGE_BYTES,
+    fan_out: int = FAN_OUT,
+    repeated_bytes: int = REPEATED_BYTES,
+) -> DataFrame:
     """Scores of every document.
 
     Null and empty texts consist of the end token. Repeated rows each count and each give a
     row. A row without an id is scored but not learned from, and is not held out. If nothing
     can be learned from, all words are unknown. Other columns are ignored.
     """
-    fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % FOLDS
     rows = keyed(documents)
-    size = rows.agg(F.sum(F.octet_length("text").cast("long")).alias("n")).first()["n"] or 0
+    bytes_of = F.sum(F.octet_length("text").cast("long") + 1)
+    keys = rows.groupBy("doc_id", "text_hash").agg(F.count("*").alias("times"), bytes_of.alias("bytes"))
+    repeated = (F.col("times") > 1) & (F.col("bytes") > repeated_bytes)
+    known = keys.agg(
+        F.coalesce(F.sum(F.when(~repeated, F.col("bytes")).otherwise(F.col("bytes") / F.col("times"))), F.lit(0))
+        .cast("long")
+        .alias("size"),
+        F.count(F.when(repeated, 1)).alias("repeated"),
+    ).first()
+    if not known["repeated"]:
+        return _scored(rows.withColumn("times", F.lit(1)), known["size"], block_bytes, range_bytes, fan_out).drop("text_hash")
+    # Rows that repeat so often meet in one block: one of them is counted for all, and its score
+    # is joined to the others.
+    hot = small_or_merged(stored(keys.filter(repeated).select("doc_id", "text_hash"), "repeated"))
+    copies = with_results(rows, hot, "left_semi")
+    once = copies.groupBy("doc_id", "text_hash").agg(F.first("text").alias("text"), F.count("*").alias("times"))
+    single = with_results(rows, hot, "left_anti").withColumn("times", F.lit(1))
+    weighted = once.select(single.columns).unionByName(single)
+    found = stored(_scored(weighted, known["size"], block_bytes, range_bytes, fan_out), "scores")
+    of_copies = with_results(found, hot, "left_semi")
+    others = with_results(found, hot, "left_anti")
+    joined = with_results(copies.select("doc_id", "text_hash"), small_or_merged(of_copies), "inner")
+    return others.unionByName(joined.select(others.columns)).drop("text_hash")
+
+
+def _scored(rows: DataFrame, size: int, block_bytes: int, range_bytes: int, fan_out: int) -> DataFrame:
+    fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % FOLDS
     blocks, ranges = max(1, size // block_bytes), max(1, size // range_bytes)
     spread = F.xxhash64("doc_id", "text_hash", F.lit("block"))
     learns = F.coalesce(fold != HELD_OUT, F.lit(False))
@@ -216,35 +337,30 @@ def scored(documents: DataFrame, block_bytes: int = BLOCK_BYTES, range_bytes: in
     block = F.when(deleted, -1 - F.pmod(spread, F.lit(few))).otherwise(F.pmod(spread, F.lit(blocks)))
     dealt = rows.select(
         "doc_id",
+        "text_hash",
         "text",
+        F.col("times").cast("long").alias("times"),
         learns.alias("learns"),
         deleted.alias("deleted"),
         F.coalesce(fold == HELD_OUT, F.lit(False)).alias("held_out"),
         block.cast("long").alias("block"),
     )
+    levels, parts = cuts(ranges, fan_out)
 
     def counted(key, table):
-        return _table(block_counts(key[0].as_py(), table, ranges), ["block", "range", "keys", "seen", "modelled"])
+        return _table(block_counts(key[0].as_py(), table, parts), _names(_COUNTS))
 
     counts = dealt.groupBy("block").applyInArrow(counted, _COUNTS)
-    totals = stored(
-        counts.groupBy("range").applyInArrow(
-            lambda table: _table(
-                range_totals(table), ["block", "range", "seen", "modelled", "v", "n", "n_modelled"]
-            ),
-            _TOTALS,
-        ),
-        "totals",
-    )
+    totals, answers = totals_and_answers(counts, levels, parts)
     known = totals.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("v", "n", "n_modelled")]).first()
     facts = Facts(known["v"], known["n"], known["n_modelled"])
     floor = 1.0 / (facts.words + 1)
-    answers = totals.select("block", "range", "seen", "modelled")
 
     def cells(table, given):
         found = estimates(table, given, facts, deleted=True)
         cell = np.c_[found.bucket, _steps(found.pair, floor), _steps(found.word, floor)]
-        values, n = np.unique(cell, axis=0, return_counts=True)
+        values, where = np.unique(cell, axis=0, return_inverse=True)
+        n = np.bincount(where.reshape(-1), table["times"].to_numpy()[found.tokens.row], len(values)).astype(np.int64)
         return pa.table(
             {
                 "bucket": pa.array(values[:, 0], pa.int32()),
@@ -273,6 +389,7 @@ def scored(documents: DataFrame, block_bytes: int = BLOCK_BYTES, range_bytes: in
         return pa.table(
             {
                 "doc_id": table["doc_id"],
+                "text_hash": table["text_hash"],
                 "held_out": table["held_out"],
                 "n_tokens": pa.array(np.diff(found.tokens.first), pa.int64()),
                 "n_known": pa.array(np.add.reduceat((found.seen > 0).astype(np.int64), at), pa.int64()),
@@ -282,7 +399,7 @@ def scored(documents: DataFrame, block_bytes: int = BLOCK_BYTES, range_bytes: in
             }
         )
 
-    schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+    schema = "doc_id long, text_hash long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     return dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(scores, schema)
 
 

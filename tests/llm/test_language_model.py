@@ -1,0 +1,93 @@
+"""Levels of hash ranges, and rows that repeat in great number, of the language model."""
+
+from __future__ import annotations
+
+import collections
+import random
+
+import numpy as np
+from pyspark.sql import functions as F
+
+from boxmetrics.llm import language_model
+
+SCHEMA = "doc_id long, text string"
+COLUMNS = ("doc_id", "held_out", "n_tokens", "n_known", "train_tokens")
+
+
+def _rows(count=150):
+    rng = random.Random(6)
+    vocabulary = [f"w{n}" for n in range(300)]
+    rows = [(n, " ".join(rng.choices(vocabulary, k=rng.randint(0, 60)))) for n in range(count)]
+    return [*rows, (None, "w1 w2"), (None, None), (count, ""), (count + 1, "w3 " * 3000)]
+
+
+def _collected(frame):
+    return collections.Counter(
+        tuple(row) for row in frame.select(*COLUMNS, F.round("base_score", 5), F.round("score", 5)).collect()
+    )
+
+
+def test_cuts_suffice_and_stay_within_the_fan_out():
+    for fan_out in (2, 3, 16, 1024):
+        for ranges in (1, 2, 5, 16, 17, 1000, 3_000_000):
+            levels, parts = language_model.cuts(ranges, fan_out)
+            assert parts**levels >= ranges and parts <= fan_out
+            assert levels == 1 or fan_out ** (levels - 1) < ranges
+    assert language_model.cuts(700, 1024) == (1, 700)
+
+
+def test_finer_ranges_lie_within_coarser_ones():
+    keys = np.unique(np.random.default_rng(1).integers(0, 2**64, 5000, dtype=np.uint64))
+    ones = np.ones(len(keys), np.uint64)
+    parts = 7
+    fine = list(language_model._cells(keys, ones, ones, parts**2))
+    coarse = list(language_model._cells(keys, ones, ones, parts))
+    sizes = collections.Counter()
+    for number, _, seen, _ in fine:
+        sizes[number // parts] += len(language_model._unpacked(seen, np.uint64))
+    assert sizes == {number: len(language_model._unpacked(seen, np.uint64)) for number, _, seen, _ in coarse}
+    got = np.concatenate([np.cumsum(language_model._unpacked(cell[1], np.uint64), dtype=np.uint64) for cell in fine])
+    assert (got == keys).all()
+
+
+def test_arrays_of_a_block_do_not_grow_with_the_ranges(spark, monkeypatch):
+    """More ranges make more levels, not more arrays for a block."""
+    kept, store = [], language_model.stored
+
+    def watched(frame, name):
+        made = store(frame, name)
+        kept.append((name, made))
+        return made
+
+    monkeypatch.setattr(language_model, "stored", watched)
+    frame = spark.createDataFrame(_rows(), SCHEMA)
+    wanted = _collected(language_model.scored(frame))
+    size = sum(len(text or "") + 1 for _, text in _rows())
+    for range_bytes, least in ((4000, 2), (500, 3)):
+        levels, parts = language_model.cuts(size // range_bytes, 4)
+        assert levels >= least and parts <= 4
+        kept.clear()
+        got = language_model.scored(frame, block_bytes=2000, range_bytes=range_bytes, fan_out=4)
+        assert _collected(got) == wanted
+        assert [name for name, _ in kept] == ["counts"] * (levels - 1) + ["totals"] + ["answers"] * (levels - 1)
+        for _, made in kept:
+            if "block" in made.columns:
+                # A stored cell list has at most a fan-out of ranges for each block within each parent range.
+                most = made.groupBy("block", F.floor(F.col("range") / parts)).count().agg(F.max("count")).first()[0]
+                assert most <= parts
+
+
+def test_repeated_rows_are_counted_as_one(spark):
+    rows = [*_rows(60), *[(70, "w5 w6 w7 again")] * 4000, *[(None, "w8 w9")] * 2000, *[(71, None)] * 300, *[(71, "")] * 300]
+    frame = spark.createDataFrame(rows, SCHEMA).repartition(4)
+    plain = _collected(language_model.scored(frame))
+    assert sum(plain.values()) == len(rows)
+    assert _collected(language_model.scored(frame, repeated_bytes=1000)) == plain
+    assert _collected(language_model.scored(frame, repeated_bytes=1000, block_bytes=500, range_bytes=300, fan_out=4)) == plain
+
+
+def test_only_repeated_rows_and_none(spark):
+    frame = spark.createDataFrame([(1, "a b a")] * 50, SCHEMA)
+    found = _collected(language_model.scored(frame, repeated_bytes=0))
+    assert list(found.values()) == [50]
+    assert language_model.scored(frame.limit(0), repeated_bytes=0).count() == 0

@@ -319,7 +319,8 @@ def test_language_model_scores_use_all_training_documents(spark, documents, rows
             bucket, pair, single = found(learned, before, word)
             score += math.log10(weights[bucket] @ [pair, single, floor])
         wanted[doc_id, len(part) - 1, round(score, 5)] += 1
-    for sizes in ({}, {"block_bytes": 2000, "range_bytes": 4000}):
+    levels = {"block_bytes": 4000, "range_bytes": 500, "fan_out": 6}
+    for sizes in ({}, {"block_bytes": 2000, "range_bytes": 4000}, levels, {"repeated_bytes": 0}, {**levels, "repeated_bytes": 0}):
         assert _collected(language_model.scored(documents, **sizes), "doc_id", "n_tokens", F.round("score", 5)) == wanted
 
 
