@@ -1,10 +1,11 @@
-"""Scores of a word bigram model by deleted interpolation.
+"""Scores of a word n-gram model by deleted interpolation.
 
-The chance of a word is a mixture of its bigram, unigram and uniform estimates. The weights
-depend on how often the context was seen: contexts with counts of equal binary logarithm share
-a bucket. Expectation-maximisation learns the weights on training documents that are held out
-of the counts (one in DELETED); scores then use the counts of all training documents. Documents
-outside of training are only scored.
+The chance of a word is a mixture of its bigram, unigram and uniform estimates; each further
+order mixes its estimate with the chance by the orders below. The weights depend on how often the
+context was seen: contexts with counts of equal binary logarithm share a bucket.
+Expectation-maximisation learns the weights on training documents that are held out of the
+counts (one in DELETED), order by order; scores then use the counts of all training documents.
+Documents outside of training are only scored.
 
 Counting and looking up go by blocks of documents and ranges of hashes: a block asks for its
 distinct words and word pairs once, sorted, and each range answers all blocks in that order.
@@ -46,6 +47,8 @@ _STEPS = 4
 _NEVER = -999
 _START, _END = np.uint64(0x51A7), np.uint64(0xE4D)
 _PAIR = np.uint64(0xC2B2AE3D27D4EB4F)
+#: The longest n-grams that are counted, in words.
+ORDER = 2
 
 
 def _packed(values: np.ndarray) -> bytes:
@@ -63,18 +66,22 @@ def _unpacked(data: bytes, dtype: type) -> np.ndarray:
 
 @dataclass
 class Tokens:
-    """Tokens of a block: documents end to end, each with its end token."""
+    """Tokens of a block: documents end to end, each with its end token.
+
+    `longer` has the places of n-grams of three and more words, and of their contexts.
+    """
 
     keys: np.ndarray
     word: np.ndarray
     pair: np.ndarray
     context: np.ndarray
+    longer: list[tuple[np.ndarray, np.ndarray]]
     row: np.ndarray
     first: np.ndarray
 
 
-def tokens_of(texts: pa.Array) -> Tokens:
-    """Sorted distinct keys of words (even) and pairs (odd), and where each token's are."""
+def tokens_of(texts: pa.Array, order: int = ORDER) -> Tokens:
+    """Sorted distinct keys of words (even) and longer n-grams (odd), and where each token's are."""
     ids, sizes = [], []
     for words in words_of(texts, lower=True):
         ids.append(words.ids)
@@ -92,10 +99,18 @@ def tokens_of(texts: pa.Array) -> Tokens:
     word = mixed(token) & ~one
     pair = mixed(before * _PAIR + token, 77) | one
     # The start was seen as often as the end.
-    context = np.where(before == _START, mixed(np.array([_END]))[0], mixed(before)) & ~one
-    keys, where = np.unique(np.r_[word, pair, mixed(np.array([_END])) & ~one], return_inverse=True)
-    n = len(token)
-    return Tokens(keys, where[:n], where[n : 2 * n], np.searchsorted(keys, context), row, first)
+    end = mixed(np.array([_END])) & ~one
+    context = np.where(before == _START, end[0], mixed(before)) & ~one
+    grams, contexts = [word, pair], []
+    for words_of_gram in range(3, order + 1):
+        previous = np.r_[end, grams[-1][:-1]]
+        previous[first[:-1]] = end
+        contexts.append(previous)
+        grams.append(mixed(previous * _PAIR + token, 75 + words_of_gram) | one)
+    keys, where = np.unique(np.r_[(*grams, end)], return_inverse=True)
+    places = where[:-1].reshape(len(grams), len(token))
+    longer = [(gram, np.searchsorted(keys, previous)) for gram, previous in zip(places[2:], contexts)]
+    return Tokens(keys, places[0], places[1], np.searchsorted(keys, context), longer, row, first)
 
 
 def cuts(ranges: int, fan_out: int) -> tuple[int, int]:
@@ -124,12 +139,13 @@ _ANSWERS = "block long, range int, seen binary, modelled binary"
 _TOTALS = f"{_ANSWERS}, v long, n long, n_modelled long"
 
 
-def block_counts(block: int, table: pa.Table, ranges: int) -> Iterator[tuple]:
-    tokens = tokens_of(table["text"])
+def block_counts(block: int, table: pa.Table, ranges: int, order: int) -> Iterator[tuple]:
+    tokens = tokens_of(table["text"], order)
     times = np.where(table["learns"].to_numpy(), table["times"].to_numpy(), 0)[tokens.row]
     size = len(tokens.keys)
     # Sums in float are exact up to 2**53.
-    seen = sum(np.bincount(where, times, size) for where in (tokens.word, tokens.pair)).astype(np.uint64)
+    grams = [tokens.word, tokens.pair, *[gram for gram, _ in tokens.longer]]
+    seen = sum(np.bincount(where, times, size) for where in grams).astype(np.uint64)
     modelled = np.zeros_like(seen) if table["deleted"][0].as_py() else seen
     for number, *arrays in _cells(tokens.keys, seen, modelled, ranges):
         yield block, number, *arrays
@@ -244,47 +260,72 @@ class Estimates:
     bucket: np.ndarray
     pair: np.ndarray
     word: np.ndarray
+    longer: list[tuple[np.ndarray, np.ndarray]]
 
 
-def estimates(table: pa.Table, answers: pa.Table, facts: Facts, *, deleted: bool) -> Estimates:
+def estimates(table: pa.Table, answers: pa.Table, facts: Facts, order: int, *, deleted: bool) -> Estimates:
     """Estimates from all training documents, or without the deleted ones."""
-    tokens = tokens_of(table["text"])
+    tokens = tokens_of(table["text"], order)
     seen, modelled = _in_order(answers, len(tokens.keys))
     counts, total = (modelled, facts.modelled) if deleted else (seen, facts.tokens)
-    context = counts[tokens.context].astype(float)
-    pair = np.divide(counts[tokens.pair], context, out=np.zeros(len(context)), where=context > 0)
+
+    def ratio(gram: np.ndarray, context: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        often = counts[context].astype(float)
+        likely = np.divide(counts[gram], often, out=np.zeros(len(often)), where=often > 0)
+        return likely, np.minimum(np.frexp(often)[1], _BUCKETS - 1)
+
+    pair, bucket = ratio(tokens.pair, tokens.context)
     word = counts[tokens.word] / max(total, 1)
-    bucket = np.minimum(np.frexp(context)[1], _BUCKETS - 1)
-    return Estimates(tokens, seen[tokens.word], bucket, pair, word)
+    return Estimates(tokens, seen[tokens.word], bucket, pair, word, [ratio(*places) for places in tokens.longer])
+
+
+def chances(found: Estimates, weights: list[np.ndarray], floor: float) -> np.ndarray:
+    """The chance of each token by the orders whose weights are given."""
+    share = weights[0][found.bucket]
+    chance = share[:, 0] * found.pair + share[:, 1] * found.word + share[:, 2] * floor
+    for (likely, bucket), own in zip(found.longer, weights[1:]):
+        share = own[bucket]
+        chance = share[:, 0] * likely + share[:, 1] * chance
+    return chance
 
 
-def _steps(values: np.ndarray, floor: float) -> np.ndarray:
+def held_out_cells(found: Estimates, weights: list[np.ndarray], floor: float) -> np.ndarray:
+    """For each token the bucket and steps from which the next order's weights are learned."""
+    if not weights:
+        return np.c_[found.bucket, _steps(found.pair, floor), _steps(found.word, floor)]
+    likely, bucket = found.longer[len(weights) - 1]
+    return np.c_[bucket, _steps(likely, chances(found, weights, floor))]
+
+
+def _steps(values: np.ndarray, floor: float | np.ndarray) -> np.ndarray:
     with np.errstate(divide="ignore"):
         return np.where(values > 0, np.round(_STEPS * np.log(values / floor)), _NEVER).astype(np.int32)
 
 
-def mixture(cells: list[tuple[int, int, int, int]]) -> np.ndarray:
-    """Weights of pair, word and uniform estimates by bucket, from counts of held-out tokens.
+def mixture(cells: list[tuple[int, ...]], parts: int = 3) -> np.ndarray:
+    """Weights of estimates by bucket, from counts of held-out tokens.
 
-    Cells are (bucket, steps of pair, steps of word, count). Each weight starts from one
-    virtual token, so none is ever zero; buckets without tokens get the weights of all.
+    Cells are (bucket, steps of each estimate but the last over the last, count): steps of pair
+    and word over the uniform estimate, or of one longer n-gram over the chance by the orders
+    below. Each weight starts from one virtual token, so none is ever zero; buckets without
+    tokens get the weights of all.
     """
-    weights = np.zeros((_BUCKETS + 1, 3))
+    weights = np.zeros((_BUCKETS + 1, parts))
     for bucket in range(_BUCKETS, -1, -1):
         own = [cell for cell in cells if bucket in (cell[0], _BUCKETS)]
         if not own:
             weights[bucket] = weights[_BUCKETS]
             continue
-        steps = np.array([cell[1:3] for cell in own], dtype=float)
+        steps = np.array([cell[1:parts] for cell in own], dtype=float)
         ratio = np.c_[np.where(steps == _NEVER, 0.0, np.exp(steps / _STEPS)), np.ones(len(own))]
-        count = np.array([cell[3] for cell in own], dtype=float)
-        share = np.full(3, 1 / 3)
+        count = np.array([cell[parts] for cell in own], dtype=float)
+        share = np.full(parts, 1 / parts)
         for _ in range(_ROUNDS):
             part = ratio * share
             share = (part / part.sum(axis=1, keepdims=True) * count[:, None]).sum(axis=0) + 1
             share /= share.sum()
         weights[bucket] = share
-    return np.where(weights > 0, weights, 1 / 3) if not cells else weights
+    return np.where(weights > 0, weights, 1 / parts) if not cells else weights
 
 
 def scored(
@@ -293,13 +334,17 @@ def scored(
     range_bytes: int = RANGE_BYTES,
     fan_out: int = FAN_OUT,
     repeated_bytes: int = REPEATED_BYTES,
+    order: int = ORDER,
 ) -> DataFrame:
-    """Scores of every document.
+    """Scores of every document by n-grams of up to `order` words, two at least.
 
     Null and empty texts consist of the end token. Repeated rows each count and each give a
     row. A row without an id is scored but not learned from, and is not held out. If nothing
     can be learned from, all words are unknown. Other columns are ignored.
     """
+    if order < 2:
+        raise ValueError("the model needs pairs of words at least")
+    sizes = (block_bytes, range_bytes, fan_out, order)
     rows = keyed(documents)
     bytes_of = F.sum(F.octet_length("text").cast("long") + 1)
     keys = rows.groupBy("doc_id", "text_hash").agg(F.count("*").alias("times"), bytes_of.alias("bytes"))
@@ -311,7 +356,7 @@ def scored(
         F.count(F.when(repeated, 1)).alias("repeated"),
     ).first()
     if not known["repeated"]:
-        return _scored(rows.withColumn("times", F.lit(1)), known["size"], block_bytes, range_bytes, fan_out).drop("text_hash")
+        return _scored(rows.withColumn("times", F.lit(1)), known["size"], *sizes).drop("text_hash")
     # Rows that repeat so often meet in one block: one of them is counted for all, and its score
     # is joined to the others.
     hot = small_or_merged(stored(keys.filter(repeated).select("doc_id", "text_hash"), "repeated"))
@@ -319,14 +364,14 @@ def scored(
     once = copies.groupBy("doc_id", "text_hash").agg(F.first("text").alias("text"), F.count("*").alias("times"))
     single = with_results(rows, hot, "left_anti").withColumn("times", F.lit(1))
     weighted = once.select(single.columns).unionByName(single)
-    found = stored(_scored(weighted, known["size"], block_bytes, range_bytes, fan_out), "scores")
+    found = stored(_scored(weighted, known["size"], *sizes), "scores")
     of_copies = with_results(found, hot, "left_semi")
     others = with_results(found, hot, "left_anti")
     joined = with_results(copies.select("doc_id", "text_hash"), small_or_merged(of_copies), "inner")
     return others.unionByName(joined.select(others.columns)).drop("text_hash")
 
 
-def _scored(rows: DataFrame, size: int, block_bytes: int, range_bytes: int, fan_out: int) -> DataFrame:
+def _scored(rows: DataFrame, size: int, block_bytes: int, range_bytes: int, fan_out: int, order: int) -> DataFrame:
     fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % FOLDS
     blocks, ranges = max(1, size // block_bytes), max(1, size // range_bytes)
     spread = F.xxhash64("doc_id", "text_hash", F.lit("block"))
@@ -348,7 +393,7 @@ def _scored(rows: DataFrame, size: int, block_bytes: int, range_bytes: int, fan_
     levels, parts = cuts(ranges, fan_out)
 
     def counted(key, table):
-        return _table(block_counts(key[0].as_py(), table, parts), _names(_COUNTS))
+        return _table(block_counts(key[0].as_py(), table, parts, order), _names(_COUNTS))
 
     counts = dealt.groupBy("block").applyInArrow(counted, _COUNTS)
     totals, answers = totals_and_answers(counts, levels, parts)
@@ -356,34 +401,15 @@ def _scored(rows: DataFrame, size: int, block_bytes: int, range_bytes: int, fan_
     facts = Facts(known["v"], known["n"], known["n_modelled"])
     floor = 1.0 / (facts.words + 1)
 
-    def cells(table, given):
-        found = estimates(table, given, facts, deleted=True)
-        cell = np.c_[found.bucket, _steps(found.pair, floor), _steps(found.word, floor)]
-        values, where = np.unique(cell, axis=0, return_inverse=True)
-        n = np.bincount(where.reshape(-1), table["times"].to_numpy()[found.tokens.row], len(values)).astype(np.int64)
-        return pa.table(
-            {
-                "bucket": pa.array(values[:, 0], pa.int32()),
-                "pair": pa.array(values[:, 1], pa.int32()),
-                "word": pa.array(values[:, 2], pa.int32()),
-                "n": pa.array(n, pa.int64()),
-            }
-        )
-
     held = dealt.filter("block < 0").groupBy("block").cogroup(answers.filter("block < 0").groupBy("block"))
-    # Buckets and steps bound the number of cells, whatever the input.
-    seen = (
-        held.applyInArrow(cells, "bucket int, pair int, word int, n long")
-        .groupBy("bucket", "pair", "word")
-        .agg(F.sum("n").alias("n"))
-        .collect()
-    )
-    weights = mixture([tuple(row) for row in seen])
+    weights: list[np.ndarray] = []
+    for _ in range(2, order + 1):
+        steps = ["pair", "word"] if not weights else ["likely"]
+        weights.append(mixture(_learned(held, facts, floor, order, weights, steps), len(steps) + 1))
 
     def scores(table, given):
-        found = estimates(table, given, facts, deleted=False)
-        share = weights[found.bucket]
-        chance = share[:, 0] * found.pair + share[:, 1] * found.word + share[:, 2] * floor
+        found = estimates(table, given, facts, order, deleted=False)
+        chance = chances(found, weights, floor)
         base = np.log10((found.seen + 1.0) / (facts.tokens + 1.0 * (facts.words + 1)))
         at = found.tokens.first[:-1]
         return pa.table(
@@ -403,6 +429,23 @@ def _scored(rows: DataFrame, size: int, block_bytes: int, range_bytes: int, fan_
     return dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(scores, schema)
 
 
+def _learned(held, facts: Facts, floor: float, order: int, weights: list[np.ndarray], steps: list[str]) -> list[tuple]:
+    """Cells of the held-out tokens. Buckets and steps bound their number, whatever the input."""
+    names = ["bucket", *steps]
+
+    def cells(table, given):
+        found = estimates(table, given, facts, order, deleted=True)
+        cell = held_out_cells(found, weights, floor)
+        values, where = np.unique(cell, axis=0, return_inverse=True)
+        n = np.bincount(where.reshape(-1), table["times"].to_numpy()[found.tokens.row], len(values)).astype(np.int64)
+        columns = {name: pa.array(values[:, at], pa.int32()) for at, name in enumerate(names)}
+        return pa.table({**columns, "n": pa.array(n, pa.int64())})
+
+    schema = ", ".join([*[f"{name} int" for name in names], "n long"])
+    counted = held.applyInArrow(cells, schema).groupBy(*names).agg(F.sum("n").alias("n"))
+    return [tuple(row) for row in counted.collect()]
+
+
 def _table(rows: Iterator[tuple], names: list[str]) -> pa.Table:
     kinds = {"block": pa.int64(), "range": pa.int32(), "v": pa.int64(), "n": pa.int64(), "n_modelled": pa.int64()}
     columns = list(zip(*rows)) or [[] for _ in names]

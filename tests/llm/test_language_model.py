@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import collections
+import math
 import random
+import zlib
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from boxmetrics.llm import language_model
@@ -91,3 +94,87 @@ def test_only_repeated_rows_and_none(spark):
     found = _collected(language_model.scored(frame, repeated_bytes=0))
     assert list(found.values()) == [50]
     assert language_model.scored(frame.limit(0), repeated_bytes=0).count() == 0
+
+
+class _Plain:
+    """Counters of n-grams, each a tuple of words, over documents with `order` - 1 starts."""
+
+    def __init__(self, parts, order):
+        self.of = collections.Counter()
+        for part in parts:
+            for at in range(order - 1, len(part)):
+                self.of.update(tuple(part[at + 1 - n : at + 1]) for n in range(1, order + 1))
+        self.total = sum(count for gram, count in self.of.items() if len(gram) == 1)
+
+    def likely(self, part, at, n):
+        """The estimate of a word after the n - 1 before it, and their bucket."""
+        gram = tuple(part[at + 1 - n : at + 1])
+        # Nothing but starts was seen once a document, as the end.
+        often = self.of[("\0",)] if set(gram[:-1]) == {"\1"} else self.of[gram[:-1]]
+        return (self.of[gram] / often if often else 0.0), min(math.frexp(often)[1], language_model._BUCKETS - 1)
+
+    def chance(self, part, at, weights, floor):
+        value = 0.0
+        for n, own in enumerate(weights, 2):
+            estimate, bucket = self.likely(part, at, n)
+            below = [value] if n > 2 else [self.of[(part[at],)] / max(self.total, 1), floor]
+            value = float(own[bucket] @ [estimate, *below])
+        return value
+
+
+def _plain_scores(rows, deleted, order):
+    def steps(value, over):
+        return round(language_model._STEPS * math.log(value / over)) if value else language_model._NEVER
+
+    parts = [(doc_id, ["\1"] * (order - 1) + (text or "").split() + ["\0"]) for doc_id, text in rows]
+    training = [(doc_id, part) for doc_id, part in parts if doc_id is not None and zlib.crc32(str(doc_id).encode()) % 7 != 2]
+    learned = _Plain([part for _, part in training], order)
+    kept = _Plain([part for doc_id, part in training if doc_id not in deleted], order)
+    floor = 1 / (sum(len(gram) == 1 for gram in learned.of) + 1)
+    weights = []
+    for n in range(2, order + 1):
+        cells = collections.Counter()
+        for doc_id, part in training:
+            for at in range(order - 1, len(part)) if doc_id in deleted else ():
+                estimate, bucket = kept.likely(part, at, n)
+                if n == 2:
+                    cells[bucket, steps(estimate, floor), steps(kept.of[(part[at],)] / kept.total, floor)] += 1
+                else:
+                    cells[bucket, steps(estimate, kept.chance(part, at, weights, floor))] += 1
+        weights.append(language_model.mixture([(*cell, n) for cell, n in cells.items()], 3 if n == 2 else 2))
+    return [
+        (doc_id, sum(math.log10(learned.chance(part, at, weights, floor)) for at in range(order - 1, len(part))))
+        for doc_id, part in parts
+    ]
+
+
+def _phrases(count=240):
+    """Texts of phrases, in which two words foretell the third better than one does."""
+    rng = random.Random(7)
+    words = [f"w{n}" for n in range(25)]
+    phrases = [" ".join(rng.choices(words, k=5)) for _ in range(40)]
+    made = [(n, " ".join(rng.choices(phrases, k=rng.randint(0, 12)))) for n in range(count)]
+    return [*made, (None, "w1 w2 w3"), (None, None), (count, ""), (count + 1, "never seen words"), (3, made[3][1])]
+
+
+@pytest.mark.parametrize("order", [2, 3, 4])
+def test_orders_agree_with_plain_counts(spark, order):
+    rows = _phrases()
+    frame = spark.createDataFrame(rows, SCHEMA)
+    hashed = frame.select("doc_id", F.xxhash64("doc_id", F.lit("deleted")).alias("h")).distinct().collect()
+    deleted = {r["doc_id"] for r in hashed if r["doc_id"] is not None and r["h"] % language_model.DELETED == 0}
+    wanted = collections.Counter((doc_id, round(score, 5)) for doc_id, score in _plain_scores(rows, deleted, order))
+    for sizes in ({}, {"block_bytes": 2000, "range_bytes": 500, "fan_out": 4}):
+        got = language_model.scored(frame, order=order, **sizes).select("doc_id", F.round("score", 5))
+        assert collections.Counter(tuple(row) for row in got.collect()) == wanted
+
+
+def test_longer_contexts_foretell_more(spark):
+    frame = spark.createDataFrame(_phrases(), SCHEMA)
+    held_out = [
+        language_model.scored(frame, order=order).filter("held_out").agg(F.sum("score")).first()[0] for order in (2, 3)
+    ]
+    assert held_out[1] > held_out[0]
+    assert language_model.scored(frame.limit(0), order=3).count() == 0
+    with pytest.raises(ValueError, match="pairs"):
+        language_model.scored(frame, order=1)
