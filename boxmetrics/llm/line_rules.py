@@ -28,11 +28,98 @@ WORDS_PER_BAR = 4
 #: A line is removed if more than this share of its characters are neither letters nor digits.
 MOST_MARKS_PERCENT = 25
 NOT_MARKS = r"[\p{L}\p{M}\p{N}\x20\x09-\x0D]+"
-BOILERPLATE = (
-    "(?i)(all rights reserved|©|copyright|licen[sc]ed? under|terms of (use|service)|privacy policy"
-    "|cookie policy|use of cookies|subscribe to|sign (in|up) (to|for)|log in to|click here|lorem ipsum"
-    "|enable javascript|read more|share (on|this))"
-)
+#: Phrases of boilerplate by language, as patterns of any case. They are whole words.
+PHRASES = {
+    "en": (
+        "all rights reserved",
+        "copyright",
+        "licen[sc]ed? under",
+        "terms of (use|service)",
+        "privacy policy",
+        "cookie policy",
+        "use of cookies",
+        "subscribe to",
+        "sign (in|up) (to|for)",
+        "log in to",
+        "click here",
+        "lorem ipsum",
+        "enable javascript",
+        "read more",
+        "share (on|this)",
+    ),
+    "de": (
+        "alle rechte vorbehalten",
+        "datenschutz(erklärung|hinweise|bestimmungen)",
+        "nutzungsbedingungen",
+        "allgemeine geschäftsbedingungen",
+        "impressum",
+        "newsletter abonnieren",
+        "jetzt (abonnieren|anmelden|registrieren)",
+        "hier klicken",
+        "klicken sie hier",
+        "verwende(t|n) cookies",
+        "cookie-(richtlinie|einstellungen)",
+        "weiterlesen",
+        "mehr (lesen|erfahren)",
+        "lizenziert unter",
+        "(artikel|beitrag|seite) teilen",
+    ),
+    "fr": (
+        "tous droits réservés",
+        "politique (de confidentialité|relative aux cookies)",
+        "conditions (générales|d.utilisation)",
+        "mentions légales",
+        "cliquez ici",
+        "lire la suite",
+        "en savoir plus",
+        "(abonnez|inscrivez|connectez)-vous",
+        "utilis(e|ons) des cookies",
+        "gestion des cookies",
+        "activer javascript",
+        "(publié|distribué)e? sous licence",
+        "partager (sur|cet article|cette page)",
+    ),
+    "es": (
+        "todos los derechos reservados",
+        "política de (privacidad|cookies)",
+        "términos (de uso|y condiciones|del servicio)",
+        "condiciones de uso",
+        "aviso legal",
+        "ha(ga|z) clic",
+        "leer más",
+        "seguir leyendo",
+        "suscr(íbete|íbase) a",
+        "regístr(ate|ese) (en|para)",
+        "iniciar sesión",
+        "uso de cookies",
+        "(habilit|activ)(ar|e) javascript",
+        "bajo (la )?licencia",
+        "compart(ir|e) (en|este|esta)",
+    ),
+}
+
+
+def _any_case(pattern: str) -> str:
+    """Each letter as a class of both cases, which all engines read alike."""
+    both = []
+    in_class = False
+    for char in pattern:
+        in_class = char == "[" or (in_class and char != "]")
+        upper = char.upper()
+        if upper == char or len(upper) > 1:
+            both.append(char)
+        else:
+            both.append(char + upper if in_class else f"[{char}{upper}]")
+    return "".join(both)
+
+
+def boilerplate(phrases: dict[str, tuple[str, ...]] = PHRASES) -> str:
+    """One pattern of the phrases in all languages."""
+    listed = "|".join(_any_case(phrase) for of_language in phrases.values() for phrase in of_language)
+    return rf"©|(^|[^\p{{L}}])({listed})($|[^\p{{L}}])"
+
+
+BOILERPLATE = boilerplate()
 #: A line longer than this is text even if it names a boilerplate phrase.
 BOILERPLATE_WORDS = 30
 
