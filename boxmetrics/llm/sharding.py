@@ -68,7 +68,20 @@ def sharded(documents: DataFrame, shards: int = SHARDS) -> DataFrame:
     )
 
 
-def write_shards(documents: DataFrame, folder: str, shards: int = SHARDS) -> None:
-    """All columns of the documents as one Parquet folder per shard."""
-    key = F.when(F.col("doc_id").isNotNull(), F.xxhash64(F.col("doc_id").cast("long"))).otherwise(F.xxhash64("text"))
-    documents.withColumn("shard", shard_of(key, shards)).write.partitionBy("shard").parquet(folder)
+def write_shards(documents: DataFrame, folder: str, shards: int = SHARDS) -> str:
+    """All columns of the documents as one Parquet folder per shard; gives the folders' name.
+
+    Folders are named `shard`, with as many underscores before it as it takes to differ from
+    all columns. Null texts count as empty, and repeated rows are all written. A shard has as
+    many files as its bytes need; one that gets no rows has no folder.
+    """
+    name = "shard"
+    while name in (column.lower() for column in documents.columns):
+        name = f"_{name}"
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    key = F.when(F.col("doc_id").isNotNull(), F.xxhash64(F.col("doc_id").cast("long"))).otherwise(
+        F.xxhash64(F.crc32(text.cast("binary")), F.octet_length(text).cast("long") + ROW_BYTES)
+    )
+    dealt = documents.withColumn(name, shard_of(key, shards))
+    dealt.hint("rebalance", name).write.partitionBy(name).parquet(folder)
+    return name
