@@ -49,10 +49,11 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The first document of each group; of rows with equal id and text, the one whose other
-    values are the smallest, column by column, nulls first."""
+    values are the smallest, column by column, nulls first. A null text equals an empty one."""
     kept = _rows_of(docs, representatives(docs), "left_semi")
     row = F.struct(*[F.col(f"`{name}`") for name in docs.columns])
-    return kept.groupBy("doc_id", "text").agg(F.min(row).alias("row")).select("row.*")
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    return kept.groupBy("doc_id", text.alias("words")).agg(F.min(row).alias("row")).select("row.*")
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
