@@ -141,6 +141,15 @@ def test_ties_are_defined(spark):
         assert tuple(kept) == (5, "some text of its own", "de", "a", 7)
 
 
+def test_null_and_empty_texts_are_one_group(spark):
+    rows = [(5, "", "en", "a", 0), (5, None, "en", "b", None), (None, None, "de", "a", None), (9, "", "de", "a", 0)]
+    frame = spark.createDataFrame(rows, SCHEMA).withColumns({"words": F.lit(1), "row": F.lit(2)})
+    for order in (frame, frame.orderBy(F.desc("source"))):
+        made = corpus_pipeline.near_duplicates(spark, order, "")
+        assert made.columns == frame.columns
+        assert [tuple(row) for row in made.collect()] == [(5, None, "en", "b", None, 1, 2)]
+
+
 def test_stages_on_empty_tables(spark, tmp_path):
     folder = str(tmp_path)
     for name, schema in (
