@@ -17,6 +17,7 @@ from boxmetrics.sources.layers import (
     STAGING,
     TRANSFORM,
     load_tables,
+    merged_by_month,
     require_shared_warehouse,
     save_by_order,
     save_table,
@@ -48,6 +49,7 @@ def rebuild_transform(spark: SparkSession, staging: Staging, least_hot: int = LE
     """Write the cleaned tables as a new generation, and usage once more by order."""
     require_shared_warehouse(spark)
     built = build_transform(staging).frames()
+    built[_USAGE] = merged_by_month(staging.usage, staging.usage.count())
     columns = TRANSFORM_SCHEMAS[_USAGE].fieldNames()
     makers = {name: (lambda read, rows=rows: rows) for name, rows in built.items()}
 

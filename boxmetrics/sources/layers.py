@@ -10,11 +10,12 @@ import os
 import uuid
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from boxmetrics.operators.filters import MONTH
+from boxmetrics.schemas import TRANSFORM_SCHEMAS
 from boxmetrics.sources.generations import remove_folder
 
 STAGING = "staging"
@@ -39,15 +40,39 @@ def laid_out(name: str, frame: DataFrame) -> DataFrame:
     """Rows in the order of their files, those of a month side by side.
 
     Adaptive execution deals the months to tasks of about the advised size: a month has as
-    many files as its bytes need, and a task may write several small months.
+    many files as its bytes need, and a task may write several small months. Rows that have
+    their month already are laid out.
     """
-    if name not in _PARTED_BY:
+    if name not in _PARTED_BY or _PARTED_BY[name][0] in frame.columns:
         return frame
     month, date = _PARTED_BY[name]
     rows = frame.withColumn(month, F.trunc(date, "month")).hint("rebalance", F.col(month))
     return rows.sortWithinPartitions(*_FILE_ORDER[name])
 
 
+#: Rows of a slice of a month, at most, if all usage is in one month.
+ROWS_PER_SLICE = 8_000_000
+
+
+def merged_by_month(staged: DataFrame, rows: int) -> DataFrame:
+    """Usage without exact repeats, laid out for its files, by one shuffle and one sort.
+
+    Equal rows have the same month and the same slice of it, so the shuffle to the files brings
+    them together, and the sort of the files puts them side by side. `rows` is about how many
+    there are: slices bound what a task gets of a hot month, and what files a month has.
+    """
+    month, date = _PARTED_BY["fact_box_usage"]
+    columns = TRANSFORM_SCHEMAS["fact_box_usage"].fieldNames()
+    slices = F.lit(max(1, -(-rows // ROWS_PER_SLICE)))
+    # The shuffle moves the columns of usage alone; both are worked out again behind it.
+    of_month, of_slice = F.trunc(date, "month"), F.pmod(F.xxhash64(*columns), slices)
+    dealt = staged.select(*columns).repartition(of_month, of_slice)
+    placed = dealt.withColumns({month: of_month, "slice": of_slice})
+    equal = Window.partitionBy(*_FILE_ORDER["fact_box_usage"], "order_id", "slice").orderBy("slice")
+    first = placed.withColumn("nth", F.row_number().over(equal)).filter(F.col("nth") == 1)
+    return first.select(*columns, month)
+
+
 def parting(name: str) -> list[str]:
     return [_PARTED_BY[name][0]] if name in _PARTED_BY else []
 

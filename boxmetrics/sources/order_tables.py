@@ -9,8 +9,11 @@ Spark computes all four tables from the Parquet files, so each grows with them:
 - standards: one raw row per part, naming the box of its size class.
 - rates: one per market and quarter, from the mean order value, delivered twice.
 
-A table is broadcast only if its measured size allows it. Otherwise the join sorts and
-merges, in which adaptive execution splits the partitions of hot keys.
+A table is broadcast only if its measured size allows it, as rows or with its keys packed into
+words (`operators/packed.py`). Otherwise both sides are shuffled,
+and adaptive execution splits the partitions of hot keys. If a partition of the lookup is small
+enough, it is hashed and the many rows of the other side need no sort; if not, both are sorted
+and merged.
 """
 
 from __future__ import annotations
@@ -25,12 +28,14 @@ from decimal import Decimal
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from boxmetrics.operators.sizing import BROADCAST_LIMIT_BYTES, fits
+from boxmetrics.operators.packed import names_to_pack, packed, with_packed
+from boxmetrics.operators.sizing import BROADCAST_LIMIT_BYTES, measured_bytes
 from boxmetrics.schemas import INPUT_NUMBER, STAGING_SCHEMAS, TRANSFORM_SCHEMAS
 from boxmetrics.sources.generations import HELD_SECONDS, build_folder, current_folder, hold_folder
 from boxmetrics.sources.layers import (
     files_identity,
     load_files,
+    merged_by_month,
     require_shared,
     save_files,
     shared_folder,
@@ -97,7 +102,8 @@ class OrderTables:
         self._folder = folder.rstrip("/")
         self._broadcast_limit = broadcast_limit
         self._opened: dict[str, DataFrame] = {}
-        self._small: dict[str, bool] = {}
+        self._sizes: dict[str, int] = {}
+        self._names: dict[str, list[str | None]] = {}
 
     def _read(self, name: str, *columns: str) -> DataFrame:
         if name not in self._opened:
@@ -109,11 +115,39 @@ class OrderTables:
     ) -> DataFrame:
         """Join a lookup that has the given columns of a table, or as much, under unique keys.
 
-        It is broadcast if these columns are small. If not, both sides are shuffled by key.
+        It is broadcast if these columns are small. If not, both sides are shuffled by key, and a
+        partition of the lookup is hashed if it is as small as that.
         """
-        if table not in self._small:
-            self._small[table] = fits(self._read(table, *columns), self._broadcast_limit)
-        return frame.join(F.broadcast(lookup) if self._small[table] else lookup.hint("merge"), on)
+        size = self._size_of(table, *columns)
+        partitions = int(self._spark.conf.get("spark.sql.shuffle.partitions"))
+        if size <= self._broadcast_limit:
+            lookup = F.broadcast(lookup)
+        elif size <= self._broadcast_limit * partitions:
+            lookup = lookup.hint("shuffle_hash")
+        else:
+            lookup = lookup.hint("merge")
+        return frame.join(lookup, on)
+
+    def _named(self, frame: DataFrame, lookup: DataFrame, key: Column, table: str, *columns: str) -> DataFrame:
+        """Join a lookup of two columns, a unique whole number and one of a few names.
+
+        It is broadcast as it is if that is small. If not, it is packed, some bits for each
+        number, and broadcast if that is small; the numbers must lie close to each other for
+        that. Otherwise both sides are shuffled by the number. Numbers that come twice are not
+        packed, so their rows are all found.
+        """
+        number, name = lookup.columns
+        if self._size_of(table, *columns) > self._broadcast_limit > 0:
+            if table not in self._names:
+                self._names[table] = names_to_pack(lookup, number, name, self._broadcast_limit)
+            if self._names[table]:
+                return with_packed(frame, packed(lookup, number, name, self._names[table]), key, name, self._names[table])
+        return self._looked_up(frame, lookup, key == F.col(number), table, *columns).drop(number)
+
+    def _size_of(self, table: str, *columns: str) -> int:
+        if table not in self._sizes:
+            self._sizes[table] = measured_bytes(self._read(table, *columns))
+        return self._sizes[table]
 
     def _orders_with_market(self, *columns: str) -> DataFrame:
         regions = self._read("region", "r_regionkey", "r_name")
@@ -122,18 +156,23 @@ class OrderTables:
         orders = self._read("orders", "o_orderkey", "o_custkey", *columns)
         in_region = F.col("n_regionkey") == F.col("r_regionkey")
         in_nation = F.col("c_nationkey") == F.col("n_nationkey")
-        by_customer = F.col("o_custkey") == F.col("c_custkey")
         nations = self._looked_up(nations, regions, in_region, "region", *regions.columns)
         customers = self._looked_up(
             customers, nations, in_nation, "nation", "n_nationkey", "n_regionkey"
         ).select(
             "c_custkey", _chosen(F.col("r_name"), MARKETS, OTHER_MARKET).alias("market")
         )
-        return self._looked_up(
-            orders, customers, by_customer, "customer", "c_custkey", "c_nationkey"
+        return self._named(
+            orders, customers, F.col("o_custkey"), "customer", "c_custkey", "c_nationkey"
         )
 
+    def usage_lines(self) -> int:
+        """Number of order lines, as the files state it."""
+        return self._read("lineitem").count()
+
     def usage(self) -> DataFrame:
+        """Rows of usage. What can be derived from a line, or from its part, is derived before
+        the next shuffle, which then moves a few small values a row."""
         lines = self._read(
             "lineitem",
             "l_orderkey",
@@ -142,24 +181,37 @@ class OrderTables:
             "l_quantity",
             "l_returnflag",
             "l_shipdate",
+        ).select(
+            "l_orderkey",
+            "l_partkey",
+            "l_linenumber",
+            "l_quantity",
+            (F.col("l_returnflag") == "R").cast("int").alias("is_damaged"),
+            _shifted_date("l_shipdate").alias("order_date"),
         )
         parts = self._read("part", "p_partkey", "p_type", "p_size")
+        boxes = parts.select("p_partkey", _variant(_by_size(0), "/").alias("named_box"))
         markets = self._orders_with_market().select("o_orderkey", "market")
-        of_part = F.col("l_partkey") == F.col("p_partkey")
-        of_order = F.col("l_orderkey") == F.col("o_orderkey")
-        lines = self._looked_up(lines, parts, of_part, "part", *parts.columns)
-        lines = self._looked_up(lines, markets, of_order, "orders", "o_orderkey", "o_custkey")
-        named_box = _variant(_by_size(0), "/")
+        lines = self._named(lines, boxes, F.col("l_partkey"), "part", *parts.columns).select(
+            "l_orderkey",
+            "l_linenumber",
+            "l_quantity",
+            "is_damaged",
+            "order_date",
+            F.when(F.col("l_partkey") % 37 != 0, F.col("named_box")).alias("pkg_id"),
+            F.when(F.col("l_partkey") % 50 == 0, 2).otherwise(1).alias("copies"),
+        )
+        lines = self._named(lines, markets, F.col("l_orderkey"), "orders", "o_orderkey", "o_custkey")
         rows = lines.select(
             (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("order_id"),
             "market",
-            F.when(F.col("l_partkey") % 37 != 0, named_box).alias("pkg_id"),
+            "pkg_id",
             _chosen(F.col("l_quantity").cast("int") % 5, MEALS_OF_QUANTITY)
             .cast("int")
             .alias("meals_count"),
-            _shifted_date("l_shipdate").alias("order_date"),
-            (F.col("l_returnflag") == "R").cast("int").alias("is_damaged"),
-            F.when(F.col("l_partkey") % 50 == 0, 2).otherwise(1).alias("copies"),
+            "order_date",
+            "is_damaged",
+            "copies",
         )
         return rows.withColumn("copy", _repeated(F.col("copies"))).select(
             *STAGING_SCHEMAS["fact_box_usage"].fieldNames()
@@ -277,7 +329,11 @@ def transform_tables(spark: SparkSession, folder: str) -> Tables:
     kept = f"{shared}/boxmetrics/{hashlib.sha256(f'{LAYOUT} {path}'.encode()).hexdigest()[:16]}"
 
     def build(layer: str) -> dict[str, object]:
-        save_files(build_transform(order_tables(spark, path).staging()).frames(), layer)
+        source = order_tables(spark, path)
+        staging = source.staging()
+        frames = build_transform(staging).frames()
+        frames["fact_box_usage"] = merged_by_month(staging.usage, source.usage_lines())
+        save_files(frames, layer)
         return Tables.from_frames(load_files(spark, TRANSFORM_SCHEMAS, layer)).measured()
 
     with _building:

@@ -10,9 +10,11 @@ from pathlib import Path
 
 import pyarrow.parquet as parquet
 import pytest
+from pyspark.sql import functions as F
 
 from boxmetrics import schemas
 from boxmetrics.build import build_layers, open_layers
+from boxmetrics.operators.packed import names_to_pack, packed, with_packed
 from boxmetrics.plans.registry import REPORTS
 from boxmetrics.sources import layers
 from boxmetrics.sources import order_tables as order_source
@@ -201,6 +203,86 @@ def test_shuffled_joins_of_the_sources_give_the_same_rows(spark):
         assert got.exceptAll(wanted).isEmpty()
 
 
+@pytest.mark.skipif(not Path(SMALL).is_dir(), reason="no test data")
+def test_lookups_with_small_partitions_are_hashed_not_sorted(spark, monkeypatch):
+    """Lookups beyond a broadcast, that cannot be packed, but whose partitions are small."""
+    monkeypatch.setattr(order_source, "names_to_pack", lambda *args: [])
+    wanted = OrderTables(spark, SMALL).usage()
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "100")
+    try:
+        got = OrderTables(spark, SMALL, broadcast_limit=2_000).usage()
+        plan = plan_of(got)
+        assert plan.split("\n\n")[0].count("ShuffledHashJoin") == 3 and "SortMergeJoin" not in plan
+        assert got.count() == wanted.count() > 0
+        assert got.exceptAll(wanted).isEmpty()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+@pytest.mark.skipif(not Path(SMALL).is_dir(), reason="no test data")
+def test_lookups_beyond_a_broadcast_are_packed(spark):
+    """Customers, parts and orders are: the lines are not shuffled, and the rows are the same."""
+    plain, tight = OrderTables(spark, SMALL), OrderTables(spark, SMALL, broadcast_limit=2_000)
+    for make in (OrderTables.usage, OrderTables.rates):
+        wanted, got = make(plain), make(tight)
+        assert got.count() == wanted.count() > 0
+        assert got.exceptAll(wanted).isEmpty()
+    assert all(tight._sizes[table] > 2_000 for table in ("customer", "part", "orders"))
+    assert "SortMergeJoin" not in plan_of(tight.usage()) and "ShuffledHashJoin" not in plan_of(tight.usage())
+
+
+def _joined_both_ways(spark, pairs, keys, limit=10_000_000):
+    lookup = spark.createDataFrame(pairs, "number bigint, name string")
+    frame = spark.createDataFrame([(at, key) for at, key in enumerate(keys)], "at int, key bigint")
+    wanted = frame.join(lookup, F.col("key") == F.col("number")).select("at", "key", "name")
+    names = names_to_pack(lookup, "number", "name", limit)
+    if not names:
+        return names, None, None
+    got = with_packed(frame, packed(lookup, "number", "name", names), F.col("key"), "name", names)
+    return names, sorted(map(str, got.select("at", "key", "name").collect())), sorted(map(str, wanted.collect()))
+
+
+@pytest.mark.parametrize("kinds", [3, 15, 16, 250])
+def test_packed_names_are_those_of_a_plain_join(spark, kinds):
+    """Negative and huge numbers, gaps, nulls on both sides, a null name, blocks without words."""
+    numbers = [*range(-2100, 2100, 3), 2**62, -(2**62), 2**63 - 1, -(2**63), 1023, 1024, 5_000_000]
+    numbers = list(dict.fromkeys(numbers))
+    pairs = [(n, None if at % kinds == 1 else f"name {at % kinds}") for at, n in enumerate(numbers)] + [(None, "name 0")]
+    names, got, wanted = _joined_both_ways(spark, pairs, [*numbers, *range(-2200, 2200), 7_000_000, None, 1, 1])
+    assert len(names) == kinds and got == wanted and len(got) > len(numbers)
+
+
+def test_lookups_that_cannot_be_packed_are_told(spark):
+    some = [(n, "a") for n in range(3000)]
+    assert names_of(spark, some) == ["a"]
+    assert names_of(spark, [*some, (7, "b")]) == []
+    assert names_of(spark, [(n, f"name {n}") for n in range(256)]) == []
+    assert names_of(spark, [(n * 1_000_003, "a") for n in range(3000)], limit=100_000) == []
+    assert names_of(spark, []) == []
+
+
+def names_of(spark, pairs, limit=10_000_000):
+    return names_to_pack(spark.createDataFrame(pairs, "number bigint, name string"), "number", "name", limit)
+
+
+def test_usage_is_merged_and_laid_out_by_one_shuffle(spark, tmp_path, monkeypatch):
+    """Repeats in several files, rows with nulls, a month in slices and an order id of many rows."""
+    rows = [(n % 900 or None, "DE", f"box {n % 7}" if n % 5 else None, n % 3, date(2026, 1, 1 + n % 28), 0) for n in range(4_000)]
+    rows += [(1, None, "P-S", 2, None, None), (1, None, "P-S", 2, None, 1), (2, "UK", "P-S", None, date(2025, 3, 1), 1)]
+    usage = spark.createDataFrame(rows * 2 + rows[:50], schemas.STAGING_USAGE)
+    monkeypatch.setattr(layers, "ROWS_PER_SLICE", 3_000)
+    merged = layers.merged_by_month(usage, len(rows) * 2)
+    tree = plan_of(layers.laid_out("fact_box_usage", merged)).split("\n\n")[0].splitlines()
+    assert sum("Exchange" in line for line in tree) == sum(" Sort" in line for line in tree) == 1
+    layers.save_files({"fact_box_usage": merged}, str(tmp_path))
+    read = layers.load_files(spark, {"fact_box_usage": schemas.STAGING_USAGE}, str(tmp_path))["fact_box_usage"]
+    wanted = usage.distinct()
+    assert read.count() == wanted.count() and read.drop("order_month").exceptAll(wanted).isEmpty()
+    folders = {folder.name: len(list(folder.glob("*.parquet"))) for folder in (tmp_path / "fact_box_usage").iterdir() if folder.is_dir()}
+    assert len(folders) == 3 and max(folders.values()) <= 3
+
+
 class _Session:
     """A session that names no folder."""
 
