@@ -84,10 +84,10 @@ def plain_fit(*, normalised: bool = False) -> Column:
 def box_level(pkg_id: Column, levels: Mapping[str, int] = BOX_LEVELS) -> Column:
     """Position of a box in the size order, null for a box outside of it.
 
-    A variant, named after its box and a slash, is as large as the box.
+    A variant, named after its box and a slash, is as large as the box. The name is cut out of
+    the id once, for all levels.
     """
-    box = F.split_part(pkg_id, F.lit("/"), F.lit(1))
-    level = F.lit(None).cast("int")
-    for name, position in levels.items():
-        level = F.when(box == name, F.lit(position)).otherwise(level)
-    return level
+    if not levels:
+        return F.lit(None).cast("int")
+    positions = F.create_map(*[F.lit(part) for level in levels.items() for part in level])
+    return F.element_at(positions, F.substring_index(pkg_id, "/", 1))

@@ -23,9 +23,11 @@ def in_copies(frame: DataFrame, copies: str, number: str = "copy") -> DataFrame:
     """Repeat every row as often as its column `copies` says; `number` tells the copies apart.
 
     Copies are made in runs, so that no row needs an array as long as its number of copies.
+    Nearly all rows have one run.
     """
     copy, step, zero = F.col(copies), F.lit(_COPIES_AT_ONCE), F.lit(0).cast("bigint")
-    runs = F.sequence(zero, F.floor((copy - 1) / step))
+    several = F.sequence(zero, F.floor((copy - 1) / step))
+    runs = F.when(copy <= step, F.array(zero)).otherwise(several)
     first = F.col("run") * step
     each = F.sequence(first, F.least(first + step, copy) - 1)
     return (

@@ -9,9 +9,12 @@ from fractions import Fraction
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from boxmetrics.functions import aggregates as agg
 from boxmetrics.functions.cost import ideal_cost
+from boxmetrics.functions.fit import BOX_LEVELS, box_level
+from boxmetrics.operators.scenarios import in_copies
 
 
 @pytest.mark.parametrize("scale", [1e-6, 1.0, 100.0, 1e8])
@@ -47,3 +50,22 @@ def test_ideal_cost_without_a_standard(spark):
     for policy, wanted in (("null", None), ("zero", Decimal(0)), ("actual", Decimal(3))):
         costs = [row["c"] for row in frame.select(ideal_cost(policy).alias("c")).collect()]
         assert costs == [wanted, Decimal("1.5")]
+
+
+def test_box_level_cuts_the_name_out_once(spark):
+    ids = ["P-S", "P-XL", "P-M/LARGE", "P-M/a/b", "P-S ", "", "/", "/P-S", "P-Z/P-S", "P", None]
+    rows = spark.createDataFrame([(one,) for one in ids], "pkg_id string")
+    leveled = rows.select("pkg_id", box_level(F.col("pkg_id")).alias("level"))
+    wanted = {one: BOX_LEVELS.get(one.split("/")[0]) if one is not None else None for one in ids}
+    assert dict(leveled.collect()) == wanted
+    plan = leveled._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("substring_index(") + plan.count("stringsplitsql(") + plan.count("split_part(") == 1
+    assert leveled.schema["level"].dataType == T.IntegerType()
+    assert rows.select(box_level(F.col("pkg_id"), {}).alias("level")).distinct().collect() == [(None,)]
+
+
+def test_copies_in_one_run_and_in_several(spark):
+    rows = spark.createDataFrame([(n,) for n in (0, 1, 2, 65_535, 65_536, 65_537, 131_073)], "copies bigint")
+    made = in_copies(rows.withColumn("of", F.col("copies")), "copies")
+    found = made.groupBy("of").agg(F.count("*").alias("n"), F.countDistinct("copy").alias("d"), F.max("copy").alias("m"))
+    assert {tuple(row) for row in found.collect()} == {(n, n, n, n - 1) for n in (1, 2, 65_535, 65_536, 65_537, 131_073)}
