@@ -5,11 +5,13 @@ from __future__ import annotations
 import collections
 import math
 import random
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
+import pytest
 
-from boxmetrics.llm import boosting, quality, sharding
+from boxmetrics.llm import boosting, quality, sharding, substrings, words
 
 
 def _plain_statistics(text):
@@ -81,3 +83,20 @@ def test_flat_trees_give_what_a_walk_down_gives():
     scores = forest.score(features)
     assert np.allclose(scores, [_walked(forest, row) for row in features.tolist()], rtol=1e-12)
     assert ((scores >= 0.5) == truth).mean() > 0.95
+
+
+@pytest.mark.parametrize("function", [quality.statistics, substrings.paths_of], ids=["statistics", "paths"])
+def test_a_worker_holds_little_beside_its_batch(function):
+    """Each task has such a worker, and all of them count towards an executor's memory."""
+    rng = random.Random(5)
+    vocabulary = [f"word{n}" for n in range(5000)]
+    batch = pa.array([" ".join(rng.choices(vocabulary, k=300)) for _ in range(2000)])
+    assert batch.nbytes > 4 << 20
+    words._tables.clear()
+    tracemalloc.start()
+    try:
+        made = function(batch)
+        held = tracemalloc.get_traced_memory()[1] - made.nbytes
+    finally:
+        tracemalloc.stop()
+    assert held < 32 << 20
