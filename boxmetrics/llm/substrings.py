@@ -37,6 +37,7 @@ _PATH = pa.struct(
     [("anchor", pa.int64()), ("h", pa.int64()), ("check", pa.int64()), ("start", pa.int32()), ("windows", pa.int32())]
 )
 _EDGE = pa.struct([("h", pa.int64()), ("check", pa.int64()), ("start", pa.int32())])
+_DIGESTED = pa.struct([("source_start", pa.int32()), ("source_end", pa.int32()), ("digest", pa.binary())])
 
 
 class Joined:
@@ -162,13 +163,18 @@ def edges_of(texts: pa.Array, ranges: pa.Array, window: int = WINDOW) -> pa.Arra
     return _lists(parts, len(texts), _EDGE)
 
 
-def span_digests(texts: pa.Array, starts: pa.Array, ends: pa.Array) -> list[list[bytes]]:
-    """Digests of the words from each start to each end, for each text."""
+def span_digests(texts: pa.Array, places: pa.Array) -> pa.Array:
+    """Each text's places with the digest of the words from their start to their end."""
     made = []
-    for text, first, after in zip(texts.cast(pa.binary()), starts.to_pylist(), ends.to_pylist()):
-        words = (text.as_py() or b"").split() if first else []
-        made.append([_digest(words[a:b]) for a, b in zip(first or (), after or ())])
-    return made
+    for text, spans in zip(texts.cast(pa.binary()), places):
+        words = (text.as_py() or b"").split() if spans.is_valid and len(spans) else []
+        for span in spans.as_py() or ():
+            made.append(_digest(words[span["start"] : span["end"]]))
+    sizes = np.asarray(pa.compute.list_value_length(places).fill_null(0))
+    offsets = pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32))
+    wanted = places.flatten()
+    columns = [wanted.field("start"), wanted.field("end"), pa.array(made, pa.binary())]
+    return pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays(columns, fields=list(_DIGESTED)))
 
 
 def _digest(words: list[bytes]) -> bytes:
@@ -274,9 +280,9 @@ def compacted(spans: DataFrame) -> DataFrame:
 def with_source_digests(spans: DataFrame, documents: DataFrame) -> DataFrame:
     """Long spans with the digest of the words at their source's coordinates."""
 
-    @F.arrow_udf("array<binary>")
-    def digests(texts: pa.Array, starts: pa.Array, ends: pa.Array) -> pa.Array:
-        return pa.array(span_digests(texts, starts, ends), pa.list_(pa.binary()))
+    @F.arrow_udf("array<struct<source_start: int, source_end: int, digest: binary>>")
+    def digests(texts: pa.Array, places: pa.Array) -> pa.Array:
+        return span_digests(texts, places)
 
     long = stored(compacted(spans), "long")
     size = F.col("end") - F.col("start")
@@ -289,18 +295,20 @@ def with_source_digests(spans: DataFrame, documents: DataFrame) -> DataFrame:
         places.groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_list("place")).alias("places")), "places"
     )
     named = documents.filter(F.col("doc_id").isNotNull())
+    # The function's own list is exploded. Of an expression over it Spark would infer a filter,
+    # and run the function a second time for that, in further workers of each executor.
     read = _texts_of(named, ranges).select(
         F.col("doc_id").alias("source_id"),
         F.col("text_hash").alias("source_hash"),
-        F.arrays_zip("places", digests("text", F.col("places.start"), F.col("places.end")).alias("digest")).alias("read"),
+        F.inline(digests("text", "places")),
     )
     seen = stored(
-        read.select("source_id", "source_hash", F.explode("read").alias("read")).select(
+        read.select(
             "source_id",
             "source_hash",
-            F.col("read.places.start").alias("source_start"),
-            (F.col("read.places.end") - F.col("read.places.start")).alias("size"),
-            F.col("read.digest").alias("digest"),
+            "source_start",
+            (F.col("source_end") - F.col("source_start")).alias("size"),
+            "digest",
         ),
         "digests",
     )

@@ -139,3 +139,20 @@ def test_a_hot_anchor_is_split(spark):
     finally:
         for name, value in before.items():
             spark.conf.unset(name) if value is None else spark.conf.set(name, value)
+
+
+def test_each_text_goes_through_a_function_once(spark, monkeypatch):
+    """A function that a plan holds twice takes twice the time, and two workers for each task."""
+    evaluated = {}
+
+    def counted(frame, name, plain=substrings.stored):
+        evaluated[name] = frame._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython")
+        return plain(frame, name)
+
+    monkeypatch.setattr(substrings, "stored", counted)
+    rows = [row for row in _rows(4) if row[0] is not None]
+    result = substrings.deduplicated(spark.createDataFrame(rows, SCHEMA), 20, 10)
+    assert {name: evaluated[name] for name in ("shared", "paths", "edges", "digests")} == {
+        "shared": 1, "paths": 1, "edges": 1, "digests": 1
+    }
+    assert result._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
